@@ -12,6 +12,8 @@ from .bpe import op8_bpe_encoding
 from .langid import op10_language_id
 from .ordinal import op3_quality_classifier
 from .packing import op1_packing
+from .rules import OP7_SQL, op7_quality_rules
+from .urlfilter import op6_sql, op6_url_filter
 
 
 def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,9 +26,9 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_packing, op3_quality_classifier, op8_bpe_encoding, op10_language_id)
+    listed = (op1_packing, op3_quality_classifier, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op10_language_id)
     return {query.__name__: _with_package(query) for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": op6_sql(), "op7_quality_rules": OP7_SQL}
