@@ -42,21 +42,21 @@ _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in training table: (url, 1 for unwanted) from a rule over word pairs."""
+    """The built-in training table: (url, 1 for unwanted), made by rule from the word lists.
+
+    Fronts, endings and paths follow the same cycle in both classes, so only the names tell.
+    """
+    n = len(_SYLLABLES)
+    plain = ["".join(_SYLLABLES[(i * step + i // n + at) % n] for at, step in enumerate((1, 7, 11)[: 2 + i % 2])) for i in range(4 * n)]
     rows = []
-    for label, words in ((1, _BAD_WORDS), (0, _GOOD_WORDS)):
-        for i, word in enumerate(words):
-            for j, end in enumerate(("com", "org", "net")):
+    for label, names in ((1, _BAD_WORDS), (0, _GOOD_WORDS + plain)):
+        for i, name in enumerate(names):
+            for j in range(4):
                 front = ("", "www.", "m.", "blog.")[(i + j) % 4]
-                page = ("/", "/en/12", "/de/34.html", "/fr/56/", "/es/78")[(i + 2 * j) % 5]
-                rows.append((f"http://{front}{word}.example.{end}{page}", label))
-                first, second = word.split("-")
-                rows.append((f"https://{second}{j}.example.{end}/{first}-{second}{page}", label))
-    n = len(_SYLLABLES)
-    for i in range(4 * n):
-        name = "".join(_SYLLABLES[(i * step + i // n + at) % n] for at, step in enumerate((1, 7, 11)[: 2 + i % 2]))
-        end, front, page = ("com", "org", "net")[i % 3], ("", "www.", "m.", "blog.")[i % 4], ("/en/", "/de/", "/fr/", "/es/")[i // 3 % 4]
-        rows.append((f"https://{front}{name}.example.{end}{page}{i * 37 % 1000}", 0))
+                page = f"/{('en', 'de', 'fr', 'es')[j]}/{(i * 37 + j * 101) % 1000}" + ("", "/", ".html")[(i + j) % 3]
+                first, _, second = name.partition("-")
+                shown = name if j < 3 or not second else second + str(i % 10)
+                rows.append((f"https://{front}{shown}.example.{('com', 'org', 'net')[(i + j) % 3]}{page}", label))
     return rows
 
 
@@ -83,16 +83,18 @@ def _bucket(gram: str) -> int:
     return int(hashlib.md5(gram.encode()).hexdigest()[:3], 16)
 
 
-def fit(rows: list[tuple[str | None, int]], max_rows: int = 5_000, rounds: int = 200, step: float = 0.5, penalty: float = 0.002) -> tuple[list[int], int]:
+def fit(rows: list[tuple[str | None, int]], max_rows: int = 5_000, rounds: int = 200, step: float = 2.0, penalty: float = 0.0005) -> tuple[list[int], int]:
     """Weights per bucket and the constant, in millionths, by full-batch ascent."""
     if len(rows) > max_rows:
         raise ValueError(f"the labelled url table is bounded by {max_rows} rows")
     features = [sorted({_bucket(g) for g in ngrams(*url_parts(url))}) for url, _ in rows]
+    unwanted = sum(label for _, label in rows)
+    share = {1: len(rows) / max(1, 2 * unwanted), 0: len(rows) / max(1, 2 * (len(rows) - unwanted))}  # both classes weigh the same
     weights, constant = [0.0] * BUCKETS, -2.0
     for _ in range(rounds):
         slope = [0.0] * BUCKETS
         for buckets, (_, label) in zip(features, rows, strict=True):
-            miss = label - 1 / (1 + math.exp(-constant - sum(weights[b] for b in buckets)))
+            miss = share[label] * (label - 1 / (1 + math.exp(-constant - sum(weights[b] for b in buckets))))
             for b in buckets:
                 slope[b] += miss
         for b in range(BUCKETS):
