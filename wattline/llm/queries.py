@@ -14,6 +14,7 @@ from .ordinal import op3_quality_classifier
 from .packing import op1_packing
 from .rules import OP7_SQL, op7_quality_rules
 from .urlfilter import op6_sql, op6_url_filter
+from .vptree import op4_vantage_point_search
 from .warc import OP2_SQL, op2_warc_index
 
 
@@ -27,7 +28,7 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_packing, op2_warc_index, op3_quality_classifier, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op10_language_id)
+    listed = (op1_packing, op2_warc_index, op3_quality_classifier, op4_vantage_point_search, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op10_language_id)
     return {query.__name__: _with_package(query) for query in listed}
 
 
