@@ -19,6 +19,7 @@ null ids are packed with a null id.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,22 +35,29 @@ from ._common import by_bytes, shuffle_partitions, text_of
 from .bpe import tokenizer_path
 
 _VECTOR = 1024
+_WORD_END = "</w>"
+#: Marks that may follow a word inside a chunk; the library splits them off as one pre-token.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_hashes() -> np.ndarray:
+    """Three random maps from a byte to vector places; a trigram's place is their XOR."""
+    return np.random.RandomState(29).randint(0, _VECTOR, (3, 256)).astype(np.int16)
 
 
 def hashed_vectors(texts: list[bytes]) -> np.ndarray:
     """Unit vectors of hashed byte trigrams; the zero vector for texts under 3 bytes."""
     out = np.zeros((len(texts), _VECTOR))
+    first, second, third = _byte_hashes()
+    a = np.frombuffer(b"".join(texts), np.uint8)
+    places = (first[a[:-2]] ^ second[a[1:-1]] ^ third[a[2:]]).astype(np.intp) if len(a) > 2 else np.zeros(0, np.intp)
+    start = 0
     for i, text in enumerate(texts):
-        if len(text) < 3:
-            continue
-        total = np.zeros(_VECTOR, np.int64)
-        for start in range(0, len(text), 1 << 20):
-            a = np.frombuffer(text[start : start + (1 << 20) + 2], np.uint8).astype(np.uint32)
-            if len(a) > 2:
-                h = (a[:-2] * np.uint32(0x9E3779B1)) ^ (a[1:-1] * np.uint32(0x85EBCA77)) ^ (a[2:] * np.uint32(0xC2B2AE3D))
-                total += np.bincount(h >> np.uint32(22), minlength=_VECTOR)
-        row = np.sqrt(total)
-        out[i] = row / np.sqrt((row * row).sum())
+        if len(text) > 2:  # trigrams that reach into the next text are left out
+            out[i] = np.bincount(places[start : start + len(text) - 2], minlength=_VECTOR)
+        start += len(text)
+    np.sqrt(out, out)
+    out /= np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", out, out)))[:, None]
     return out
 
 
@@ -96,21 +104,57 @@ def curve_keys(texts: list[bytes], dims: int = 4, bits: int = 12, seed: int = 17
 class _Chunks(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes, remembered up to a bound."""
 
-    def __init__(self, tokenizer, most: int = 500_000):
+    def __init__(self, spec: str, most: int = 700_000):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_str(spec), most
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
 
     def __missing__(self, chunk: str) -> bytes:
         return self.fill([chunk])[chunk]
 
     def fill(self, chunks: list[str]) -> dict[str, bytes]:
-        if len(self) + len(chunks) > self.most:
+        """Encode unknown chunks: plain words together, everything else one by one."""
+        if len(self) + 2 * len(chunks) > self.most:
             self.clear()
+        parts, odd = {}, set()
+        for chunk in chunks:
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha():
+                parts[chunk] = word
+            else:
+                odd.add(chunk)
+        odd.update(chunk[len(word) :] for chunk, word in parts.items())
+        words = [word for word in set(parts.values()) if word not in self]
+        for start in range(0, len(words), 2_000):
+            self._plain(words[start : start + 2_000])
+        self._each([chunk for chunk in odd if chunk not in self])
+        for chunk, word in parts.items():
+            self[chunk] = self[word] + self[chunk[len(word) :]]
+        return self
+
+    def _plain(self, words: list[str]) -> None:
+        """Words of letters are one pre-token each, so ids split after every word-end token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
+            return self._each(words)
+        data, start = ids.tobytes(), 0
+        for word, stop in zip(words, (4 * stops).tolist(), strict=True):
+            self[word] = data[start:stop]
+            start = stop
+
+    def _each(self, chunks: list[str]) -> None:
         for start in range(0, len(chunks), 10_000):
             part = chunks[start : start + 10_000]
             for chunk, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[chunk] = array("I", encoding.ids).tobytes()
-        return self
 
 
 _KNOWN: dict[int, _Chunks] = {}
@@ -119,15 +163,7 @@ _KNOWN: dict[int, _Chunks] = {}
 def _chunks_of(spec: str) -> _Chunks:
     key = zlib.crc32(spec.encode())
     if key not in _KNOWN:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        _KNOWN[key] = _Chunks(tokenizer)
+        _KNOWN[key] = _Chunks(spec)
     return _KNOWN[key]
 
 
@@ -204,7 +240,7 @@ def curve_ordered(spark: SparkSession, docs: DataFrame, dims: int, bits: int) ->
 
     @arrow_udf("long")
     def key_of(texts: pa.Array) -> pa.Array:
-        keys = [curve_keys([t.encode() for t in texts.slice(i, 512).to_pylist()], dims, bits) for i in range(0, len(texts), 512)]
+        keys = [curve_keys([t.encode() for t in texts.slice(i, 128).to_pylist()], dims, bits) for i in range(0, len(texts), 128)]
         return pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
 
     keyed = docs.withColumn("curve_key", key_of(text_of()))
