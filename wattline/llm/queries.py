@@ -10,6 +10,7 @@ from wattline.functions.ship import ship_package
 
 from .bpe import op8_bpe_encoding
 from .langid import op10_language_id
+from .ngram_join import op9_ngram_jaccard_join
 from .ordinal import op3_quality_classifier
 from .packing import op1_packing
 from .rules import OP7_SQL, op7_quality_rules
@@ -28,7 +29,7 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_packing, op2_warc_index, op3_quality_classifier, op4_vantage_point_search, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op10_language_id)
+    listed = (op1_packing, op2_warc_index, op3_quality_classifier, op4_vantage_point_search, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op9_ngram_jaccard_join, op10_language_id)
     return {query.__name__: _with_package(query) for query in listed}
 
 
