@@ -97,7 +97,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 300, penalty: float = 1e-4, least_rows: int = 4, least_z: float = 3.5) -> OrdinalModel:
+def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 300, penalty: float = 1e-4, least_rows: int = 3, least_z: float = 3.5) -> OrdinalModel:
     """Maximum likelihood by full-batch Adam over the bounded sample.
 
     Buckets whose mean grade differs from the sample's by less than ``least_z``

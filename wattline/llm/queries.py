@@ -13,6 +13,7 @@ from .langid import op10_language_id
 from .ngram_join import op9_ngram_jaccard_join
 from .ordinal import op3_quality_classifier
 from .packing import op1_packing
+from .ppm import op5_ppm_scores
 from .rules import OP7_SQL, op7_quality_rules
 from .urlfilter import op6_sql, op6_url_filter
 from .vptree import op4_vantage_point_search
@@ -29,7 +30,7 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_packing, op2_warc_index, op3_quality_classifier, op4_vantage_point_search, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op9_ngram_jaccard_join, op10_language_id)
+    listed = (op1_packing, op2_warc_index, op3_quality_classifier, op4_vantage_point_search, op5_ppm_scores, op6_url_filter, op7_quality_rules, op8_bpe_encoding, op9_ngram_jaccard_join, op10_language_id)
     return {query.__name__: _with_package(query) for query in listed}
 
 
