@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, dropped, saved, shuffle_partitions, text_of, work_folder
+from ._common import by_bytes, dropped, saved, shuffle_partitions, sliced, text_of, work_folder
 
 U = np.uint64
 _MIX_A, _MIX_B, _ODD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -87,8 +87,11 @@ def shingle_set(text: str, width: int = 5) -> np.ndarray:
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens per cell, about one cell per token (a power of two, 256 at least)."""
-    cells = max(256, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 256
+    """Parity of the tokens per cell; four to eight cells per token (a power of two, 256 at least).
+
+    Each differing token flips one cell, so differing cells bound differing tokens from below.
+    """
+    cells = max(256, 1 << (4 * len(tokens) - 1).bit_length()) if len(tokens) else 256
     odd = np.bincount((tokens & U(cells - 1)).astype(np.intp), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -394,22 +397,28 @@ def _cross_pairs(threshold: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("gid", "i", "j", "block", "doc_id", "comp", "n", "bitmap")
         held: dict[str, list] = {c: [] for c in names}
-        key = None
+        key, found, waiting = None, [], 0
 
-        def flush() -> pa.RecordBatch:
-            a, b = pairs(held)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def taken() -> pa.RecordBatch:
+            """Pairs found so far; many groups share a pair, which leaves a task but once."""
+            both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if row[:3] != key:
                     if key is not None:
-                        yield flush()
+                        found.append(np.stack(pairs(held)))
+                        waiting += found[-1].shape[1]
+                        if waiting > 1_000_000:
+                            yield taken()
+                            found, waiting = [], 0
                     key, held = row[:3], {c: [] for c in names}
                 for c, value in zip(names, row, strict=True):
                     held[c].append(value)
         if key is not None:
-            yield flush()
+            found.append(np.stack(pairs(held)))
+        yield taken()
 
     return run
 
@@ -449,17 +458,21 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
 
     facts = grouped.where(F.col("gid").isNull()).select("doc_id", "n", "digest", "bitmap")
     nameless = facts.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    facts = facts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("digest", "n", "bitmap")).alias("f")).select("doc_id", "f.*")
-    first = facts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    named = facts.join(first, "digest", "left").select("doc_id", "n", "bitmap", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("rep"))
+    facts = facts.where(F.col("doc_id").isNotNull())
+    single = facts.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("f")).select("doc_id", "f.*")
+    first = single.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    named = single.join(first, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("rep"))
     named = saved(spark, named, f"{folder}/named")
-    reps = named.where("doc_id = rep").select("rep", "n", "bitmap")
 
     members = grouped.where(F.col("gid").isNotNull()).select("gid", "doc_id").join(named.select("doc_id", "rep"), "doc_id").select("gid", "rep").distinct()
     members = saved(spark, members, f"{folder}/members")
-    hubs = members.groupBy("gid").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size"))
+    # Sizes and bitmaps only of the documents that share a group.
+    maps = facts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    maps = maps.groupBy("doc_id").agg(F.min(F.struct("digest", "n", "bitmap")).alias("f")).select(F.col("doc_id").alias("rep"), "f.n", "f.bitmap")
+    maps = saved(spark, maps, f"{folder}/maps")
+    hubs = members.groupBy("gid").agg(F.min("rep").alias("hub"))
     stars = members.join(hubs, "gid").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
+    side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(threshold), "a long, b long")
 
     def verify(pairs: DataFrame, step: str) -> DataFrame:
@@ -482,7 +495,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     open_groups = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("gid", "size")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     opened = labelled.join(open_groups, "gid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    opened = opened.join(reps, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    opened = opened.join(maps, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp", "n", "bitmap")
     opened = opened.repartition(buckets, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
     cross = opened.mapInArrow(_cross_pairs(threshold), "a long, b long").distinct()
