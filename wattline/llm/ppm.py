@@ -88,7 +88,7 @@ def _located(docs: DataFrame, held_out) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text"), held_out.alias("held_out"), split.alias("split"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], chunks: _Chunks, most: int = 4_000_000) -> Iterator[tuple[int, list[tuple]]]:
+def _runs(batches: Iterator[pa.RecordBatch], chunks: _Chunks, most: int = 1_000_000) -> Iterator[tuple[int, list[tuple]]]:
     """Rows (doc_id, text, held_out) of one chunk at a time, a few MB each."""
     chunk, rows, size = None, [], 0
     for batch in sliced(batches):
