@@ -57,7 +57,7 @@ def panel_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-year prices of four clock hours a day: local_date, local_hour, price."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     keys = [F.to_date("o_orderdate").alias("local_date"), ((F.col("o_orderkey") % 4) * 6).cast("int").alias("local_hour")]
-    return orders.groupBy(*keys).agg((F.avg("o_totalprice") / 1000 - 150).alias("price"))
+    return orders.groupBy(*keys).agg((F.avg("o_totalprice") / 997 - 150).alias("price"))
 
 
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def daily_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily margins of four strategies on common days, in the schema of the risk operators."""
     names = F.array(F.lit("naive_previous_day"), F.lit("naive_previous_week"), F.lit("naive_similar_day"), F.lit("ridge"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("strategy", F.get(names, (F.col("o_orderkey") % 4).cast("int")))
-    rows = orders.groupBy("strategy", F.to_date("o_orderdate").alias("local_date")).agg((F.avg("o_totalprice") / 1000 - 150).alias("profit_eur"))
+    rows = orders.groupBy("strategy", F.to_date("o_orderdate").alias("local_date")).agg((F.avg("o_totalprice") / 997 - 150).alias("profit_eur"))
     whole = rows.groupBy("local_date").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("local_date")
     return rows.join(whole, "local_date", "left_semi").select("strategy", F.lit(2.0).alias("power_mw"), F.lit(4.0).alias("energy_mwh"), "local_date", "profit_eur")
 
