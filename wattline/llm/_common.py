@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +69,67 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Seconds after which an idle Python worker lets go of what it remembers.
+IDLE_SECONDS = 3.0
+_WORKER: dict = {"owner": None, "kept": {}, "timer": None, "lock": threading.Lock()}
+
+
+def worker_memory(owner: str) -> dict:
+    """What one operator keeps in a reused Python worker; another operator's is let go first."""
+    if _WORKER["owner"] != owner:
+        _WORKER["owner"], _WORKER["kept"] = owner, {}
+    return _WORKER["kept"]
+
+
+def _trim() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _let_go() -> None:
+    with _WORKER["lock"]:
+        _WORKER["owner"], _WORKER["kept"] = None, {}
+    _trim()
+
+
+@contextlib.contextmanager
+def lean_worker(owner: str):
+    """Around the work of a partition or batch.
+
+    Python workers outlive their tasks, so without this the peaks of all operators add
+    up: freed memory goes back at the end, and what is remembered between tasks goes
+    when no further task of the operator comes soon.
+    """
+    with _WORKER["lock"]:
+        if _WORKER["timer"] is not None:
+            _WORKER["timer"].cancel()
+            _WORKER["timer"] = None
+        worker_memory(owner)
+    try:
+        yield
+    finally:
+        _trim()
+        timer = threading.Timer(IDLE_SECONDS, _let_go)
+        timer.daemon = True
+        with _WORKER["lock"]:
+            if _WORKER["timer"] is not None:
+                _WORKER["timer"].cancel()
+            _WORKER["timer"] = timer
+        timer.start()
+
+
+def lean(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A partition function that runs inside ``lean_worker``."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean_worker(owner):
+            yield from run(batches)
+
+    return wrapped
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

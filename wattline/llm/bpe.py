@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import by_bytes
+from ._common import by_bytes, lean
 
 #: Fixed value: the published pattern that cuts text into pieces before any merge.
 PIECE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -252,7 +252,7 @@ def encode_texts(docs: DataFrame, bpe: ByteBpe, keep: tuple[str, ...] = ("doc_id
         if held:
             yield result()
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(lean("bpe", encode), schema)
 
 
 def tokenizer_path(name: str) -> str:

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401  (makes pa.compute available)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, crc_mod
+from ._common import by_bytes, crc_mod, lean, lean_worker
 
 UNDETERMINED = "und"
 
@@ -145,7 +145,7 @@ def _count_grams(orders: tuple[int, ...]):
             unique, where = np.unique(keys, return_inverse=True)
             return unique, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 1_000_000):
             of: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 of.setdefault(lang, []).append(text)
@@ -192,7 +192,7 @@ def train(
     for r in counted:
         part = min(1.0, each / r["count"])
         keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)))
-    grams = rows.where(keep).mapInArrow(_count_grams(tuple(orders)), "lang string, gram long, n long")
+    grams = rows.where(keep).mapInArrow(lean("langid", _count_grams(tuple(orders))), "lang string, gram long, n long")
     grams = grams.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams.persist()
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -226,12 +226,31 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: t
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__text"):
+        for batch in by_bytes(batches, "__text", 1_000_000):
             langs, scores = model.predict(batch.column("__text").to_pylist())
             columns = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(lean("langid", score), schema)
+
+
+def language_column(model: LanguageFilter):
+    """The same judgement as a column function of a text: struct<lang_pred, score>.
+
+    Only texts travel to Python; whole rows stay where they are.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("struct<lang_pred: string, score: double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        with lean_worker("langid"):
+            parts = [model.predict(part.column("text").to_pylist()) for part in by_bytes(iter([batch]), "text", 1_000_000)]
+        langs = pa.array([lang for part, _ in parts for lang in part], pa.string())
+        scores = pa.array(np.concatenate([score for _, score in parts]) if parts else np.zeros(0))
+        return pa.StructArray.from_arrays([langs, scores], ["lang_pred", "score"])
+
+    return judge
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +263,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = 0.2) -> DataFrame:
     """Keep documents whose language is determined with some confidence."""
     model = train(docs)
-    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))  # whole rows, so no column name can clash
-    judged = identify(rows, model, keep=("__row",))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("__row.*")
+    judged = docs.withColumn("__language", language_column(model)(F.col("text")))
+    return judged.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least_score)).drop("__language")

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, dropped, saved, shuffle_partitions, sliced, text_of, work_folder
+from ._common import by_bytes, dropped, lean, saved, shuffle_partitions, sliced, text_of, work_folder, worker_memory
 
 U = np.uint64
 _MIX_A, _MIX_B, _ODD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -70,15 +70,13 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingle_set(text: str, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, U)
-    h = np.fromiter(map(_HASHES.__getitem__, words), U, len(words))
+    hashes = worker_memory("ngramjoin").setdefault("words", _WordHashes())
+    h = np.fromiter(map(hashes.__getitem__, words), U, len(words))
     n = min(width, len(words))
     out = np.full(len(h) - n + 1, n, U)
     for i in range(n):
@@ -338,7 +336,7 @@ def _possible(threshold: Threshold):
     """Pairs (a, b) with sizes and bitmaps -> those that the bounds leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             keep = []
             for na, nb, ma, mb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")), strict=True):
                 if threshold.num * max(na, nb) > threshold.den * min(na, nb):
@@ -354,7 +352,7 @@ def _possible(threshold: Threshold):
 
 def _verified(threshold: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [threshold.linked(np.frombuffer(x, U), np.frombuffer(y, U)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -453,8 +451,8 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     threshold, folder = Threshold(num, den), work_folder(spark, "ngramjoin")
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    mapped = rows.mapInArrow(_map_side(threshold, width, buckets), _MAPPED).repartitionById(buckets, F.col("bucket"))
-    grouped = saved(spark, mapped.mapInArrow(_bucket_side, _GROUPED), f"{folder}/grouped")
+    mapped = rows.mapInArrow(lean("ngramjoin", _map_side(threshold, width, buckets)), _MAPPED).repartitionById(buckets, F.col("bucket"))
+    grouped = saved(spark, mapped.mapInArrow(lean("ngramjoin", _bucket_side), _GROUPED), f"{folder}/grouped")
 
     facts = grouped.where(F.col("gid").isNull()).select("doc_id", "n", "digest", "bitmap")
     nameless = facts.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -473,16 +471,16 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     hubs = members.groupBy("gid").agg(F.min("rep").alias("hub"))
     stars = members.join(hubs, "gid").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
-    stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(threshold), "a long, b long")
+    stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean("ngramjoin", _possible(threshold)), "a long, b long")
 
     def verify(pairs: DataFrame, step: str) -> DataFrame:
         pairs = saved(spark, pairs, f"{folder}/pairs{step}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, tokens binary")
+        found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(lean("ngramjoin", _sets(width)), "doc_id long, tokens binary")
         # The text that counts is known by its digest's fact row: keep one set per id.
         found = saved(spark, found.groupBy("doc_id").agg(F.min_by("tokens", F.md5("tokens")).alias("tokens")), f"{folder}/sets{step}")
         end = lambda x: found.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"s{x}"))
-        links = saved(spark, pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(_verified(threshold), "a long, b long"), f"{folder}/links{step}")
+        links = saved(spark, pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(lean("ngramjoin", _verified(threshold)), "a long, b long"), f"{folder}/links{step}")
         dropped(spark, f"{folder}/sets{step}")
         return links
 
@@ -498,7 +496,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     opened = opened.join(maps, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp", "n", "bitmap")
     opened = opened.repartition(buckets, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    cross = opened.mapInArrow(_cross_pairs(threshold), "a long, b long").distinct()
+    cross = opened.mapInArrow(lean("ngramjoin", _cross_pairs(threshold)), "a long, b long").distinct()
     cross = saved(spark, cross.join(spark.read.parquet(f"{folder}/pairs1"), ["a", "b"], "left_anti"), f"{folder}/cross")
     if cross.limit(1).count():
         links = links.unionByName(verify(cross, "2"))

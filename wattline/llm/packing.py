@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, shuffle_partitions, text_of
+from ._common import by_bytes, lean, lean_worker, shuffle_partitions, text_of, worker_memory
 from .bpe import tokenizer_path
 
 _VECTOR = 1024
@@ -157,14 +157,11 @@ class _Chunks(dict):
                 self[chunk] = array("I", encoding.ids).tobytes()
 
 
-_KNOWN: dict[int, _Chunks] = {}
-
-
 def _chunks_of(spec: str) -> _Chunks:
-    key = zlib.crc32(spec.encode())
-    if key not in _KNOWN:
-        _KNOWN[key] = _Chunks(spec)
-    return _KNOWN[key]
+    kept, key = worker_memory("packing"), zlib.crc32(spec.encode())
+    if key not in kept:
+        kept[key] = _Chunks(spec)
+    return kept[key]
 
 
 def _split(text: str) -> list[str]:
@@ -240,7 +237,8 @@ def curve_ordered(spark: SparkSession, docs: DataFrame, dims: int, bits: int) ->
 
     @arrow_udf("long")
     def key_of(texts: pa.Array) -> pa.Array:
-        keys = [curve_keys([t.encode() for t in texts.slice(i, 128).to_pylist()], dims, bits) for i in range(0, len(texts), 128)]
+        with lean_worker("packing"):
+            keys = [curve_keys([t.encode() for t in texts.slice(i, 128).to_pylist()], dims, bits) for i in range(0, len(texts), 128)]
         return pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
 
     keyed = docs.withColumn("curve_key", key_of(text_of()))
@@ -259,7 +257,7 @@ def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks_of(shared.value)
         packer = _Packer(size, TaskContext.get().partitionId() << 40)
-        for batch in by_bytes(batches, "text", 8_000_000):
+        for batch in by_bytes(batches, "text", 4_000_000):
             ids = _token_bytes(batch.column("text").to_pylist(), chunks, end)
             for doc_id, key, found in zip(batch.column("doc_id").to_pylist(), batch.column("curve_key").to_pylist(), ids, strict=True):
                 packer.add(doc_id, key, found)
@@ -268,7 +266,7 @@ def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_
         yield packer.taken()
 
     ordered = curve_ordered(spark, docs.select("doc_id", text_of().alias("text")), dims, bits)
-    return ordered.mapInArrow(packed, PIECE_SCHEMA)
+    return ordered.mapInArrow(lean("packing", packed), PIECE_SCHEMA)
 
 
 def load_spec(path: str | None = None) -> str:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import saved, shuffle_partitions, sliced, work_folder
+from ._common import lean, saved, shuffle_partitions, sliced, work_folder
 
 CRLF = b"\r\n"
 #: Fixed values of the WARC 1.1 format.
@@ -160,7 +160,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_byt
         if out is not None:
             out.close()
 
-    return saved(spark, rows.mapInArrow(write, CAPTURE_SCHEMA), f"{folder}/captures")
+    return saved(spark, rows.mapInArrow(lean("warc", write), CAPTURE_SCHEMA), f"{folder}/captures")
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -304,7 +304,7 @@ def read_records(spark: SparkSession, places: DataFrame, folder: str) -> DataFra
         if file is not None:
             file.close()
 
-    return ordered.mapInArrow(read, RECORD_SCHEMA)
+    return ordered.mapInArrow(lean("warc", read), RECORD_SCHEMA)
 
 
 def _spans(places: Iterator[tuple[str, int, int]], most: int = 8 << 20) -> Iterator[tuple[str, int, list[int]]]:
