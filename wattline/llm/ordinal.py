@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes
+from ._common import by_bytes, lean, lean_worker
 
 #: Characters stripped from the edges of a word before it is hashed.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,7 +56,7 @@ def _bucket(name: bytes, bits: int) -> int:
 class _WordBuckets(dict):
     """Word -> bucket, remembered up to a bound."""
 
-    def __init__(self, bits: int, weights: np.ndarray | None = None, most: int = 400_000):
+    def __init__(self, bits: int, weights: np.ndarray | None = None, most: int = 300_000):
         super().__init__()
         self.bits, self.weights, self.most = bits, weights, most
 
@@ -100,8 +100,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 300, penalty: float = 1e-4, least_rows: int = 3, least_z: float = 3.5) -> OrdinalModel:
     """Maximum likelihood by full-batch Adam over the bounded sample.
 
-    Buckets whose mean grade differs from the sample's by less than ``least_z``
-    standard errors carry no weight: rare words would only be learned by heart.
+    Buckets whose share of rows below every threshold differs from the sample's by less
+    than ``least_z`` standard errors carry no weight: rare words would only be learned
+    by heart.
     """
     weights = np.zeros(1 << bits, np.float32)
     if not len(features):
@@ -109,8 +110,11 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int
     sizes = np.array([len(f) for f in features])
     flat = np.concatenate(features)
     rows_of = np.bincount(flat, minlength=1 << bits)
-    apart = np.bincount(flat, np.repeat(grades - grades.mean(), sizes), minlength=1 << bits)
-    z = np.abs(apart) / np.maximum(1e-9, grades.std() * np.sqrt(np.maximum(1, rows_of)))
+    z = np.zeros(1 << bits)
+    for k in range(n_grades - 1):  # how far rows with a feature fall on one side of a threshold
+        below = (grades <= k).astype(float)
+        apart = np.bincount(flat, np.repeat(below - below.mean(), sizes), minlength=1 << bits)
+        z = np.maximum(z, np.abs(apart) / np.maximum(1e-9, below.std() * np.sqrt(np.maximum(1, rows_of))))
     names = np.flatnonzero((rows_of >= min(least_rows, len(features))) & (z >= least_z))
     renamed = np.full(1 << bits, -1)
     renamed[names] = np.arange(len(names))
@@ -155,7 +159,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, bits: int = 18, max
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _WordBuckets(bits)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 1_000_000):
             rows = []
             for text in batch.column("text").to_pylist():
                 words = (text or "").split()
@@ -165,12 +169,36 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, bits: int = 18, max
 
     # The sample is bounded by max_rows, so it may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.mapInArrow(hashed, "doc_id long, grade int, f binary").toArrow().sort_by("doc_id")
+    rows = rows.mapInArrow(lean("ordinal", hashed), "doc_id long, grade int, f binary").toArrow().sort_by("doc_id")
     # Copies would pass a few rows off as many: each text counts once with each grade.
     once = dict.fromkeys(zip(rows.column("f").to_pylist(), rows.column("grade").to_pylist(), strict=True))
     return fit([np.frombuffer(f, np.int32) for f, _ in once], np.array([g for _, g in once], np.int64), n_grades, bits)
 
 
+def _latent(texts: list[str | None], model: OrdinalModel, weight: _WordBuckets) -> np.ndarray:
+    latent = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        distinct = set(words)
+        latent[i] = sum(map(weight.__getitem__, {word.strip(EDGES).lower() for word in distinct}))
+        latent[i] += sum(float(model.weights[_bucket(x, model.bits)]) for x in _shape(text or "", words, distinct))
+    return latent
+
+
+def tail_column(model: OrdinalModel, wanted: int):
+    """P(grade >= ``wanted``) as a column function of a text; whole rows stay where they are."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("double")
+    def tail(texts: pa.Array) -> pa.Array:
+        batch, weight = pa.RecordBatch.from_arrays([texts], ["text"]), _WordBuckets(model.bits, model.weights)
+        with lean_worker("ordinal"):
+            parts = [model.tail(_latent(part.column("text").to_pylist(), model, weight), wanted) for part in by_bytes(iter([batch]), "text", 1_000_000)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return tail
+
+
 def grade_texts(docs: DataFrame, model: OrdinalModel, wanted: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` plus expected_grade and tail_probability (of ``wanted`` or better)."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
@@ -178,22 +206,12 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, wanted: int, keep: tuple[s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = _WordBuckets(model.bits, model.weights)
-        for batch in by_bytes(batches, "__text"):
-            latent = np.zeros(batch.num_rows)
-            for i, value in enumerate(batch.column("__text").to_pylist()):
-                words = (value or "").split()
-                distinct = set(words)
-                # Each bucket counts once, as in training.
-                plain = {word.strip(EDGES).lower() for word in distinct} if len(distinct) < 64 else None
-                if plain is not None:
-                    latent[i] = sum(map(weight.__getitem__, plain))
-                else:
-                    latent[i] = sum(map(weight.__getitem__, distinct))
-                latent[i] += sum(float(model.weights[_bucket(x, model.bits)]) for x in _shape(value or "", words, distinct))
+        for batch in by_bytes(batches, "__text", 1_000_000):
+            latent = _latent(batch.column("__text").to_pylist(), model, weight)
             columns = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.expected(latent)), pa.array(model.tail(latent, wanted))], [*keep, "expected_grade", "tail_probability"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(lean("ordinal", score), schema)
 
 
 def rating_grade() -> Column:
@@ -215,5 +233,4 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str, least_tail: float =
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_tail: float = 0.5) -> DataFrame:
     """Keep documents that are good with at least ``least_tail`` probability."""
     model = _trained(spark, docs, sf_dir)
-    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
-    return grade_texts(rows, model, wanted=2, keep=("__row",)).where(F.col("tail_probability") >= least_tail).select("__row.*")
+    return docs.where(tail_column(model, 2)(F.col("text")) >= least_tail)
