@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, dropped, saved, shuffle_partitions, sliced, text_of, work_folder
+from ._common import crc_mod, dropped, lean, saved, shuffle_partitions, sliced, text_of, work_folder
 from .warc import filesystem
 
 ORDER = 5
@@ -310,7 +310,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, from_files:
     if not from_files:
         docs = saved(spark, docs.select("doc_id", "text"), f"{folder}/docs")
     rows = _located(docs.withColumn("doc_id", F.col("doc_id").cast("long")), held_out)
-    asked = saved(spark, rows.mapInArrow(_requests(limit), "chunk long, word binary, gram long, n long"), f"{folder}/asked")
+    asked = saved(spark, rows.mapInArrow(lean("ppm", _requests(limit)), "chunk long, word binary, gram long, n long"), f"{folder}/asked")
     train_texts = docs.where(~held_out).select("doc_id").count()
     facts = asked.agg(F.count_distinct("chunk"), F.sum(F.when(F.col("word").isNotNull(), F.col("n")))).first()
     shelves, train_tokens = max(1, facts[0]), int(facts[1] or 0) + train_texts
@@ -323,7 +323,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, from_files:
     everywhere = Window.partitionBy("word")
     words = asked.where(F.col("word").isNotNull()).select("chunk", "word", F.sum("n").over(everywhere).alias("c"), F.min("chunk").over(everywhere).alias("head"))
     put(words.select("chunk", "word", "c", (F.col("chunk") == F.col("head")).alias("is_head"), shelf), "words")
-    distinct = spark.read.parquet(f"{folder}/words").where(F.col("is_head") & (F.col("c") > 0)).count() + (train_texts > 0)
+    distinct = spark.read.schema("c long, is_head boolean").parquet(f"{folder}/words").where(F.col("is_head") & (F.col("c") > 0)).count() + (train_texts > 0)
 
     grams = asked.where(F.col("gram").isNotNull()).select("chunk", "gram", "n")
     summed = saved(spark, grams.groupBy("gram").agg(F.sum("n").alias("c")), f"{folder}/summed")
@@ -331,13 +331,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, from_files:
     for r in summed.groupBy((F.col("gram").bitwiseAND(F.lit(0xFFFF))).alias("pair")).agg(F.sum("c").alias("c")).collect():
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["c"]
     family = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    known = summed.repartition(shuffle_partitions(spark), family).mapInArrow(_trie(pairs), "gram long, logp double")
+    known = summed.repartition(shuffle_partitions(spark), family).mapInArrow(lean("ppm", _trie(pairs)), "gram long, logp double")
     put(grams.select("chunk", "gram").join(known, "gram").select("chunk", "gram", "logp", shelf), "grams")
     dropped(spark, f"{folder}/asked", f"{folder}/summed")
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_scores(folder, shelves, limit, train_tokens, train_texts, int(distinct), names), schema)
+    return rows.mapInArrow(lean("ppm", _scores(folder, shelves, limit, train_tokens, train_texts, int(distinct), names)), schema)
 
 
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
