@@ -53,7 +53,7 @@ def validate(issues: DataFrame) -> DataFrame:
 def issue(grid: DataFrame, forecasts: DataFrame, metadata: Mapping[str, object], zone: Zone) -> DataFrame:
     """One issue over a delivery grid: hours without a forecast stay as abstentions."""
     rows = grid.join(forecasts.select(F.col("local_date").alias("delivery_date"), "local_hour", "forecast"), ["delivery_date", "local_hour"], "left")
-    rows = rows.withColumns({k: F.lit(v) for k, v in metadata.items()}).withColumn("actual", F.lit(None).cast("double"))
+    rows = rows.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in metadata.items()}).withColumn("actual", F.lit(None).cast("double"))
     rows = rows.withColumn("issue_id", F.lit(issue_id(metadata))).withColumn("eligibility_reason", timing_reason(zone))
     rows = rows.withColumn("eligible", F.col("eligibility_reason") == "pre_gate")
     status = F.when(F.col("forecast").isNull(), "abstain_missing_inputs").when(F.col("eligible"), "issued_waiting_for_actual").otherwise("diagnostic_issued")

@@ -110,7 +110,7 @@ def alpha_search(panel: DataFrame, features: Sequence[str], start: dt.date, end:
         return pd.DataFrame({"alpha": [alpha], "n": [len(at)], "total": [float(errors.sum())]})
 
     parts = grid.groupBy("alpha", "local_hour").applyInPandas(fit, "alpha double, n long, total double")
-    return parts.groupBy("alpha").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mae"))
+    return parts.groupBy("alpha").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mae")).where("n > 0")
 
 
 def boosted_forecasts(panel: DataFrame, features: Sequence[str], target: str, split: dt.date, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42) -> DataFrame:
