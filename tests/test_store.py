@@ -232,3 +232,22 @@ def test_release_is_frozen_and_tamper_evident(spark, tmp_path):
     (tmp_path / "blobs" / blob).write_bytes(b"other")
     with pytest.raises(ValueError, match="altered"):
         evidence.read_blob(str(tmp_path), blob)
+
+
+def test_evidence_is_shared_by_month_and_verified(spark, tmp_path):
+    rows = facts(spark, [(utc(2026, m, 1), m) for m in (1, 2)])
+    first = evidence.save_evidence(str(tmp_path), {"price": rows}, {"issue": 1})
+    revised = rows.withColumn("price", F.when(F.col("ts_utc") == utc(2026, 2, 1), 9.0).otherwise(F.col("price")))
+    second = evidence.save_evidence(str(tmp_path), {"price": revised}, {"issue": 2})
+    assert first != second and len(list((tmp_path / "blobs").iterdir())) == 5  # two manifests, January shared
+    tables, metadata = evidence.read_evidence(spark, str(tmp_path), first)
+    assert metadata == {"issue": 1} and tables["price"].count() == 2
+    assert evidence.fingerprint(rows) == evidence.fingerprint(rows.repartition(3)) != evidence.fingerprint(revised)
+
+
+def test_model_registry_is_frozen():
+    from wattline.plans import registry
+
+    assert registry.get_model("ridge_da").fundamentals and registry.policy_id("ridge") != registry.policy_id("ridge_da")
+    with pytest.raises(KeyError):
+        registry.get_model("oracle")

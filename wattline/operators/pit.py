@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.timeaxis import Zone, attach_local_time, market_gate
+from wattline.functions.timeaxis import Zone, attach_local_time, market_gate, truncated
 
 CELL = ("local_date", "local_hour")
 
@@ -80,3 +82,24 @@ def preview_weeks(predictions: DataFrame, weeks: int = 12) -> DataFrame:
     return predictions.where(monday.isin(*[listed[i] for i in picks]))
 
 
+
+
+def hourly_wide(facts: DataFrame, series: tuple[str, ...] = ("load", "wind", "solar")) -> DataFrame:
+    """Fundamentals as one row per whole UTC hour with a column per series."""
+    hour = truncated(F.col("ts_utc"))
+    h = F.col("resolution_min").cast("double") / 60
+    means = facts.groupBy(hour.alias("hour"), "series").agg(F.try_divide(F.sum(F.col("forecast_mw") * h), F.sum(h)).alias("mw"), F.sum("resolution_min").alias("minutes"))
+    wide = means.where("minutes = 60").groupBy("hour").pivot("series", list(series)).agg(F.first("mw"))
+    return wide.withColumnRenamed("hour", "ts_utc")
+
+
+def retrospective_vintages(facts: DataFrame, zone: Zone) -> DataFrame:
+    """Vintages as if each hour had been published exactly at its own gate."""
+    rows = attach_local_time(hourly_wide(facts), zone)
+    return rows.select("ts_utc", market_gate(F.col("local_date"), zone).alias("published_at"), "load", "wind", "solar")
+
+
+def prospective_vintages(facts: DataFrame, zone: Zone, delivery: dt.date, retrieved_at: dt.datetime) -> DataFrame:
+    """Vintages of one delivery day, published when they were retrieved."""
+    rows = attach_local_time(hourly_wide(facts), zone).where(F.col("local_date") == F.lit(delivery))
+    return rows.select("ts_utc", F.lit(retrieved_at).cast("timestamp_ntz").alias("published_at"), "load", "wind", "solar")

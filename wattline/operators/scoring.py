@@ -100,3 +100,8 @@ def extreme_years(scores: DataFrame) -> DataFrame:
     return years.groupBy("model").agg(F.max_by("bucket", "mae").alias("worst_year"), F.min_by("bucket", "mae").alias("calmest_year"))
 
 
+
+
+def losing(scores: DataFrame, model: str) -> DataFrame:
+    """Buckets in which a model is worse than the bucket's best baseline."""
+    return scores.where((F.col("model") == model) & (F.col("skill_vs_best_baseline_pct") < 0))

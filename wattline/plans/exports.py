@@ -122,3 +122,26 @@ def export_differences(tables: Mapping[str, DataFrame], folder: str, relative: f
         if joined.where(far).limit(1).count():
             differing.append(name)
     return differing
+
+
+def rounded_predictions(predictions: DataFrame, zone: Zone) -> DataFrame:
+    """Predictions as published: cents, no UTC stamp, with their zone."""
+    kept = [F.round(c, 2).alias(c) if kind == "double" else F.col(c) for c, kind in predictions.dtypes if c != "ts_utc"]
+    return predictions.select(*kept, F.lit(zone.code).alias("zone"))
+
+
+def monthly_margins(daily: DataFrame) -> DataFrame:
+    """Monthly roll-up of daily margins, with the days it covers."""
+    month = F.date_format("local_date", "yyyy-MM").alias("month")
+    return daily.groupBy("strategy", "power_mw", "energy_mwh", month).agg(F.count(F.lit(1)).alias("days"), F.sum("profit_eur").alias("profit_eur"))
+
+
+def last_day(dispatched: DataFrame) -> DataFrame:
+    """The dispatch of the latest day, as an example."""
+    latest = dispatched.agg(F.max("local_date").alias("latest"))  # one row
+    return dispatched.join(F.broadcast(latest), F.col("local_date") == F.col("latest")).drop("latest")
+
+
+def data_as_of(coverage: DataFrame, measured: Sequence[str] = ("load", "generation")) -> DataFrame:
+    """Latest observed instant of measured datasets; prices run ahead and do not count."""
+    return coverage.where(F.col("dataset").isin(*measured)).agg(F.max("last_ts_utc").alias("data_as_of"))

@@ -232,6 +232,13 @@ def oracle_sql() -> dict[str, str]:
   c AS (SELECT hm.local_date, hm.local_hour, vt.*, {_UTC.format("(CAST(hm.local_date - 1 AS TIMESTAMP) + INTERVAL 12 HOUR)")} AS gate FROM hm JOIN vt USING (ts_utc)),
   b AS (SELECT *, row_number() OVER (PARTITION BY local_date, local_hour ORDER BY published_at DESC) AS k FROM c WHERE published_at <= gate)
   SELECT hm.local_date, hm.local_hour, {_r("load", "wind", "solar")}, CAST(floor(epoch(gate - published_at) / 3600) AS BIGINT) AS forecast_age_hours FROM hm LEFT JOIN b ON b.local_date = hm.local_date AND b.local_hour = hm.local_hour AND k = 1""",
+        "fundamentals_hourly_wide": f"""WITH {_EV}, {_GEN}, m AS (SELECT date_trunc('hour', ts_utc) AS hr, fuel, sum(gen_mw * res / 60.0) / sum(res / 60.0) AS mw FROM gen GROUP BY 1, 2 HAVING sum(res) = 60)
+  SELECT hr AS ts_utc, round(max(mw) FILTER (fuel = 'gas'), 6) AS load, round(max(mw) FILTER (fuel = 'wind'), 6) AS wind, round(max(mw) FILTER (fuel = 'solar'), 6) AS solar FROM m WHERE fuel IN ('gas', 'wind', 'solar') GROUP BY 1""",
+        "sanitized_panel": f"WITH {_FEATURES} SELECT local_date, local_hour, round(CASE WHEN local_date < DATE '1998-01-01' THEN price END, 6) AS price, {_r('price_d1')} FROM f WHERE local_date <= DATE '1998-01-01'",
+        "losing_buckets": f"WITH {_scores()} SELECT scope, bucket, round((1 - mae / best) * 100, 6) AS skill_vs_best_baseline_pct FROM sk WHERE model = 'naive_previous_day' AND best > 0 AND mae > best",
+        "published_predictions": f"WITH {_PRED} SELECT 'DE-LU' AS zone, model, count(*) AS n, min(round(forecast, 2)) AS least, max(round(actual, 2)) AS most FROM pr GROUP BY 2",
+        "monthly_margins": f"WITH {_DAILY} SELECT strategy, power_mw, energy_mwh, strftime(local_date, '%Y-%m') AS month, count(*) AS days, round(sum(profit_eur), 6) AS profit_eur FROM dm GROUP BY ALL",
+        "data_as_of": f"WITH {_EV}, {_GEN} SELECT max(ts_utc) AS data_as_of FROM gen",
         "naive_forecasts": f"WITH {_NAIVE} SELECT model, local_date, local_hour, {_r('forecast')} FROM nf",
         "ridge_walk_forward_1f": f"WITH {_RIDGE} SELECT local_date, local_hour, round({_ridge_forecast('0.1')}, 6) AS forecast FROM m WHERE n >= 30",
         "ridge_coefficients_1f": f"""WITH {_FEATURES}, c AS (SELECT local_hour, covar_pop(price, price_d1) / (var_pop(price_d1) * 1.1) AS coefficient, stddev_pop(price_d1) AS train_sd FROM f WHERE price_d1 IS NOT NULL GROUP BY 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime as dt
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions.expr import is_finite, require, require_unique
 from wattline.functions.timeaxis import Zone, day_hours
 from wattline.operators.intervals import hourly_mean, residual_load
 from wattline.operators.pit import calendar_lag, daily_stats, point_in_time, with_calendar, with_similar_day
@@ -70,3 +72,13 @@ def build_panel(prices: DataFrame, zone: Zone, load: DataFrame, generation: Data
         frame = frame.withColumn("residual_forecast", F.col("load") - F.col("wind") - F.col("solar"))
         features = BASE_FEATURES + FUNDAMENTAL_FEATURES
     return Panel(zone, with_calendar(frame), features)
+
+
+def sanitized(panel: Panel, delivery: dt.date) -> Panel:
+    """The panel as it may be seen when ``delivery`` is forecast: nothing later, no target that day."""
+    require_unique(panel.frame, ["local_date", "local_hour"], "duplicate panel hours")
+    for name in (panel.target, *panel.features):
+        require(panel.frame, ~is_finite(F.col(name)), f"{name} must be finite or null")
+    day = F.lit(delivery)
+    frame = panel.frame.where(F.col("local_date") <= day)
+    return replace(panel, frame=frame.withColumn(panel.target, F.when(F.col("local_date") < day, F.col(panel.target))))

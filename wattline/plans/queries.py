@@ -13,7 +13,7 @@ from wattline.functions.ship import ship_package
 from wattline.functions.timeaxis import DE_LU, attach_block, attach_local_time, day_hours, delivery_hours, market_gate
 from wattline.operators import intervals, ledger, models, pit, prices, quality, risk, scoring, storage
 from wattline.plans import exports
-from wattline.plans.panel import price_features
+from wattline.plans.panel import Panel, price_features, sanitized
 from wattline.sources import contracts, fixtures, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,18 @@ def point_in_time_fundamentals(spark, d):
     return pit.point_in_time(cells, fixtures.vintages(spark, d), DE_LU, ("load", "wind", "solar"))
 
 
+@query
+def fundamentals_hourly_wide(spark, d):
+    rows = fixtures.generation(spark, d).withColumn("series", F.when(F.col("fuel") == "gas", "load").otherwise(F.col("fuel"))).where(F.col("series").isin("load", "wind", "solar"))
+    return pit.hourly_wide(rows.withColumnRenamed("gen_mw", "forecast_mw"))
+
+
+@query
+def sanitized_panel(spark, d):
+    panel = Panel(DE_LU, _panel(spark, d), ("price_d1", "price_d7"))
+    return sanitized(panel, TREE_SPLIT).frame.select("local_date", "local_hour", "price", "price_d1")
+
+
 # Models and scores
 
 
@@ -277,6 +289,17 @@ def scoreboard(spark, d):
     return _scores(spark, d)
 
 
+@query
+def losing_buckets(spark, d):
+    return scoring.losing(_scores(spark, d), "naive_previous_day").select("scope", "bucket", "skill_vs_best_baseline_pct")
+
+
+@query
+def published_predictions(spark, d):
+    rows = exports.rounded_predictions(_predictions(spark, d), DE_LU)
+    return rows.groupBy("zone", "model").agg(F.count(F.lit(1)).alias("n"), F.min("forecast").alias("least"), F.max("actual").alias("most"))
+
+
 @query
 def extreme_years(spark, d):
     return scoring.extreme_years(_scores(spark, d))
@@ -369,6 +392,16 @@ def cumulative_margin(spark, d):
     return risk.cumulative_margin(fixtures.daily_margins(spark, d))
 
 
+@query
+def monthly_margins(spark, d):
+    return exports.monthly_margins(fixtures.daily_margins(spark, d))
+
+
+@query
+def data_as_of(spark, d):
+    return exports.data_as_of(store_coverage(spark, d))
+
+
 @query
 def paired_comparisons_point(spark, d):
     return risk.paired_points(fixtures.daily_margins(spark, d))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import re
 import tempfile
 from collections.abc import Mapping
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def digest(value: object) -> str:
@@ -25,6 +29,12 @@ def atomic_write(path: str, data: bytes) -> None:
     os.replace(temporary, path)
 
 
+def _parquet(table: pa.Table) -> bytes:
+    out = io.BytesIO()
+    pq.write_table(table, out, compression="zstd", coerce_timestamps="us")
+    return out.getvalue()
+
+
 def write_blob(root: str, data: bytes) -> str:
     """Store bytes under their own digest; equal content is stored once."""
     name = hashlib.sha256(data).hexdigest()
@@ -52,7 +62,7 @@ def save_release(tables: Mapping[str, DataFrame], metadata: Mapping[str, object]
         raise FileExistsError(f"release {identifier} exists")
     sums = {}
     for name, frame in tables.items():
-        data = frame.toPandas().to_parquet(index=False)
+        data = _parquet(frame.toArrow())
         sums[name] = hashlib.sha256(data).hexdigest()
         atomic_write(os.path.join(folder, f"{name}.parquet"), data)
     # The manifest comes last: a release without one is incomplete.
@@ -81,3 +91,39 @@ def read_release(spark: SparkSession, root: str, identifier: str | None = None)
                 raise ValueError(f"{name} of release {identifier} was altered")
         tables[name] = spark.read.parquet("file://" + os.path.abspath(path))
     return tables, manifest["metadata"]
+
+
+def fingerprint(frame: DataFrame, digits: int = 6) -> str:
+    """Order-free digest of a frame's rows and types; floats are rounded first.
+
+    Row hashes are added and xor-ed where the rows are, so nothing is sorted or gathered.
+    """
+    rows = frame.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in frame.dtypes])
+    one = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in rows.columns])
+    total = rows.select(one.alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1 << 40)))).first()
+    return digest([frame.dtypes, *total])
+
+
+def save_evidence(root: str, tables: Mapping[str, DataFrame], metadata: Mapping[str, object], stamp: str = "ts_utc") -> str:
+    """Store the inputs of one issue as content-addressed monthly blobs; returns their manifest's name.
+
+    Unchanged months of a later issue are the same blobs. Inputs of one forecast are small.
+    """
+    listed: dict[str, list[str]] = {}
+    for name, frame in tables.items():
+        rows = frame.toArrow()
+        rows = rows.sort_by([(c, "ascending") for c in rows.column_names])
+        months = [t.strftime("%Y-%m") for t in rows.column(stamp).to_pylist()] if stamp in rows.column_names else ["all"] * rows.num_rows
+        listed[name] = [write_blob(root, _parquet(rows.filter(pa.array([m == month for m in months])))) for month in sorted(set(months))]
+    return write_blob(root, json.dumps({"metadata": dict(metadata), "tables": listed}, sort_keys=True, default=str).encode())
+
+
+def read_evidence(spark: SparkSession, root: str, name: str) -> tuple[dict[str, DataFrame], dict[str, object]]:
+    """Tables and metadata of a manifest; every blob is verified before it is read."""
+    manifest = json.loads(read_blob(root, name))
+    tables = {}
+    for table, blobs in manifest["tables"].items():
+        for blob in blobs:
+            read_blob(root, blob)
+        tables[table] = spark.read.parquet(*["file://" + os.path.abspath(os.path.join(root, "blobs", b)) for b in blobs])
+    return tables, manifest["metadata"]
