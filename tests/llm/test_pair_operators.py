@@ -207,6 +207,8 @@ def test_round_trip(spark):
     folder, captures, parts = archive(spark)
     places = warc.lookup(spark, captures.select("url_key", "page_id"), parts, folder, whole_key=True).distinct()
     found = sorted((tuple(r) for r in warc.read_records(spark, places, folder).collect()), key=repr)
+    whole = {r["page_id"]: r["payload"] for r in warc.read_records(spark, places, folder, payloads=True).where("record_type = 'response'").collect()}
+    assert whole[5] == ("é" * 5000).encode() and whole[-7] == b"only"
     firsts = {}
     for i, _, h in PAGES:
         if i is not None:
@@ -241,7 +243,7 @@ def test_lookup_of_one_url_reads_its_blocks_only(spark):
 def test_keys_and_records():
     data = warc.render(5, "http://x/ä\n", b"body", None)
     assert b"\nWARC-Type: response" in data and b"http://x/%E4%0A" not in data.split(b"\r\n")[0]
-    assert warc.parse(data) == (5, 4, base64.b32encode(hashlib.sha1(b"body").digest()).decode(), "response", None)
+    assert warc.parse(data) == (5, 4, base64.b32encode(hashlib.sha1(b"body").digest()).decode(), "response", None, b"body")
     for i in (0, 7, -1, 2**63 - 1, -(2**63), None):
         assert warc.page_of(warc.record_id(i).encode()) == i
     with pytest.raises(ValueError, match="digest"):

@@ -35,7 +35,12 @@ def library(name):
 
 def test_bpe_equals_the_library(spark, awkward):
     reference = library("byte_bpe_50k.json")
-    found = bpe.encode_texts(awkward, bpe.ByteBpe.load(bpe.tokenizer_path("byte_bpe_50k.json"))).collect()
+    encoder = bpe.ByteBpe.load(bpe.tokenizer_path("byte_bpe_50k.json"))
+    found = bpe.encoding_digests(awkward, encoder).collect()
+    encoded = bpe.encode_texts(awkward, encoder)
+    real = Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect())
+    assert real == Counter((i, tuple(reference.encode(t or "", add_special_tokens=False).ids)) for i, t in AWKWARD)
+    assert Counter(tuple(r) for r in bpe.decode_ids(encoded, encoder).collect()) == Counter((i, t or "") for i, t in AWKWARD)
     expected = Counter()
     for doc_id, text in AWKWARD:
         ids = reference.encode(text or "", add_special_tokens=False).ids
@@ -46,8 +51,8 @@ def test_bpe_equals_the_library(spark, awkward):
 
 def test_bpe_in_many_small_rounds(spark, awkward):
     encoder = bpe.ByteBpe.load(bpe.tokenizer_path("byte_bpe_50k.json"))
-    one = sorted(map(tuple, bpe.encode_texts(awkward, encoder).collect()), key=repr)
-    many = sorted(map(tuple, bpe.encode_texts(awkward, encoder, most_pieces=3, most_bytes=50).collect()), key=repr)
+    one = sorted(map(tuple, bpe.encoding_digests(awkward, encoder).collect()), key=repr)
+    many = sorted(map(tuple, bpe.encoding_digests(awkward, encoder, most_pieces=3, most_bytes=50).collect()), key=repr)
     assert one == many
 
 
@@ -70,6 +75,8 @@ def test_bpe_of_nothing(spark, empty):
 def test_packing_places_every_id_once(spark, awkward):
     reference = library("word_bpe_49k.json")
     pieces = packing.pack(spark, awkward, packing.load_spec(), size=64).collect()
+    digests = Counter(r["ids_crc32"] for r in packing.pack(spark, awkward, packing.load_spec(), size=64, digests=True).collect())
+    assert digests == Counter(zlib.crc32(np.array(p["ids"], "<u4").tobytes()) for p in pieces)
     ids = defaultdict(list)
     for doc_id, text in AWKWARD:
         ids[doc_id].append(reference.encode(text or "", add_special_tokens=False).ids + [1])
@@ -78,7 +85,7 @@ def test_packing_places_every_id_once(spark, awkward):
     for p in pieces:
         whole = ids[p["doc_id"]][0]
         part = np.array(whole[p["start"] : p["start"] + p["length"]], "<u4")
-        assert len(part) == p["length"] and zlib.crc32(part.tobytes()) == p["ids_crc32"] and p["doc_tokens"] == len(whole)
+        assert len(part) == p["length"] and part.tolist() == p["ids"] and p["doc_tokens"] == len(whole)
     by = defaultdict(list)
     for p in pieces:
         by[p["sequence_id"]].append((p["offset"], p["length"]))

@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
-from ._common import by_bytes, lean
+from ._common import by_bytes, lean, sliced
 
 #: Fixed value: the published pattern that cuts text into pieces before any merge.
 PIECE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -87,6 +88,10 @@ class ByteBpe:
         base = np.array([vocab[c] for c in characters], np.int64)
         return ByteBpe(base, left, right, made, tuple((t["content"], t["id"]) for t in added), tuple(token_bytes))
 
+    def decode(self, ids: list[int]) -> str:
+        """Text of a row of ids; bytes that are not UTF-8 become replacement characters."""
+        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and where each piece's ids start (one more entry)."""
         if not pieces:
@@ -199,47 +204,45 @@ class _Encoder:
                 out.extend(map(get, self.find(part)))
         self.rows.append(np.array(out, np.int32))
 
-    def flush(self) -> list[tuple[int, str, str]]:
-        """Per document: number of ids, digest of the ids, digest of the decoded text."""
+    def flush(self) -> list[np.ndarray]:
+        """The ids of every text added so far."""
         pieces = [b"" if i in self.specials else p.encode() for i, p in enumerate(self.numbers)]
         ids, starts = self.bpe.encode_pieces(pieces)
-        bytes_of = self.bpe.token_bytes
-        names = ids.astype("U").tolist()
-        flat = ids.tolist()
-        edges = starts.tolist()
-        written = [",".join(names[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        decoded = [b"".join(map(bytes_of.__getitem__, flat[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
-        counts = np.diff(starts)
-        for number, i in self.specials.items():
-            written[number], decoded[number], counts[number] = str(i), bytes_of[i], 1
+        ids, counts = ids.astype(np.int32), np.diff(starts)
+        if self.specials:  # an added token's piece is that one id
+            extra = np.fromiter(self.specials.values(), np.int32, len(self.specials))
+            at = np.fromiter(self.specials, np.int64, len(self.specials))
+            starts = starts[:-1].copy()
+            starts[at] = len(ids) + np.arange(len(at))
+            counts[at] = 1
+            ids = np.concatenate((ids, extra))
         results = []
         for row in self.rows:
-            listed = row.tolist()
-            text = b"".join(map(decoded.__getitem__, listed)).decode("utf-8", "replace")
-            results.append((int(counts[row].sum()), hashlib.sha256(",".join(map(written.__getitem__, listed)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            n = counts[row]
+            ends = np.cumsum(n)
+            places = np.arange(ends[-1] if len(ends) else 0)
+            results.append(ids[places + np.repeat(starts[row] - ends + n, n)])
         self.reset()
         return results
 
 
-def encode_texts(docs: DataFrame, bpe: ByteBpe, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most_pieces: int = 300_000, most_bytes: int = 24_000_000) -> DataFrame:
-    """Columns ``keep`` plus n_tokens, ids_sha256 and decoded_sha256 of every text.
+Batches = Iterator[pa.RecordBatch]
 
-    A round ends at ``most_pieces`` distinct pieces or ``most_bytes`` of text; it always
-    takes whole texts.
-    """
-    rows = docs.select(*keep, docs[text].alias("__text"))
-    schema = rows.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(bpe: ByteBpe, keep: tuple[str, ...], most_pieces: int, most_bytes: int) -> Callable[[Batches], Batches]:
+    """Batches with a ``__text`` column -> batches of ``keep`` and the ids of each text."""
+
+    def encode(batches: Batches) -> Batches:
         encoder, held, size = _Encoder(bpe), [], 0
 
-        def result() -> pa.RecordBatch:
-            counts, ids, texts = zip(*encoder.flush(), strict=True)
-            columns = pa.Table.from_batches(held).combine_chunks()
-            return pa.RecordBatch.from_arrays(
-                [*(columns.column(name).chunk(0) for name in keep), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)],
-                [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        def result() -> Batches:
+            found, at = encoder.flush(), 0
+            for part in held:
+                listed = found[at : at + part.num_rows]
+                at += part.num_rows
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in listed]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *listed])))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*keep, "ids"])
 
         for batch in by_bytes(batches, "__text", 1_000_000):
             size += batch.column("__text").nbytes
@@ -247,12 +250,65 @@ def encode_texts(docs: DataFrame, bpe: ByteBpe, keep: tuple[str, ...] = ("doc_id
                 encoder.add(value or "")
             held.append(batch.select(list(keep)))
             if len(encoder.numbers) > most_pieces or size > most_bytes:
-                yield result()
+                yield from result()
                 held, size = [], 0
         if held:
-            yield result()
+            yield from result()
+
+    return encode
+
+
+def _digested(bpe: ByteBpe, keep: tuple[str, ...]) -> Callable[[Batches], Batches]:
+    """Batches with ids -> number of ids, digest of the ids, digest of the text they decode to."""
+    names = list(map(str, range(len(bpe.token_bytes))))
+
+    def digest(batches: Batches) -> Batches:
+        for batch in batches:
+            counts, of_ids, of_texts = [], [], []
+            offsets, flat = batch.column("ids").offsets.to_pylist(), batch.column("ids").values.to_numpy()
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                ids = flat[a:b].tolist()
+                counts.append(b - a)
+                of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                of_texts.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
+def encode_texts(docs: DataFrame, bpe: ByteBpe, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most_pieces: int = 300_000, most_bytes: int = 24_000_000) -> DataFrame:
+    """Columns ``keep`` plus ``ids`` (array<int>) of every text.
+
+    A round ends at ``most_pieces`` distinct pieces or ``most_bytes`` of text; it always
+    takes whole texts.
+    """
+    rows = docs.select(*keep, docs[text].alias("__text"))
+    schema = rows.drop("__text").schema.add("ids", ArrayType(IntegerType()))
+    return rows.mapInArrow(lean("bpe", _encoded(bpe, keep, most_pieces, most_bytes)), schema)
+
+
+def decode_ids(encoded: DataFrame, bpe: ByteBpe, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """Columns ``keep`` plus ``text``, the text that each row's ids stand for (null ids: null)."""
+    rows = encoded.select(*keep, encoded[ids].alias("__ids"))
+    schema = rows.drop("__ids").schema.add("text", "string")
 
-    return rows.mapInArrow(lean("bpe", encode), schema)
+    def decode(batches: Batches) -> Batches:
+        for batch in sliced(batches):
+            texts = [None if x is None else bpe.decode(x) for x in batch.column("__ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+
+    return rows.mapInArrow(lean("bpe", decode), schema)
+
+
+def encoding_digests(docs: DataFrame, bpe: ByteBpe, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most_pieces: int = 300_000, most_bytes: int = 24_000_000) -> DataFrame:
+    """Digests of what ``encode_texts`` and ``decode_ids`` give, taken where the ids are made.
+
+    The same encoder and decoder run; only the digests leave the workers.
+    """
+    rows = docs.select(*keep, docs[text].alias("__text"))
+    schema = rows.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    encode, digest = _encoded(bpe, keep, most_pieces, most_bytes), _digested(bpe, keep)
+    return rows.mapInArrow(lean("bpe", lambda batches: digest(encode(batches))), schema)
 
 
 def tokenizer_path(name: str) -> str:
@@ -263,4 +319,4 @@ def tokenizer_path(name: str) -> str:
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     bpe = ByteBpe.load(path or tokenizer_path("byte_bpe_50k.json"))
-    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), bpe)
+    return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), bpe)

@@ -184,7 +184,9 @@ def _token_bytes(texts: list[str], chunks: _Chunks, end: bytes) -> Iterator[byte
         yield b"".join(map(get, words)) + end
 
 
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
+_SPAN = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve_key long"
+PIECE_SCHEMA = f"{_SPAN}, ids array<int>"
+DIGEST_SCHEMA = f"{_SPAN}, ids_crc32 long"
 
 
 class _Packer:
@@ -207,7 +209,7 @@ class _Packer:
     def close(self) -> None:
         offset = 0
         for doc_id, start, ids, n, key in self.open:
-            self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, self.sequence, offset, key))
+            self.rows.append((doc_id, start, len(ids) // 4, n, self.sequence, offset, key, ids))
             offset += len(ids) // 4
         self.sequence, self.used, self.open = self.sequence + 1, 0, []
 
@@ -224,11 +226,18 @@ class _Packer:
                     left -= self.used
                     self.close()
 
-    def taken(self) -> pa.RecordBatch:
+    def taken(self, digests: bool) -> pa.RecordBatch:
+        """Finished pieces, with their ids or with the digests of these."""
         columns = list(zip(*self.rows, strict=True)) or [()] * 8
         self.rows = []
-        names = [field.split()[0] for field in PIECE_SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        arrays = [pa.array(c, pa.int64()) for c in columns[:-1]]
+        if digests:
+            arrays.append(pa.array(list(map(zlib.crc32, columns[-1])), pa.int64()))
+        else:
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in columns[-1]]))).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(columns[-1]), np.int32))))
+        names = [field.split()[0] for field in (DIGEST_SCHEMA if digests else PIECE_SCHEMA).split(", ")]
+        return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def curve_ordered(spark: SparkSession, docs: DataFrame, dims: int, bits: int) -> DataFrame:
@@ -246,10 +255,11 @@ def curve_ordered(spark: SparkSession, docs: DataFrame, dims: int, bits: int) ->
     return keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
 
 
-def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 12) -> DataFrame:
-    """Pieces of all documents: which span of which text lies where in which sequence.
+def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 12, digests: bool = False) -> DataFrame:
+    """Pieces of all documents: which ids of which text lie where in which sequence.
 
-    ``spec``: the tokenizer's JSON text. ``size`` must be a power of two.
+    ``spec``: the tokenizer's JSON text. ``size`` must be a power of two. With ``digests``
+    each piece carries the crc32 of its ids (little-endian, 32 bits) in their place.
     """
     end = array("I", [end_id]).tobytes()
     shared = spark.sparkContext.broadcast(spec)  # the vocabulary file: fixed size
@@ -261,12 +271,12 @@ def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_
             ids = _token_bytes(batch.column("text").to_pylist(), chunks, end)
             for doc_id, key, found in zip(batch.column("doc_id").to_pylist(), batch.column("curve_key").to_pylist(), ids, strict=True):
                 packer.add(doc_id, key, found)
-            yield packer.taken()
+            yield packer.taken(digests)
         packer.finish()
-        yield packer.taken()
+        yield packer.taken(digests)
 
     ordered = curve_ordered(spark, docs.select("doc_id", text_of().alias("text")), dims, bits)
-    return ordered.mapInArrow(lean("packing", packed), PIECE_SCHEMA)
+    return ordered.mapInArrow(lean("packing", packed), DIGEST_SCHEMA if digests else PIECE_SCHEMA)
 
 
 def load_spec(path: str | None = None) -> str:
@@ -275,8 +285,8 @@ def load_spec(path: str | None = None) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), load_spec(path))
+    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), load_spec(path), digests=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    return pack(spark, docs, load_spec(path))
+    return pack(spark, docs, load_spec(path), digests=True)

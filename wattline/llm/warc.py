@@ -101,8 +101,8 @@ def _headers(part: bytes) -> dict[str, bytes]:
     return {name.strip().lower().decode(): value.strip() for name, _, value in pairs}
 
 
-def parse(record: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), digest verified."""
+def parse(record: bytes) -> tuple[int | None, int, str, str, int | None, bytes | None]:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload), digest verified."""
     head, _, rest = record.partition(CRLF * 2)
     if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
@@ -113,10 +113,10 @@ def parse(record: bytes) -> tuple[int | None, int, str, str, int | None]:
     kind = fields["warc-type"].decode()
     page = page_of(fields["warc-record-id"])
     if kind == "revisit":
-        return page, int(_headers(http)["content-length"]), digest, kind, page_of(fields["warc-refers-to"])
+        return page, int(_headers(http)["content-length"]), digest, kind, page_of(fields["warc-refers-to"]), None
     if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         raise ValueError(f"payload of page {page} does not match its digest")
-    return page, len(payload), digest, kind, None
+    return page, len(payload), digest, kind, None, payload
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 0, level: int = 4, archive_bytes: int = 1 << 30) -> DataFrame:
@@ -164,7 +164,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_byt
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
@@ -281,13 +281,17 @@ def lookup(spark: SparkSession, wanted: DataFrame, parts: DataFrame, folder: str
     return ordered.mapInArrow(search, "archive string, offset long, length long")
 
 
-def read_records(spark: SparkSession, places: DataFrame, folder: str) -> DataFrame:
-    """Parsed records at ``places``, read by range in archive order."""
+def read_records(spark: SparkSession, places: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
+    """Parsed records at ``places``, read by range in archive order.
+
+    With ``payloads`` responses carry their payload (revisits: null).
+    """
+    schema = RECORD_SCHEMA + (", payload binary" if payloads else "")
     ordered = places.repartitionByRange(shuffle_partitions(spark), "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(f"{folder}/archives")
-        names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
         name, file = None, None
         for batch in sliced(batches):
             rows = []
@@ -298,13 +302,13 @@ def read_records(spark: SparkSession, places: DataFrame, folder: str) -> DataFra
                     name, file = archive, fs.open_input_file(f"{root}/{archive}")
                 data, at = file.read_at(sum(lengths), offset), 0
                 for length in lengths:
-                    rows.append(dict(zip(names, parse(zlib.decompress(data[at : at + length], 31)), strict=True)))
+                    rows.append(dict(zip(names, parse(zlib.decompress(data[at : at + length], 31)), strict=False)))
                     at += length
-            yield pa.RecordBatch.from_pylist(rows, schema=_arrow(RECORD_SCHEMA))
+            yield pa.RecordBatch.from_pylist(rows, schema=_arrow(schema))
         if file is not None:
             file.close()
 
-    return ordered.mapInArrow(lean("warc", read), RECORD_SCHEMA)
+    return ordered.mapInArrow(lean("warc", read), schema)
 
 
 def _spans(places: Iterator[tuple[str, int, int]], most: int = 8 << 20) -> Iterator[tuple[str, int, list[int]]]:
