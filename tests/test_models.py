@@ -76,6 +76,8 @@ def test_lags_follow_the_calendar_not_the_row(spark):
     rows = spark.createDataFrame([(dt.date(2025, 1, d), 0, float(d)) for d in (1, 2, 4)], "local_date date, local_hour int, price double")
     found = {r["local_date"].day: r["price_d1"] for r in pit.calendar_lag(rows, "price", 1, "price_d1").collect()}
     assert found == {1: None, 2: 1.0, 4: None}
+    many = pit.calendar_lags(rows, {"d1": ("price", 1), "d3": ("price", 3)})
+    assert {r["local_date"].day: (r["price"], r["d1"], r["d3"]) for r in many.collect()} == {1: (1.0, None, None), 2: (2.0, 1.0, None), 4: (4.0, None, 1.0)}
 
 
 def test_similar_day(spark):
@@ -97,8 +99,8 @@ def test_common_sample_rejects_duplicates(spark):
     rows = naive_forecasts(cells(spark, 12))
     assert pit.common_sample(rows).count() == rows.count()
     assert pit.common_sample(rows.where("not (model = 'naive_previous_day' and local_hour = 3)")).where("local_hour = 3").count() == 0
-    with pytest.raises(ValueError):
-        pit.common_sample(rows.unionByName(rows))
+    with pytest.raises(Exception, match="duplicate"):
+        pit.common_sample(rows.unionByName(rows)).collect()
 
 
 def test_quantiles_need_a_full_window_and_exclude_today(spark):

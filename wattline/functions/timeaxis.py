@@ -105,6 +105,12 @@ def day_hours(date: Column, zone: Zone) -> Column:
     return F.timestamp_diff("HOUR", day_start(date, zone), day_start(F.date_add(date, 1), zone)).cast("int")
 
 
+def cell_hours(date: Column, hour: Column, zone: Zone) -> Column:
+    """UTC hours that a local clock cell spans: 2 for the repeated autumn hour, 0 for the skipped one."""
+    hours = F.sequence(day_start(date, zone), F.timestamp_add("HOUR", F.lit(-1), day_start(F.date_add(date, 1), zone)), F.expr("interval 1 hour"))
+    return F.size(F.filter(hours, lambda h: F.hour(to_local(h, zone)) == hour)).cast("double")
+
+
 def market_gate(date: Column, zone: Zone) -> Column:
     """UTC instant of noon market time on the day before delivery."""
     noon = F.timestamp_add("HOUR", F.lit(12), F.date_sub(date, 1).cast("timestamp_ntz"))

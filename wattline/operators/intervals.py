@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.expr import require, require_unique, weighted_mean
-from wattline.functions.timeaxis import Zone, attach_local_time, delivery_hours, hours_between, interval_hours, plus_minutes, to_local, truncated
+from wattline.functions.timeaxis import Zone, attach_local_time, cell_hours, hours_between, interval_hours, plus_minutes, to_local, truncated
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("zone",)) -> DataFrame:
@@ -53,9 +53,8 @@ def hourly_mean(frame: DataFrame, zone: Zone, column: str) -> DataFrame:
     )
     cells = attach_local_time(complete, zone).groupBy("local_date", "local_hour")
     found = cells.agg(F.min("ts_utc").alias("ts_utc"), weighted_mean(F.col(column), F.col("covered_hours")).alias(column), F.sum("covered_hours").alias("covered_hours"))
-    expected = delivery_hours(found.select("local_date"), zone, "local_date").select("local_date", "local_hour", "delivery_duration_hours")
-    met = found.join(expected, ["local_date", "local_hour"]).where("covered_hours = delivery_duration_hours")
-    return met.select("local_date", "local_hour", "ts_utc", column, "covered_hours")
+    whole = F.col("covered_hours") == cell_hours(F.col("local_date"), F.col("local_hour"), zone)
+    return found.where(whole).select("local_date", "local_hour", "ts_utc", column, "covered_hours")
 
 
 def residual_load(load: DataFrame, generation: DataFrame, zone: Zone, fuels: tuple[str, ...] = ("wind", "solar")) -> DataFrame:

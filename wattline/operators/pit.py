@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.timeaxis import Zone, attach_local_time, market_gate, truncated
@@ -22,6 +23,22 @@ def calendar_lag(frame: DataFrame, column: str, days: int, name: str, keys: tupl
     return frame.join(earlier, list(keys), "left")
 
 
+def calendar_lags(frame: DataFrame, lags: Mapping[str, tuple[str, int]], keys: tuple[str, ...] = CELL) -> DataFrame:
+    """Several calendar lags at once: ``lags`` maps a new column to (column, days).
+
+    Every row is copied to the dates at which it is a lag, and one aggregation by cell
+    gathers them: one shuffle in all, instead of a join per lag. Cells must be unique.
+    """
+    date, rest = keys[0], keys[1:]
+    shifts = sorted({0, *(days for _, days in lags.values())})
+    copies = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.date_add(date, k).alias("d")) for k in shifts])).alias("s")
+    others = [c for c in frame.columns if c not in keys]
+    rows = frame.select(*rest, *others, copies).select(F.col("s.d").alias(date), *rest, *others, F.col("s.k").alias("k"))
+    at = lambda column, days: F.first(F.when(F.col("k") == days, F.col(column)), True)
+    gathered = rows.groupBy(*keys).agg(F.max(F.col("k") == 0).alias("here"), *[at(c, 0).alias(c) for c in others], *[at(c, days).alias(name) for name, (c, days) in lags.items()])
+    return gathered.where("here").drop("here")
+
+
 def daily_stats(cells: DataFrame, column: str = "price", hours: str = "covered_hours", expected: Column | None = None) -> DataFrame:
     """Mean, minimum, maximum and last value of complete days."""
     days = cells.groupBy("local_date").agg(
@@ -63,12 +80,15 @@ def point_in_time(panel: DataFrame, vintages: DataFrame, zone: Zone, values: tup
 
 
 def common_sample(predictions: DataFrame, models: int | None = None) -> DataFrame:
-    """Rows of the cells that every model forecasts; duplicates are an error."""
+    """Rows of the cells that every model forecasts; duplicates are an error.
+
+    A cell holds a few rows, so a window sees them together: one shuffle, no self-join.
+    """
     n = models if models is not None else predictions.select("model").distinct().count()
-    per_cell = predictions.groupBy(*CELL).agg(F.countDistinct("model").alias("m"), F.count(F.lit(1)).alias("n"))
-    if per_cell.where("n > m").limit(1).count():
-        raise ValueError("duplicate predictions of one model and hour")
-    return predictions.join(per_cell.where(F.col("m") == n).select(*CELL), list(CELL), "left_semi")
+    cell = Window.partitionBy(*CELL)
+    rows = predictions.withColumn("m", F.size(F.collect_set("model").over(cell))).withColumn("n", F.count(F.lit(1)).over(cell))
+    duplicate = F.raise_error(F.lit("duplicate predictions of one model and hour")).cast("boolean")
+    return rows.where(F.when(F.col("n") > F.col("m"), duplicate).otherwise(F.col("m") == n)).drop("m", "n")
 
 
 def preview_weeks(predictions: DataFrame, weeks: int = 12) -> DataFrame:

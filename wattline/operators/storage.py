@@ -143,15 +143,19 @@ def _end() -> Column:
 
 
 def complete_days(rows: DataFrame, zone: Zone, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of days whose intervals tile the whole local day and all carry a forecast."""
-    day = [*keys, "local_date"]
-    following = F.lead("ts_utc").over(Window.partitionBy(*day).orderBy("ts_utc"))
-    joined = rows.select(*day, "ts_utc", "forecast", _end().alias("end")).withColumn("next", following)
-    whole = joined.groupBy(*day).agg(
-        F.min("ts_utc").alias("first"), F.max("end").alias("last"), F.every(F.col("next").isNull() | (F.col("next") == F.col("end"))).alias("tiled"), F.count_if(F.col("forecast").isNull()).alias("missing")
+    """Rows of days whose intervals tile the whole local day and all carry a forecast.
+
+    Windows over a day's few rows decide, so nothing is joined back.
+    """
+    day = Window.partitionBy(*keys, "local_date")
+    marked = rows.withColumn("__end", _end()).withColumn("__next", F.lead("ts_utc").over(day.orderBy("ts_utc")))
+    tiled = F.col("__next").isNull() | (F.col("__next") == F.col("__end"))
+    whole = (
+        F.every(tiled & F.col("forecast").isNotNull()).over(day)
+        & (F.min("ts_utc").over(day) == day_start(F.col("local_date"), zone))
+        & (F.max("__end").over(day) == day_start(F.date_add("local_date", 1), zone))
     )
-    whole = whole.where("tiled and missing = 0").where((F.col("first") == day_start(F.col("local_date"), zone)) & (F.col("last") == day_start(F.date_add("local_date", 1), zone)))
-    return rows.join(whole.select(*day), day, "left_semi")
+    return marked.withColumn("__whole", whole).where("__whole").drop("__end", "__next", "__whole")
 
 
 DISPATCH_SCHEMA = (
@@ -217,17 +221,23 @@ def compared(predictions: DataFrame, zone: Zone, models: Sequence[str]) -> tuple
     every = prepared(rows, zone, ("model",)).select(*INPUT, "model")
     clash = every.groupBy("ts_utc").agg(F.countDistinct("actual").alias("a"), F.countDistinct("duration_hours").alias("d"))
     require(clash, (F.col("a") > 1) | (F.col("d") > 1), "inconsistent actual prices or durations between models")
+    one, date = Window.partitionBy("model", "local_date"), Window.partitionBy("local_date")
     whole = complete_days(every, zone, ("model",))
-    settled = whole.groupBy("model", "local_date").agg(F.count_if(F.col("actual").isNull()).alias("open"), F.sort_array(F.collect_list("ts_utc")).alias("stamps")).where("open = 0")
-    days = settled.groupBy("local_date").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stamps").alias("axes")).where((F.col("n") == len(models)) & (F.col("axes") == 1)).select("local_date")
-    common = days.agg(F.count(F.lit(1)).alias("common_days"))
-    coverage = rows.groupBy("model").agg(F.countDistinct("local_date").alias("candidate_days")).join(settled.groupBy("model").agg(F.countDistinct("local_date").alias("complete_days")), "model", "left")
-    coverage = coverage.join(F.broadcast(common)).select("model", "candidate_days", F.coalesce("complete_days", F.lit(0)).alias("complete_days"), "common_days", (F.col("candidate_days") - F.col("common_days")).alias("excluded_days"))
-    sample = whole.join(days, "local_date", "left_semi")
-    base = sample.where(F.col("model") == models[0])
-    inputs = sample.withColumnRenamed("model", "strategy")
-    inputs = inputs.unionByName(base.drop("model").withColumn("forecast", F.col("actual")).withColumn("strategy", F.lit("perfect_foresight")))
-    inputs = inputs.unionByName(base.drop("model").withColumn("forecast", F.lit(0.0)).withColumn("strategy", F.lit("no_trade")))
+    settled = whole.withColumn("open", F.count_if(F.col("actual").isNull()).over(one)).where("open = 0").drop("open")
+    # A day is common if every model has it settled on the same time axis.
+    axis = F.struct(F.count(F.lit(1)).over(one), F.sum(F.pmod(F.xxhash64("ts_utc"), F.lit(1 << 40))).over(one))
+    marked = settled.withColumn("axis", axis)
+    common = (F.size(F.collect_set("model").over(date)) == len(models)) & (F.size(F.collect_set("axis").over(date)) == 1)
+    marked = marked.withColumn("common", common).drop("axis")
+    days = marked.groupBy("model").agg(F.countDistinct("local_date").alias("complete_days"), F.countDistinct(F.when(F.col("common"), F.col("local_date"))).alias("common_days"))
+    coverage = rows.groupBy("model").agg(F.countDistinct("local_date").alias("candidate_days")).join(days, "model", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    coverage = coverage.select("model", "candidate_days", zero("complete_days").alias("complete_days"), zero("common_days").alias("common_days"), (F.col("candidate_days") - zero("common_days")).alias("excluded_days"))
+    # The first model's rows also carry the two reference strategies.
+    own = F.struct(F.col("model").alias("strategy"), F.col("forecast").alias("f"))
+    more = [F.struct(F.lit(n).alias("strategy"), f.alias("f")) for n, f in (("perfect_foresight", F.col("actual")), ("no_trade", F.lit(0.0)))]
+    listed = F.explode(F.when(F.col("model") == models[0], F.array(own, *more)).otherwise(F.array(own))).alias("x")
+    inputs = marked.where("common").select(*[c for c in INPUT if c != "forecast"], listed).select(*[F.col("x.f").alias("forecast") if c == "forecast" else F.col(c) for c in INPUT], F.col("x.strategy").alias("strategy"))
     return inputs, coverage
 
 

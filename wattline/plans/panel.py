@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wattline.functions.expr import is_finite, require, require_unique
 from wattline.functions.timeaxis import Zone, day_hours
 from wattline.operators.intervals import hourly_mean, residual_load
-from wattline.operators.pit import calendar_lag, daily_stats, point_in_time, with_calendar, with_similar_day
+from wattline.operators.pit import calendar_lags, daily_stats, point_in_time, with_calendar, with_similar_day
 
 BASE_FEATURES = (
     "price_d1", "price_d2", "price_d3", "price_d7", "price_d1_mean", "price_d1_min", "price_d1_max", "price_d1_end", "price_d7_mean",
@@ -36,15 +36,16 @@ def price_features(cells: DataFrame, zone: Zone | None = None) -> DataFrame:
 
     With a zone, daily statistics come from complete local days only.
     """
-    out = cells
-    for days in (1, 2, 3, 7):
-        out = calendar_lag(out, "price", days, f"price_d{days}")
+    out = calendar_lags(cells, {f"price_d{days}": ("price", days) for days in (1, 2, 3, 7)})
     weighted = cells if "covered_hours" in cells.columns else cells.withColumn("covered_hours", F.lit(1.0))
     expected = day_hours(F.col("local_date"), zone).cast("double") if zone else None
     stats = daily_stats(weighted, expected=expected)
-    yesterday = stats.select(F.date_add("local_date", 1).alias("local_date"), *[F.col(c).alias(f"price_d1_{c}") for c in ("mean", "min", "max", "end")])
-    week = stats.select(F.date_add("local_date", 7).alias("local_date"), F.col("mean").alias("price_d7_mean"))
-    return with_similar_day(out.join(yesterday, "local_date", "left").join(week, "local_date", "left"))
+    # Each day's statistics go to the two dates at which they are features.
+    to = F.explode(F.array(F.lit(1), F.lit(7))).alias("k")
+    copies = stats.select("mean", "min", "max", "end", "local_date", to).select(F.expr("date_add(local_date, k)").alias("local_date"), "k", "mean", "min", "max", "end")
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    days = copies.groupBy("local_date").agg(*[at(c, 1).alias(f"price_d1_{c}") for c in ("mean", "min", "max", "end")], at("mean", 7).alias("price_d7_mean"))
+    return with_similar_day(out.join(days, "local_date", "left"))
 
 
 def build_panel(prices: DataFrame, zone: Zone, load: DataFrame, generation: DataFrame, vintages: DataFrame | None = None, delivery: DataFrame | None = None) -> Panel:
