@@ -446,7 +446,7 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024) -> DataFrame:
+def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024, salts: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every id of ``docs`` (doc_id, text)."""
     threshold, folder = Threshold(num, den), work_folder(spark, "ngramjoin")
     buckets = shuffle_partitions(spark)
@@ -458,8 +458,12 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     nameless = facts.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     facts = facts.where(F.col("doc_id").isNotNull())
     single = facts.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("f")).select("doc_id", "f.*")
-    first = single.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    named = single.join(first, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("rep"))
+    # Only sets that occur more than once need their first id; a set that very many documents
+    # share meets it in ``salts`` places.
+    first = single.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    single = single.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    named = single.join(first, ["digest", "salt"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     named = saved(spark, named, f"{folder}/named")
 
     members = grouped.where(F.col("gid").isNotNull()).select("gid", "doc_id").join(named.select("doc_id", "rep"), "doc_id").select("gid", "rep").distinct()
