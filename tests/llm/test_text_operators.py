@@ -269,7 +269,7 @@ def test_probabilities_of_a_context_sum_to_one():
 
 def test_scores_without_training_or_rows(spark, tmp_path, empty):
     assert ppm.score_documents(spark, empty, F.lit(False), from_files=False).count() == 0
-    docs = documents(spark, [(1, "ab"), (2, None)])
+    docs = documents(spark, [(1, "ab"), (2, None)]).repartition(2, "doc_id")  # one chunk without a word
     found = {r["doc_id"]: r for r in ppm.score_documents(spark, docs, F.lit(True), from_files=False).collect()}
     assert found[1]["score"] == pytest.approx(-3 * math.log10(256)) and found[2]["n_tokens"] == 1 and found[1]["n_known"] == 0
 

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -268,6 +269,8 @@ def _scores(folder: str, shelves: int, limit: int, train_tokens: int, train_text
 
     def load(kind: str, chunk: int) -> pa.Table:
         fs, root = filesystem(f"{folder}/{kind}/shelf={chunk % shelves}")
+        if fs.get_file_info(root).type == pafs.FileType.NotFound:  # a chunk of empty texts asks for no word
+            return pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
         return pads.dataset(root, filesystem=fs, format="parquet").to_table(filter=pads.field("chunk") == chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
