@@ -102,10 +102,15 @@ def curve_keys(texts: list[bytes], dims: int = 4, bits: int = 12, seed: int = 17
 
 
 class _Chunks(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit bytes, remembered up to a bound."""
+    """Chunk -> its ids as little-endian unsigned 32-bit bytes, remembered up to a bound.
 
-    def __init__(self, spec: str, most: int = 700_000):
+    Two generations of half the bound each: when the young one is full it becomes the old
+    one, from which chunks that are still in use come back, so frequent ones stay known.
+    """
+
+    def __init__(self, spec: str, most: int = 1_000_000):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -117,20 +122,29 @@ class _Chunks(dict):
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
 
     def __missing__(self, chunk: str) -> bytes:
-        return self.fill([chunk])[chunk]
+        found = self.old.get(chunk)
+        if found is None:
+            return self.fill([chunk])[chunk]
+        self[chunk] = found
+        return found
 
     def fill(self, chunks: list[str]) -> dict[str, bytes]:
         """Encode unknown chunks: plain words together, everything else one by one."""
-        if len(self) + 2 * len(chunks) > self.most:
+        if len(self) + len(chunks) > self.most // 2:
+            self.old = dict(self)
             self.clear()
         parts, odd = {}, set()
         for chunk in chunks:
+            if chunk in self.old:
+                self[chunk] = self.old[chunk]
+                continue
             word = chunk.rstrip(_MARKS)
             if word.isalpha():
                 parts[chunk] = word
             else:
                 odd.add(chunk)
         odd.update(chunk[len(word) :] for chunk, word in parts.items())
+        self.update((word, self.old[word]) for word in set(parts.values()) if word in self.old)
         words = [word for word in set(parts.values()) if word not in self]
         for start in range(0, len(words), 2_000):
             self._plain(words[start : start + 2_000])
@@ -177,8 +191,7 @@ def _split(text: str) -> list[str]:
 def _token_bytes(texts: list[str], chunks: _Chunks, end: bytes) -> Iterator[bytes]:
     split = [_split(text) for text in texts]
     new = set().union(*split).difference(chunks)
-    if len(new) < chunks.most // 2:
-        chunks.fill(list(new))
+    chunks.fill(list(new))
     get = chunks.__getitem__
     for words in split:
         yield b"".join(map(get, words)) + end
