@@ -66,6 +66,32 @@ def test_components_equal_brute_force(spark, num, den):
     assert {r[0]: (r[1], r[2]) for r in found.collect()} == brute(rows, num, den)
 
 
+def linked_to(rows, num=75, den=100):
+    """Id -> number of other documents whose shingles reach the threshold."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = set() if not w else {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    reached = lambda a, b: a & b and den * len(a & b) >= num * len(a | b)
+    return {i: sum(1 for j, b in sets.items() if j != i and reached(a, b)) for i, a in sets.items()}
+
+
+@pytest.mark.parametrize(("num", "den"), [(75, 100), (50, 100)])
+def test_links_equal_brute_force(spark, num, den):
+    rows = variants()
+    found = {r["doc_id"]: r["n_links"] for r in join.similar_components(spark, documents(spark, rows).repartition(3), num, den, block=4).collect()}
+    expected = linked_to(rows, num, den)
+    assert found == expected and max(expected.values()) > 12
+    whole = join.similar_components(spark, documents(spark, rows).repartition(3), num, den)
+    assert {r["doc_id"]: r["n_links"] for r in whole.collect()} == expected
+
+
+def test_links_of_awkward_documents(spark, awkward):
+    found = {r["doc_id"]: r["n_links"] for r in join.similar_components(spark, awkward).collect()}
+    named = [(i, t) for i, t in AWKWARD if i is not None]
+    assert found.pop(None) is None and found == linked_to(named)
+
+
 def test_awkward_documents(spark, awkward):
     found = [tuple(r) for r in join.similar_components(spark, awkward).collect()]
     by = {r[0]: r for r in found}

@@ -22,13 +22,18 @@ components has all its cross-component pairs tested against size and parity-bitm
 bounds (block by block) and, where these leave them possible, verified. Hence each link
 is either verified or lies inside a component; no group is capped.
 
+Links are then counted: every pair of different sets inside a component is compared
+exactly, block by block, so a component of c sets costs c*c/2 comparisons. Counts leave a
+task per set, not per pair. ``n_links`` of a document is the number of other documents
+whose set reaches the threshold with its own, copies of equal sets included.
+
 Equal sets are merged beforehand. Signatures travel in blobs per bucket, so the shuffle
 moves a few bytes per entry. Components come from alternating large-star and small-star
 steps over work tables; nothing but counts reaches the driver.
 
 Defined cases: null text, or text without a word, has the empty set and links with
 nothing; fewer than five words are one shingle; rows with a null id are returned with a
-null component; of several texts under one id the one with the smallest digest counts,
+null component and null links; of several texts under one id the one with the smallest digest counts,
 and each id is returned once; extra columns are ignored; an empty table gives no rows.
 Different shingles share a 64-bit hash with negligible chance (about n*n/2**65).
 """
@@ -421,6 +426,54 @@ def _cross_pairs(threshold: Threshold):
     return run
 
 
+def _link_counts(threshold: Threshold):
+    """Sorted rows of (component, block i, block j) -> links of each set, weighted by copies."""
+    names = ("comp", "i", "j", "block", "doc_id", "copies", "tokens")
+
+    def counted(rows: dict[str, list], i: int, j: int) -> pa.RecordBatch:
+        doc, copies, block = (np.array(rows[c], np.int64) for c in ("doc_id", "copies", "block"))
+        sets = [np.frombuffer(t, U) for t in rows["tokens"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        place = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        own = np.split(place, np.cumsum(n)[:-1])
+        right = np.flatnonzero(block == j)
+        if not len(right):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.zeros(len(doc), np.int64))], ["doc_id", "links"])
+        right = right[np.argsort(n[right], kind="stable")]
+        sizes, flat = n[right], np.concatenate([own[y] for y in right])
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        mark, links = np.zeros(len(place), np.int32), np.zeros(len(doc), np.int64)
+        for x in np.flatnonzero(block == i):
+            size = int(n[x])
+            a, b = np.searchsorted(sizes, threshold.smallest(size)), np.searchsorted(sizes, threshold.largest(size), "right")
+            if a == b:
+                continue
+            mark[own[x]] = 1
+            common = np.add.reduceat(mark[flat[starts[a] : starts[b]]], starts[a:b] - starts[a], dtype=np.int64)
+            mark[own[x]] = 0
+            y = right[a:b][threshold.den * common >= threshold.num * (size + sizes[a:b] - common)]
+            y = y[y != x]
+            links[x] += copies[y].sum()
+            if i != j:
+                links[y] += copies[x]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(links)], ["doc_id", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {c: [] for c in names}
+        for batch in sliced(batches):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:3] != key:
+                    if key is not None:
+                        yield counted(held, *key[1:])
+                    key, held = row[:3], {c: [] for c in names}
+                for c, value in zip(names, row, strict=True):
+                    held[c].append(value)
+        if key is not None:
+            yield counted(held, *key[1:])
+
+    return run
+
+
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     """(doc_id, comp): the smallest id reachable over ``links`` (a, b), for every end.
 
@@ -446,8 +499,11 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024, salts: int = 16) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every id of ``docs`` (doc_id, text)."""
+def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024, salts: int = 16, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every id of ``docs`` (doc_id, text).
+
+    Without ``count_links`` links are not counted and n_links is left out.
+    """
     threshold, folder = Threshold(num, den), work_folder(spark, "ngramjoin")
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
@@ -455,7 +511,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     grouped = saved(spark, mapped.mapInArrow(lean("ngramjoin", _bucket_side), _GROUPED), f"{folder}/grouped")
 
     facts = grouped.where(F.col("gid").isNull()).select("doc_id", "n", "digest", "bitmap")
-    nameless = facts.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    nameless = facts.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("n_links"))
     facts = facts.where(F.col("doc_id").isNotNull())
     single = facts.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("f")).select("doc_id", "f.*")
     # Only sets that occur more than once need their first id; a set that very many documents
@@ -485,7 +541,6 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
         found = saved(spark, found.groupBy("doc_id").agg(F.min_by("tokens", F.md5("tokens")).alias("tokens")), f"{folder}/sets{step}")
         end = lambda x: found.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"s{x}"))
         links = saved(spark, pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(lean("ngramjoin", _verified(threshold)), "a long, b long"), f"{folder}/links{step}")
-        dropped(spark, f"{folder}/sets{step}")
         return links
 
     links = verify(stars, "1")
@@ -505,8 +560,29 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     if cross.limit(1).count():
         links = links.unionByName(verify(cross, "2"))
         comps = components(spark, links, f"{folder}/cc2")
-
-    result = named.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+        steps = ("1", "2")
+    else:
+        steps = ("1",)
+    if not count_links:
+        dropped(spark, *(f"{folder}/sets{step}" for step in steps))
+        result = named.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+        return result.unionByName(nameless.drop("n_links"))
+
+    # Every set of a component was verified against another one, so its tokens are at hand.
+    sets = spark.read.schema("doc_id long, tokens binary").parquet(*(f"{folder}/sets{step}" for step in steps)).join(comps, "doc_id").dropDuplicates(["doc_id"])
+    copies = saved(spark, named.where("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), f"{folder}/copies")
+    sets = saved(spark, sets.join(copies, "doc_id", "left").select("doc_id", "comp", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens"), f"{folder}/sets")
+    dropped(spark, *(f"{folder}/sets{step}" for step in steps))
+    shape = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("tokens") / 8).alias("mass"))
+    shape = shape.select("comp", F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("mass") / F.lit(block * 1_000))).cast("int").alias("blocks"))
+    cells = sets.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "copies", "tokens")
+    cells = cells.repartition(buckets, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    counts = cells.mapInArrow(lean("ngramjoin", _link_counts(threshold)), "doc_id long, links long").groupBy("doc_id").agg(F.sum("links").alias("links"))
+    classes = comps.join(counts, "doc_id", "left").join(copies, "doc_id", "full").withColumnRenamed("doc_id", "rep")
+    classes = saved(spark, classes, f"{folder}/classes")
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    result = named.join(classes, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), n_links.alias("n_links"))
     return result.unionByName(nameless)
 
 
@@ -519,7 +595,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null id belong to no group and stay; of rows that repeat an id one stays.
     """
-    groups = similar_components(spark, docs)
+    groups = similar_components(spark, docs, count_links=False)
     others = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__other"))
     kept = docs.join(others, docs["doc_id"] == others["__other"], "left_anti")
     repeats = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
