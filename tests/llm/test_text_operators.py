@@ -145,6 +145,21 @@ def test_languages_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_stage_rejects_junk_and_unlearned_languages(spark):
+    rng = np.random.default_rng(3)
+    junk = [(800 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)), None) for i in range(20)]
+    strange = "kissa istui matolla ja katseli muita kissoja talossa ennen kuin aurinko laski"
+    clean = language_rows()
+    found = langid.language_stage(spark, documents(spark, clean + junk + [(850, strange, None)]), "")
+    assert {r["doc_id"] for r in found.collect()} == {r[0] for r in clean}
+
+
+def test_stage_keeps_documents_of_many_similar_languages(spark):
+    base = LANGS["en"].split()
+    rows = [(20 * k + i, " ".join([base[(i * 3 + j) % len(base)] for j in range(12)] + [f"zq{chr(97 + k)}x{chr(97 + k)}"] * 2), f"l{k}") for k in range(12) for i in range(20)]
+    assert langid.language_stage(spark, documents(spark, rows), "").count() == len(rows)
+
+
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 4000).astype(np.uint64)

@@ -101,8 +101,12 @@ class LanguageFilter:
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and which share of a text's n-grams its language knows."""
         if not texts:
-            return [], np.zeros(0)
+            return [], np.zeros(0), np.zeros(0)
         codes, starts = _codes([text or "" for text in texts])
         letters = np.add.reduceat((codes > 0).astype(np.int64), starts)
         hits = np.zeros((len(texts), len(self.languages)))
@@ -120,7 +124,7 @@ class LanguageFilter:
         corrected = np.maximum(0.0, (hits - seen[:, None] * wrong) / np.maximum(1e-9, 1 - wrong))
         total = corrected.sum(axis=1)
         best = corrected.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
-        chosen, score = [], np.zeros(len(texts))
+        chosen, score, known = [], np.zeros(len(texts)), np.zeros(len(texts))
         for i in range(len(texts)):
             if not letters[i] or not self.languages:
                 chosen.append(UNDETERMINED)
@@ -128,7 +132,8 @@ class LanguageFilter:
             chosen.append(self.languages[best[i]])
             if total[i] > 0:
                 score[i] = corrected[i, best[i]] / total[i]
-        return chosen, score
+                known[i] = corrected[i, best[i]] / seen[i]
+        return chosen, score, known
 
 
 def _slot(grams: np.ndarray, h: int, bits: int) -> np.ndarray:
@@ -235,20 +240,20 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: t
 
 
 def language_column(model: LanguageFilter):
-    """The same judgement as a column function of a text: struct<lang_pred, score>.
+    """The same judgement as a column function of a text: struct<lang_pred, score, known>.
 
     Only texts travel to Python; whole rows stay where they are.
     """
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("struct<lang_pred: string, score: double>")
+    @arrow_udf("struct<lang_pred: string, score: double, known: double>")
     def judge(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
         with lean_worker("langid"):
-            parts = [model.predict(part.column("text").to_pylist()) for part in by_bytes(iter([batch]), "text", 1_000_000)]
-        langs = pa.array([lang for part, _ in parts for lang in part], pa.string())
-        scores = pa.array(np.concatenate([score for _, score in parts]) if parts else np.zeros(0))
-        return pa.StructArray.from_arrays([langs, scores], ["lang_pred", "score"])
+            parts = [model.judge(part.column("text").to_pylist()) for part in by_bytes(iter([batch]), "text", 1_000_000)]
+        langs = pa.array([lang for part in parts for lang in part[0]], pa.string())
+        scores, known = (pa.array(np.concatenate([part[k] for part in parts]) if parts else np.zeros(0)) for k in (1, 2))
+        return pa.StructArray.from_arrays([langs, scores, known], ["lang_pred", "score", "known"])
 
     return judge
 
@@ -260,8 +265,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = 0.2) -> DataFrame:
-    """Keep documents whose language is determined with some confidence."""
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_known: float = 0.5) -> DataFrame:
+    """Keep documents of whose n-grams their language knows at least a share ``least_known``.
+
+    That share does not depend on the number of languages, as ``score`` does. No margin
+    over the second language is asked for: close languages share most n-grams.
+    """
     model = train(docs)
     judged = docs.withColumn("__language", language_column(model)(F.col("text")))
-    return judged.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least_score)).drop("__language")
+    return judged.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.known") >= least_known)).drop("__language")
