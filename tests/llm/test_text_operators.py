@@ -160,6 +160,16 @@ def test_stage_keeps_documents_of_many_similar_languages(spark):
     assert langid.language_stage(spark, documents(spark, rows), "").count() == len(rows)
 
 
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k % 26] + letters[k // 26]
+    rows = [(10 * k + i, " ".join(f"{name(k)}q{name(k)}{c}" for c in letters[i : i + 12]), f"l{k:03}") for k in range(150) for i in range(3 if k >= 100 else 5)]
+    model = langid.train(documents(spark, rows))
+    assert len(model.languages) == 150
+    assert langid.train(documents(spark, [(1, "123", "en")])).predict(["abc", "1"])[0] == ["en", "und"]
+    assert model.predict([text for _, text, _ in rows])[0] == [lang for _, _, lang in rows]
+
+
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 4000).astype(np.uint64)

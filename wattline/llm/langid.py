@@ -1,6 +1,7 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One filter array holds, per slot, a bitmask with one bit per language: testing an
+One filter array holds, per slot, a bitmask with one bit per language (beyond 64
+languages, a further array for each 64 of them): testing an
 n-gram reads a few slots, and the AND of their masks names every language whose
 filter holds that n-gram. A document is decided by per-language popcounts of those
 masks, corrected for each filter's false-positive rate.
@@ -8,7 +9,8 @@ masks, corrected for each filter's false-positive rate.
 Training keeps an n-gram for a language if its relative frequency there is at least
 ``floor`` (so no language holds more than 1/floor n-grams per order: a proven bound
 on what reaches the driver) and at least ``share`` of its highest relative frequency
-in any language. The filter array has a fixed size and is broadcast with the tasks.
+in any language. The filter arrays are broadcast with the tasks; their size depends on
+the number of languages only (16 MB for each 64 at the default ``bits``).
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; a text
 whose n-grams are all unknown gets the most frequent training language with score 0;
@@ -78,26 +80,30 @@ class LanguageFilter:
     """A trained set of bit-sliced filters."""
 
     languages: tuple[str, ...]  # by training rows, most first
-    slots: np.ndarray  # one bitmask per slot
+    slots: np.ndarray  # one bitmask per slot; one row of them per 64 languages
     hashes: int
     orders: tuple[int, ...]
     fill: np.ndarray  # share of slots set, by language
 
     @staticmethod
     def build(languages, grams: np.ndarray, masks: np.ndarray, bits: int, hashes: int, orders) -> LanguageFilter:
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(k).bits)
-        slots = np.zeros(1 << bits, kind)
+        """``masks``: per n-gram one 64-bit word, or a row with a word per 64 languages."""
+        masks = masks.reshape(len(grams), _words(languages))
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.iinfo(k).bits), np.uint64)
+        slots = np.zeros((_words(languages), 1 << bits), kind)
         for h in range(hashes):
-            np.bitwise_or.at(slots, _slot(grams, h, bits), masks.astype(kind))
-        fill = np.array([np.count_nonzero(slots >> kind(i) & kind(1)) for i in range(len(languages))]) / len(slots)
+            at = _slot(grams, h, bits)
+            for word in range(len(slots)):
+                np.bitwise_or.at(slots[word], at, masks[:, word].astype(kind))
+        fill = np.array([np.count_nonzero(_bit(slots, i)) for i in range(len(languages))]) / (1 << bits)
         return LanguageFilter(tuple(languages), slots, hashes, tuple(orders), fill)
 
     def containing(self, grams: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that hold each n-gram."""
-        bits = int(len(self.slots)).bit_length() - 1
-        found = self.slots[_slot(grams, 0, bits)]
+        """Bitmasks of the languages that hold each n-gram, one row per 64 languages."""
+        bits = self.slots.shape[1].bit_length() - 1
+        found = self.slots[:, _slot(grams, 0, bits)]
         for h in range(1, self.hashes):
-            found = found & self.slots[_slot(grams, h, bits)]
+            found = found & self.slots[:, _slot(grams, h, bits)]
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -118,7 +124,7 @@ class LanguageFilter:
             cuts = np.searchsorted(at, edges - 1)
             seen += np.diff(cuts)
             for i in range(len(self.languages)):
-                total = np.concatenate(([0], np.cumsum(found >> found.dtype.type(i) & found.dtype.type(1), dtype=np.int64)))
+                total = np.concatenate(([0], np.cumsum(_bit(found, i), dtype=np.int64)))
                 hits[:, i] += np.diff(total[cuts])
         wrong = self.fill**self.hashes
         corrected = np.maximum(0.0, (hits - seen[:, None] * wrong) / np.maximum(1e-9, 1 - wrong))
@@ -136,6 +142,16 @@ class LanguageFilter:
         return chosen, score, known
 
 
+def _words(languages) -> int:
+    return max(1, -(-len(languages) // 64))
+
+
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    """0 or 1 for each column of ``masks``: the bit of language ``i``."""
+    kind = masks.dtype.type
+    return masks[i // 64] >> kind(i % 64) & kind(1)
+
+
 def _slot(grams: np.ndarray, h: int, bits: int) -> np.ndarray:
     mixed = grams ^ grams >> np.uint64(29 + h)
     return mixed * np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)[h]) >> np.uint64(64 - bits)
@@ -184,44 +200,43 @@ def train(
     """Filters from rows (text, lang); about ``max_rows`` of them, picked by a hash.
 
     The sample bound keeps training a small job at every corpus size; the languages
-    themselves are counted over all labelled rows, at most 64 of them.
+    themselves are counted over all labelled rows, and every one of them is learned.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counted]
     if not languages:
-        return LanguageFilter((), np.zeros(1 << bits, np.uint8), hashes, tuple(orders), np.zeros(0))
+        return LanguageFilter((), np.zeros((1, 1 << bits), np.uint8), hashes, tuple(orders), np.zeros(0))
     # The bound is shared out evenly, so that a rare language still learns from enough rows.
     each = max(1, max_rows // len(languages))
-    keep = F.lit(False)
-    for r in counted:
-        part = min(1.0, each / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)))
-    grams = rows.where(keep).mapInArrow(lean("langid", _count_grams(tuple(orders))), "lang string, gram long, n long")
+    spark = labelled.sparkSession
+    parts = [(r["lang"], int(min(1.0, each / r["count"]) * (1 << 20)) + 1) for r in counted]
+    parts = F.broadcast(spark.createDataFrame(parts, "lang string, part long"))
+    drawn = rows.join(parts, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("part")).select("text", "lang")
+    grams = drawn.mapInArrow(lean("langid", _count_grams(tuple(orders))), "lang string, gram long, n long")
     grams = grams.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams.persist()
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.element_at(F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(float(n)))]), F.col("lang")) if totals else F.lit(1.0)
-    bit = F.element_at(F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))]), F.col("lang"))
+    totals = F.broadcast(spark.createDataFrame([(lang, i, float(totals[lang])) for i, lang in enumerate(languages) if lang in totals], "lang string, place int, total double"))
     # A group holds one row per language at most.
     chosen = (
-        grams.select("gram", bit.alias("bit"), (F.col("n") / total).alias("p"))
+        grams.join(totals, "lang").select("gram", "place", (F.col("n") / F.col("total")).alias("p"))
         .groupBy("gram")
-        .agg(F.max("p").alias("top"), F.collect_list(F.struct("bit", "p")).alias("by"))
+        .agg(F.max("p").alias("top"), F.collect_list(F.struct("place", "p")).alias("by"))
         .where(F.col("top") >= floor)
         .select(
             "gram",
-            F.aggregate(
-                F.filter("by", lambda x: (x["p"] >= floor) & (x["p"] >= share * F.col("top"))),
-                F.lit(0).cast("long"),
-                lambda acc, x: acc.bitwiseOR(x["bit"]),
-            ).alias("mask"),
+            F.transform(F.filter("by", lambda x: (x["p"] >= floor) & (x["p"] >= share * F.col("top"))), lambda x: x["place"]).alias("places"),
         )
         .toArrow()
     )
     grams.unpersist()
     keys = chosen.column("gram").to_numpy().view(np.uint64)
-    masks = chosen.column("mask").to_numpy().view(np.uint64)
+    places = chosen.column("places").combine_chunks()
+    place = places.flatten().to_numpy().astype(np.int64)
+    gram = np.repeat(np.arange(len(keys)), pa.compute.list_value_length(places).to_numpy())
+    masks = np.zeros((len(keys), _words(languages)), np.uint64)
+    np.bitwise_or.at(masks, (gram, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
     return LanguageFilter.build(languages, keys, masks, bits, hashes, orders)
 
 
