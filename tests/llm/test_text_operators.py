@@ -170,6 +170,13 @@ def test_every_language_is_learned(spark):
     assert model.predict([text for _, text, _ in rows])[0] == [lang for _, _, lang in rows]
 
 
+def test_copies_weigh_once_in_training(spark):
+    rows = [(i, f"{LANGS['en']} {'abcdefghij'[i] * 3}", "en") for i in range(10)]
+    copies = [(100 + i, "zzyzx qqkvj " * 10, "en") for i in range(500)]
+    alone, many = (langid.train(documents(spark, rows + extra), floor=0.002) for extra in (copies[:1], copies))
+    assert (alone.slots == many.slots).all() and many.predict([LANGS["en"]])[1][0] == 1
+
+
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 4000).astype(np.uint64)

@@ -14,7 +14,7 @@ the number of languages only (16 MB for each 64 at the default ``bits``).
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; a text
 whose n-grams are all unknown gets the most frequent training language with score 0;
-ties go to the language with more training rows, then to the smaller name; without
+ties go to the language with more training texts, then to the smaller name; without
 any labelled row every prediction is ``und``. Repeated rows are scored each by
 itself; columns besides the named ones are ignored; null ids stay null.
 """
@@ -79,7 +79,7 @@ def _grams(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 class LanguageFilter:
     """A trained set of bit-sliced filters."""
 
-    languages: tuple[str, ...]  # by training rows, most first
+    languages: tuple[str, ...]  # by training texts, most first
     slots: np.ndarray  # one bitmask per slot; one row of them per 64 languages
     hashes: int
     orders: tuple[int, ...]
@@ -199,11 +199,13 @@ def train(
 ) -> LanguageFilter:
     """Filters from rows (text, lang); about ``max_rows`` of them, picked by a hash.
 
+    A text counts once per language, however many copies of it there are.
+
     The sample bound keeps training a small job at every corpus size; the languages
-    themselves are counted over all labelled rows, and every one of them is learned.
+    themselves are counted over all labelled texts, and every one of them is learned.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    counted = rows.select("lang", F.xxhash64("text").alias("key")).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counted]
     if not languages:
         return LanguageFilter((), np.zeros((1, 1 << bits), np.uint8), hashes, tuple(orders), np.zeros(0))
@@ -212,7 +214,7 @@ def train(
     spark = labelled.sparkSession
     parts = [(r["lang"], int(min(1.0, each / r["count"]) * (1 << 20)) + 1) for r in counted]
     parts = F.broadcast(spark.createDataFrame(parts, "lang string, part long"))
-    drawn = rows.join(parts, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("part")).select("text", "lang")
+    drawn = rows.join(parts, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("part")).select("text", "lang").distinct()
     grams = drawn.mapInArrow(lean("langid", _count_grams(tuple(orders))), "lang string, gram long, n long")
     grams = grams.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams.persist()
