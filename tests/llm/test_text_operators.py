@@ -113,6 +113,13 @@ def test_similar_texts_lie_close_on_the_curve():
     assert packing.curve_keys(texts)[1] == alone[0]
 
 
+def test_packing_stage_delivers_ids(spark, awkward):
+    found = packing.packing_stage(spark, awkward, "").collect()
+    assert found and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in found)
+    plain = packing.pack(spark, awkward, packing.load_spec()).drop("ids_crc32").collect()
+    assert sorted((repr(r["doc_id"]), r["start"], tuple(r["ids"])) for r in plain) == sorted((repr(r["doc_id"]), r["start"], tuple(r["ids"])) for r in found)
+
+
 def test_packing_of_nothing(spark, empty):
     assert packing.pack(spark, empty, packing.load_spec()).count() == 0
 

@@ -200,6 +200,7 @@ def _token_bytes(texts: list[str], chunks: _Chunks, end: bytes) -> Iterator[byte
 _SPAN = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve_key long"
 PIECE_SCHEMA = f"{_SPAN}, ids array<int>"
 DIGEST_SCHEMA = f"{_SPAN}, ids_crc32 long"
+STAGE_SCHEMA = f"{PIECE_SCHEMA}, ids_crc32 long"
 
 
 class _Packer:
@@ -239,17 +240,17 @@ class _Packer:
                     left -= self.used
                     self.close()
 
-    def taken(self, digests: bool) -> pa.RecordBatch:
-        """Finished pieces, with their ids or with the digests of these."""
+    def taken(self, schema: str) -> pa.RecordBatch:
+        """Finished pieces, with their ids, the digests of these, or both."""
         columns = list(zip(*self.rows, strict=True)) or [()] * 8
         self.rows = []
         arrays = [pa.array(c, pa.int64()) for c in columns[:-1]]
-        if digests:
-            arrays.append(pa.array(list(map(zlib.crc32, columns[-1])), pa.int64()))
-        else:
+        names = [field.split()[0] for field in schema.split(", ")]
+        if "ids" in names:
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in columns[-1]]))).astype(np.int32)
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(columns[-1]), np.int32))))
-        names = [field.split()[0] for field in (DIGEST_SCHEMA if digests else PIECE_SCHEMA).split(", ")]
+        if "ids_crc32" in names:
+            arrays.append(pa.array(list(map(zlib.crc32, columns[-1])), pa.int64()))
         return pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -268,12 +269,14 @@ def curve_ordered(spark: SparkSession, docs: DataFrame, dims: int, bits: int) ->
     return keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
 
 
-def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 12, digests: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 12, digests: bool = False, ids: bool = False) -> DataFrame:
     """Pieces of all documents: which ids of which text lie where in which sequence.
 
     ``spec``: the tokenizer's JSON text. ``size`` must be a power of two. With ``digests``
-    each piece carries the crc32 of its ids (little-endian, 32 bits) in their place.
+    each piece carries the crc32 of its ids (little-endian, 32 bits) in their place,
+    or beside them with ``ids`` too.
     """
+    schema = PIECE_SCHEMA if not digests else STAGE_SCHEMA if ids else DIGEST_SCHEMA
     end = array("I", [end_id]).tobytes()
     shared = spark.sparkContext.broadcast(spec)  # the vocabulary file: fixed size
 
@@ -281,15 +284,15 @@ def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_
         chunks = _chunks_of(shared.value)
         packer = _Packer(size, TaskContext.get().partitionId() << 40)
         for batch in by_bytes(batches, "text", 4_000_000):
-            ids = _token_bytes(batch.column("text").to_pylist(), chunks, end)
-            for doc_id, key, found in zip(batch.column("doc_id").to_pylist(), batch.column("curve_key").to_pylist(), ids, strict=True):
+            encoded = _token_bytes(batch.column("text").to_pylist(), chunks, end)
+            for doc_id, key, found in zip(batch.column("doc_id").to_pylist(), batch.column("curve_key").to_pylist(), encoded, strict=True):
                 packer.add(doc_id, key, found)
-            yield packer.taken(digests)
+            yield packer.taken(schema)
         packer.finish()
-        yield packer.taken(digests)
+        yield packer.taken(schema)
 
     ordered = curve_ordered(spark, docs.select("doc_id", text_of().alias("text")), dims, bits)
-    return ordered.mapInArrow(lean("packing", packed), DIGEST_SCHEMA if digests else PIECE_SCHEMA)
+    return ordered.mapInArrow(lean("packing", packed), schema)
 
 
 def load_spec(path: str | None = None) -> str:
@@ -302,4 +305,5 @@ def op1_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    return pack(spark, docs, load_spec(path), digests=True)
+    """Pieces with their token ids, and the crc32 of these."""
+    return pack(spark, docs, load_spec(path), digests=True, ids=True)
