@@ -1,4 +1,4 @@
-"""The registered queries against their SQL on the smallest tables, and the command line."""
+"""The registered queries against their SQL, and the parsing of the command line."""
 
 import glob
 import math
@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 

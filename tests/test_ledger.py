@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wattline.functions.timeaxis import DE_LU
 from wattline.operators import ledger
-from wattline.plans import exports
+from wattline.plans import exports, issuing
+from wattline.sources.ledger_store import LedgerStore
 
 DAY = dt.date(2026, 1, 10)
 
@@ -72,12 +73,53 @@ def test_append_keeps_outcomes_and_refuses_changes(spark):
         ledger.validate(stored.unionByName(stored))
 
 
-def test_issue_keeps_abstentions(spark):
-    grid = cells(spark).withColumn("delivery_start_utc", F.lit(utc(2026, 1, 9, 23)).cast("timestamp_ntz"))
-    forecasts = spark.createDataFrame([(DAY, 0, 3.0)], "local_date date, local_hour int, forecast double")
-    stamp = F.lit(utc(2026, 1, 9, 8)).cast("timestamp_ntz")
-    rows = ledger.issue(grid, forecasts, {"zone": "DE-LU", "model": "ridge", "issued_at": stamp, "recorded_at": stamp, "input_as_of": stamp}, DE_LU)
-    assert {r["local_hour"]: r["status"] for r in rows.collect()} == {0: "issued_waiting_for_actual", 1: "abstain_missing_inputs"}
+def whole_issue(spark, hour=8, recorded=None, allow_late=False, left_out=7):
+    grid = issuing.day_grid(spark, DE_LU, DAY)
+    forecasts = grid.where(F.col("local_hour") != left_out).select(F.col("delivery_date").alias("local_date"), "local_hour", F.col("local_hour").cast("double").alias("forecast"))
+    return ledger.issue(grid, forecasts, DE_LU, "ridge", '{"alpha": 0.1}', utc(2026, 1, 9, hour), utc(2026, 1, 9, 7), "0" * 64, recorded, allow_late)
+
+
+def test_issue_keeps_abstentions_and_refuses_late_ones(spark):
+    rows = whole_issue(spark)
+    assert {r["local_hour"]: r["status"] for r in rows.collect()} == {h: "abstain_missing_inputs" if h == 7 else "issued" for h in range(24)}
+    assert rows.where("not eligible or actual is not null").count() == 0
+    with pytest.raises(ledger.LateIssueError, match="late_prediction"):
+        whole_issue(spark, 12)
+    with pytest.raises(ledger.LateIssueError, match="late_recording"):
+        whole_issue(spark, 10, utc(2026, 1, 9, 12))
+    late = whole_issue(spark, 12, allow_late=True)
+    assert {r["status"] for r in late.where("local_hour <> 7").collect()} == {"diagnostic_issued"} and late.where("eligible").count() == 0
+    with pytest.raises(ValueError, match="later"):
+        whole_issue(spark, 6)
+
+
+def test_ledger_rows_must_follow_from_their_evidence(spark):
+    rows = whole_issue(spark).persist()
+    assert ledger.verified(rows, DE_LU).count() == 24
+    changes = {
+        "eligibility": F.lit("late_prediction").alias("eligibility_reason"),
+        "version": F.lit('{"alpha": 9}').alias("configuration"),
+        "id": F.lit("1" * 64).alias("input_sha256"),
+        "another zone": F.lit("FR").alias("zone"),
+    }
+    for message, column in changes.items():
+        name = column._jc.toString().split(" AS ")[-1]
+        with pytest.raises(ValueError, match=message):
+            ledger.verified(rows.withColumn(name, column), DE_LU)
+    with pytest.raises(ValueError, match="missing"):
+        ledger.verified(rows.drop("configuration"), DE_LU)
+
+
+def test_ledger_store_keeps_issues_and_fills_outcomes(spark, tmp_path):
+    book = LedgerStore(spark, str(tmp_path))
+    assert book.read(DE_LU).count() == 0
+    assert book.append(whole_issue(spark), DE_LU) == 1
+    settled = ledger.reconcile(book.read(DE_LU), spark.createDataFrame([(DAY, 3, 30.0)], "local_date date, local_hour int, price double"))
+    book.append(settled, DE_LU)
+    book.append(whole_issue(spark), DE_LU)  # a retry without outcomes erases none
+    assert book.read(DE_LU).count() == 24 and one(book.read(DE_LU).where("status = 'scored'"))["actual"] == 30.0
+    with pytest.raises(ValueError, match="may not change"):
+        book.append(whole_issue(spark).withColumn("forecast", F.col("forecast") + 1), DE_LU)
 
 
 def tries(spark, rows):
@@ -106,6 +148,9 @@ def test_export_round_trip_and_difference(spark, tmp_path):
     near, far = (table.withColumn("v", F.col("v") * (1 + x)) for x in (1e-8, 1e-3))
     assert exports.export_differences({"t": near}, str(tmp_path)) == [] and exports.export_differences({"t": far}, str(tmp_path)) == ["t"]
     assert spark.read.parquet(str(tmp_path / "t")).first()["d"] == "2026-01-10"
+    facts = {"f": {"x": [1.0, "a"]}}
+    exports.export_all({"t": table}, str(tmp_path), facts)
+    assert exports.fact_differences({"f": {"x": [1.0 + 1e-9, "a"]}}, str(tmp_path)) == [] and exports.fact_differences({"f": {"x": [1.1, "a"]}, "g": 1}, str(tmp_path)) == ["f.json", "g.json"]
 
 
 def test_correlations_skip_constants(spark):

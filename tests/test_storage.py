@@ -130,11 +130,12 @@ def test_study_and_scenarios(spark):
     rows = study_input(spark, 2)
     base = evaluate(rows, DE_LU, ("naive_previous_day", "ridge"), (1.0,))
     assert base.risk.count() == 4 and base.comparisons.count() == 3
-    wanted = [s for s in risk.SCENARIOS if s.name in ("base", "cost_5_10", "calendar_downtime")]
-    found = scenario_tables(rows, DE_LU, base, ("naive_previous_day", "ridge"), (1.0,), wanted)
+    found = scenario_tables(rows, DE_LU, base, ("naive_previous_day", "ridge"), (1.0,), ("base", "cost_5_10", "calendar_downtime"))
     profit = {(r["scenario"], r["strategy"]): r["profit_eur"] for r in found.collect()}
     assert profit[("cost_5_10", "ridge")] < profit[("base", "ridge")]
-    assert len(risk.SCENARIOS) == 9
+    assert len(risk.SCENARIOS) == 9 and not risk.Stress.named("calendar_downtime").replans
+    with pytest.raises(KeyError):
+        risk.Stress.named("flood")
 
 
 def daily(spark, values, strategy="a", start=dt.date(2025, 1, 1)):
@@ -167,7 +168,7 @@ def test_bootstrap_draws_are_reproducible(spark):
     rng = np.random.default_rng(1)
     rows = daily(spark, rng.normal(size=80), "naive_previous_day").unionByName(daily(spark, rng.normal(size=80), "ridge"))
     first, second = (one(risk.bootstrap_intervals(rows.repartition(n))) for n in (1, 7))
-    assert first == second and first["ci_low_eur_mw"] < first["ci_high_eur_mw"]
+    assert all(first[c] == pytest.approx(second[c]) for c in ("ci_low_eur_mw", "ci_high_eur_mw")) and first["ci_low_eur_mw"] < first["ci_high_eur_mw"]
 
 
 def test_check_daily(spark):
@@ -182,5 +183,10 @@ def test_weaker_signal_and_outages(spark):
     rows = study_input(spark, 1)
     found = risk.weaken_signal(rows, 0.5).where("model = 'ridge' and local_hour = 20")
     assert one(found)["forecast"] == pytest.approx(75)
+    other = risk.weaken_signal(rows.withColumn("model", F.when(F.col("model") == "ridge", "someone_elses").otherwise(F.col("model"))), 0.5)
+    assert one(other.where("model = 'someone_elses' and local_hour = 20"))["forecast"] == pytest.approx(100)
+    for broken in (lambda: risk.weaken_signal(rows, 1.5), lambda: risk.calendar_outages(rows, 0)):
+        with pytest.raises(ValueError):
+            broken()
     out = risk.calendar_outages(daily(spark, [5] * 40, start=dt.date(2024, 12, 20)), 20)
     assert [r["local_date"] for r in out.where("profit_eur = 0").orderBy("local_date").collect()] == [dt.date(2025, 1, 1), dt.date(2025, 1, 21)]

@@ -1,6 +1,9 @@
 import datetime as dt
 import io
 import json
+import os
+import subprocess
+import sys
 import urllib.error
 
 import pytest
@@ -87,6 +90,30 @@ def test_power_payload(spark):
         feeds.generation_facts(payload(spark, {"unix_seconds": seconds, "production_types": both}), DE_LU)
 
 
+def test_overlapping_payloads_give_each_interval_once(spark):
+    seconds = [START + 3600 * i for i in range(48)]
+    frame = lambda rows: spark.createDataFrame([(dt.datetime(2026, 1, 3 + i), json.dumps(v)) for i, v in enumerate(rows)], "stamp timestamp_ntz, payload string")
+    price = lambda at, value: {"unix_seconds": at, "price": [value] * len(at), "unit": "EUR / MWh"}
+    found = feeds.price_facts(frame([price(seconds, 1.0), price(seconds[24:], 2.0)]), DE_LU).groupBy("price").count()
+    assert {r["price"]: r["count"] for r in found.collect()} == {1.0: 24, 2.0: 24}
+    with pytest.raises(ValueError, match="duplicate"):
+        feeds.price_facts(frame([price([*seconds, seconds[0]], 1.0)]), DE_LU)
+    with pytest.raises(ValueError, match="EUR"):
+        feeds.price_facts(frame([price(seconds, 1.0), {"unix_seconds": seconds, "price": [1.0] * 48}]), DE_LU)
+    power = lambda at, **series: {"unix_seconds": at, "production_types": [{"name": n.replace("_", " "), "data": [v] * len(at)} for n, v in series.items()]}
+    fallback = power(seconds[24:], **{"Load (incl. self-consumption)": 9.0})
+    loads = feeds.load_facts(frame([power(seconds[:24], **{"Load": 5.0, "Load (incl. self-consumption)": 6.0}), fallback]), DE_LU).groupBy("load_mw").count()
+    assert {r["load_mw"]: r["count"] for r in loads.collect()} == {5.0: 24, 9.0: 24}
+
+
+def test_sources_by_name():
+    assert set(feeds.SOURCES) == {"files", "http"} and callable(feeds.get_source("http"))
+    with pytest.raises(KeyError):
+        feeds.get_source("carrier pigeon")
+    asked = http.requests_for("fundamentals", DE_LU, utc(2026, 1, 1), utc(2026, 1, 3))
+    assert [r["production_type"] for r in asked] == list(http.FORECAST_TYPES) and asked[0]["end"] == "2026-01-03"
+
+
 def test_wind_forecast_needs_both_parts(spark):
     seconds = [START + 3600 * i for i in range(3)]
     rows = payload(spark, {"unix_seconds": seconds, "forecast_values": [1, 2, 3], "production_type": "wind_onshore"}).unionByName(
@@ -132,6 +159,9 @@ def test_retries_wait_and_give_up():
     def down(url, timeout):
         raise urllib.error.URLError("down")
 
+    for body in (b"<html>", b"[1]", b"\xff"):
+        with pytest.raises(http.SourceError, match="JSON"):
+            http.fetch("u", lambda url, timeout, body=body: Answer(body), waits.append)
     waits.clear()
     with pytest.raises(http.SourceError, match="6 attempts"):
         http.fetch("u", down, waits.append)
@@ -174,6 +204,38 @@ def test_stream_converges_by_key(spark, tmp_path):
     assert [r["price"] for r in store.read("price").orderBy("ts_utc").collect()] == [0, 1, 50, 3]
 
 
+def test_later_files_win_within_a_batch(spark, tmp_path):
+    store, source = FactStore(spark, str(tmp_path / "store")), tmp_path / "in"
+    for value, at in ((7, 3000), (9, 5000), (8, 4000)):
+        part = tmp_path / f"part{value}"
+        conform(facts(spark, [(utc(2026, 1, 1), value)]), "price").coalesce(1).write.parquet(str(part))
+        (file,) = part.glob("*.parquet")
+        source.mkdir(exist_ok=True)
+        file.rename(source / f"{value}.parquet")
+        os.utime(source / f"{value}.parquet", (1_700_000_000 + at, 1_700_000_000 + at))
+    stream_upserts(spark, str(source), "price", store, str(tmp_path / "ck")).awaitTermination()
+    assert one(store.read("price"))["price"] == 9
+
+
+def test_bounds_do_not_depend_on_the_hosts_zone(tmp_path):
+    """A fresh engine on a host of another zone reads the same rows."""
+    code = f"""
+import datetime as dt
+from pyspark.sql import SparkSession, functions as F
+from wattline.sources.store import FactStore
+from wattline.sources.fixtures import SWITCH
+from wattline.functions.timeaxis import utc_literal
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '1').config('spark.sql.session.timeZone', 'UTC').getOrCreate()
+rows = spark.sql("select 'DE-LU' zone, timestamp_ntz'2024-01-15 23:00:00' + make_dt_interval(0, h) ts_utc, cast(60 as short) resolution_min, cast(h as double) price, 'EUR' currency, 't' source from (select explode(sequence(0, 3)) h)")
+store = FactStore(spark, r'{tmp_path}/store')
+store.write(rows, 'price')
+print('KEPT', store.read('price', start=SWITCH, end=dt.datetime(2024, 1, 16, 2)).count(), spark.range(1).select(utc_literal(dt.datetime(2024, 1, 16, tzinfo=dt.timezone(dt.timedelta(hours=2)))).cast('string')).first()[0])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "TZ": "America/New_York", "PYTHONPATH": root}, capture_output=True, text=True, timeout=300, check=False)
+    assert "KEPT 2 2024-01-15 22:00:00" in done.stdout, done.stderr[-2000:]
+
+
 def test_streamed_hours_wait_for_the_watermark(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [(utc(2026, 1, 1, 0, 15 * i), float(i), 15) for i in range(4)] + [(utc(2026, 1, 1, 1), 9.0, 15), (utc(2026, 1, 20), 1.0)]
@@ -202,12 +264,13 @@ def test_attempt_log(spark, tmp_path):
     logs.start_attempt(root, "a-1", "DE-LU", "ridge", dt.date(2026, 1, 2), "schedule", now)
     logs.start_attempt(root, "a-1", "DE-LU", "ridge", dt.date(2026, 1, 2), "schedule", now)
     assert one(logs.read_attempts(spark, root))["status"] == "started"
-    logs.finish_attempt(root, "a-1", "issued", now, "id")
+    logs.finish_attempt(root, "a-1", "issued", now, "0" * 64)
     logs.start_attempt(root, "a-2", "DE-LU", "ridge", dt.date(2026, 1, 2), "manual", now)
     assert {r["attempt_id"]: r["status"] for r in logs.read_attempts(spark, root).collect()} == {"a-1": "issued", "a-2": "started"}
-    for broken in (lambda: logs.finish_attempt(root, "a-1", "issued", now), lambda: logs.finish_attempt(root, "a-3", "issued", now), lambda: logs.finish_attempt(root, "a-2", "great", now), lambda: logs.start_attempt(root, "../x", "Z", "m", dt.date(2026, 1, 2), "o", now), lambda: logs.start_attempt(root, "a-1", "DE-LU", "other", dt.date(2026, 1, 2), "schedule", now)):
+    for broken in (lambda: logs.finish_attempt(root, "a-1", "issued", now), lambda: logs.finish_attempt(root, "a-3", "issued", now), lambda: logs.finish_attempt(root, "a-2", "great", now), lambda: logs.start_attempt(root, "../x", "DE-LU", "m", dt.date(2026, 1, 2), "manual", now), lambda: logs.start_attempt(root, "a-4", "DE-LU", "m", dt.date(2026, 1, 2), "whim", now), lambda: logs.finish_attempt(root, "a-2", "late", now - HOUR), lambda: logs.finish_attempt(root, "a-2", "failed", now, error_type="it broke"), lambda: logs.finish_attempt(root, "a-2", "issued", now, "id"), lambda: logs.start_attempt(root, "a-1", "DE-LU", "other", dt.date(2026, 1, 2), "schedule", now)):
         with pytest.raises(ValueError):
             broken()
+    assert logs.finish_attempt(root, "a-1", "failed", now, if_open=True)["status"] == "issued"
 
 
 def test_probe_log_appends(spark, tmp_path):
@@ -224,9 +287,12 @@ def test_release_is_frozen_and_tamper_evident(spark, tmp_path):
     assert one(tables["t"]) == {"a": 1, "b": 0.5} and metadata == {"run": 1}
     with pytest.raises(FileExistsError):
         evidence.save_release({"t": table}, {"run": 1}, str(tmp_path))
-    (tmp_path / name / "t.parquet").write_bytes(b"x")
+    (file,) = (tmp_path / name / "t").glob("*.parquet")
+    file.write_bytes(b"x")
     with pytest.raises(ValueError, match="altered"):
         evidence.read_release(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        evidence.read_release(spark, str(tmp_path / "nowhere"))
     blob = evidence.write_blob(str(tmp_path), b"data")
     assert evidence.read_blob(str(tmp_path), blob) == b"data"
     (tmp_path / "blobs" / blob).write_bytes(b"other")
@@ -239,9 +305,12 @@ def test_evidence_is_shared_by_month_and_verified(spark, tmp_path):
     first = evidence.save_evidence(str(tmp_path), {"price": rows}, {"issue": 1})
     revised = rows.withColumn("price", F.when(F.col("ts_utc") == utc(2026, 2, 1), 9.0).otherwise(F.col("price")))
     second = evidence.save_evidence(str(tmp_path), {"price": revised}, {"issue": 2})
-    assert first != second and len(list((tmp_path / "blobs").iterdir())) == 5  # two manifests, January shared
+    blobs = [p for p in (tmp_path / "blobs").iterdir() if not p.name.startswith(".")]
+    assert first != second and len(blobs) == 6  # two manifests, three months (January shared), the sources
     tables, metadata = evidence.read_evidence(spark, str(tmp_path), first)
     assert metadata == {"issue": 1} and tables["price"].count() == 2
+    with pytest.raises(ValueError):
+        evidence.digest({"x": float("nan")})
     assert evidence.fingerprint(rows) == evidence.fingerprint(rows.repartition(3)) != evidence.fingerprint(revised)
 
 

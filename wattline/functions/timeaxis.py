@@ -7,6 +7,7 @@ repeated autumn hour cannot be told apart from the local side.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,16 @@ def get_zone(code: str) -> Zone:
     return ZONES[code]
 
 
+def utc_literal(value: dt.datetime) -> Column:
+    """A UTC wall clock as a constant; ``F.lit(datetime)`` would be read in the host's zone.
+
+    Aware datetimes are taken to UTC, naive ones are UTC already.
+    """
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.UTC).replace(tzinfo=None)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def to_local(ts: Column, zone: Zone) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone.timezone), ts)
 

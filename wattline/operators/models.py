@@ -1,13 +1,14 @@
-"""Walk-forward price models: naive projections, per-hour ridge, boosted trees.
+"""Walk-forward price models: naive projections and per-hour ridge (trees: ``trees.py``).
 
 Ridge refits every day at every local hour. All refits of one hour come from running
-sums of the moments and one batched solve, inside a grouped map per (zone, hour).
+sums of the moments and one batched solve, inside a grouped map per zone and hour.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 NAIVE = {"naive_previous_day": "price_d1", "naive_previous_week": "price_d7", "naive_similar_day": "price_similar_day"}
 ALPHAS = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
-FORECAST_SCHEMA = "local_date date, local_hour int, forecast double"
+#: Fixed value: a deviation below this share of a feature's level counts as none.
+CONSTANT = 1e-9
 
 
 def naive_forecasts(panel: DataFrame) -> DataFrame:
@@ -25,105 +27,169 @@ def naive_forecasts(panel: DataFrame) -> DataFrame:
     return panel.select("local_date", "local_hour", pairs).select("x.model", "local_date", "local_hour", "x.forecast").where("forecast is not null")
 
 
-def ridge_solve(gram: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarray:
-    """Coefficients [intercept, weights] from the moments of [1, x] (leading axes batch).
+@dataclass(frozen=True)
+class Moments:
+    """Running sums over the rows of one cell, taken about a fixed point near the data.
 
-    Features are centred and scaled by their population deviation, the penalty is
-    alpha * n on the scaled features, the intercept is free, and a feature that does
-    not vary gets weight 0.
+    Shifting rows does not change a ridge with a free intercept, and keeps small deviations
+    from drowning in large means. ``spans(start, stop)`` are the sums of rows start..stop-1.
     """
-    n = gram[..., 0, 0]
-    mean_x = gram[..., 0, 1:] / n[..., None]
-    mean_y = cross[..., 0] / n
-    cov = gram[..., 1:, 1:] / n[..., None, None] - mean_x[..., :, None] * mean_x[..., None, :]
-    to_y = cross[..., 1:] / n[..., None] - mean_x * mean_y[..., None]
-    variance = np.einsum("...ii->...i", cov)
-    second = np.einsum("...ii->...i", gram[..., 1:, 1:]) / n[..., None]
-    varies = variance > 1e-9 * np.maximum(second, 1e-300)
-    scale = np.where(varies, np.sqrt(np.where(varies, variance, 1.0)), 1.0)
-    matrix = cov / (scale[..., :, None] * scale[..., None, :])
-    matrix = np.where(varies[..., :, None] & varies[..., None, :], matrix, 0.0)
-    size = matrix.shape[-1]
-    matrix = matrix + np.eye(size) * np.where(varies, alpha, 1.0)[..., None, :]
-    scaled = np.where(varies, to_y / scale, 0.0)
-    weights = np.linalg.solve(matrix, scaled[..., None])[..., 0] / scale
-    return np.concatenate([(mean_y - (mean_x * weights).sum(-1))[..., None], weights], axis=-1)
-
-
-def _walk(part: pd.DataFrame, features: list[str], target: str, alpha: float, least: int, start, end, window: int | None) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """Complete rows of one hour by date, coefficients at each scored row, and their places."""
+
+    shift: np.ndarray  # per feature
+    count: np.ndarray
+    first: np.ndarray  # (rows + 1, features)
+    second: np.ndarray  # (rows + 1, features, features)
+    target: np.ndarray
+    cross: np.ndarray
+    changes: np.ndarray  # how often a feature differs from the row before
+
+    @staticmethod
+    def of(x: np.ndarray, y: np.ndarray) -> Moments:
+        shift = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        z = x - shift
+        run = lambda values: np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
+        steps = np.concatenate([np.zeros((min(1, len(z)), z.shape[1])), (z[1:] != z[:-1]).astype(float)])
+        return Moments(shift, np.arange(len(z) + 1.0), run(z), run(z[:, :, None] * z[:, None, :]), run(y), run(z * y[:, None]), run(steps))
+
+    def weights(self, start: np.ndarray, stop: np.ndarray, alpha: float) -> np.ndarray:
+        """[intercept, weights] for each pair of row bounds (start < stop)."""
+        part = lambda sums: sums[stop] - sums[start]
+        n = part(self.count)
+        mean, mean_y = part(self.first) / n[:, None], part(self.target) / n
+        spread = part(self.second) / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        to_y = part(self.cross) / n[:, None] - mean * mean_y[:, None]
+        deviation = np.sqrt(np.maximum(np.einsum("...ii->...i", spread), 0.0))
+        # Steps into a span's first row do not count.
+        moved = (self.changes[stop] - self.changes[np.minimum(start + 1, stop)]) > 0
+        varies = moved & (deviation > CONSTANT * (1.0 + np.abs(mean + self.shift)))
+        unit = np.where(varies, deviation, 1.0)
+        both = varies[:, :, None] & varies[:, None, :]
+        system = np.where(both, spread / (unit[:, :, None] * unit[:, None, :]), 0.0)
+        system = system + np.eye(len(self.shift)) * np.where(varies, alpha, 1.0)[:, None, :]
+        found = np.linalg.solve(system, np.where(varies, to_y / unit, 0.0)[..., None])[..., 0] / unit
+        found = np.where(varies, found, 0.0)
+        return np.column_stack([mean_y - ((mean + self.shift) * found).sum(axis=1), found])
+
+
+def ridge_weights(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
+    """[intercept, weights] of one fit: population-standardised features, penalty alpha per row.
+
+    The intercept is free; a feature whose deviation is below ``CONSTANT`` of its level has
+    weight 0.
+    """
+    return Moments.of(x, y).weights(np.array([0]), np.array([len(y)]), alpha)[0]
+
+
+def _cells(panel: DataFrame) -> list[str]:
+    """What makes a cell of its own: the local hour, and the zone where the panel names it."""
+    return [c for c in ("zone", "local_hour") if c in panel.columns]
+
+
+def _schema(keys: Sequence[str], rest: str) -> str:
+    kinds = {"zone": "zone string", "local_hour": "local_hour int", "alpha": "alpha double"}
+    return ", ".join([*(kinds[k] for k in keys), rest])
+
+
+def _labels(part: pd.DataFrame, keys: Sequence[str], n: int) -> dict[str, object]:
+    kinds = {"local_hour": "int32", "zone": object, "alpha": float}
+    return {k: np.full(n, part[k].iloc[0], dtype=kinds[k]) for k in keys}
+
+
+def _floor(least: int, features: Sequence[str], window: int | None = None) -> int:
+    """Rows that a fit needs; a rolling window must be able to hold them."""
+    if least < 0:
+        raise ValueError("min_train_rows cannot be negative")
+    floor = max(least, len(features) + 2)
+    if window is not None and window < floor:
+        raise ValueError(f"a rolling window must hold at least {floor} rows")
+    return floor
+
+
+def _walk(part: pd.DataFrame, features: list[str], target: str, alpha: float, floor: int, start, end, window: int | None) -> tuple[pd.DataFrame, np.ndarray]:
+    """Scored rows of one cell with their forecasts, each from the complete rows before it."""
     rows = part.dropna(subset=[*features, target]).sort_values("local_date").reset_index(drop=True)
-    design = np.column_stack([np.ones(len(rows)), rows[features].to_numpy(float)]) if len(rows) else np.zeros((0, len(features) + 1))
-    y = rows[target].to_numpy(float)
-    gram = np.concatenate([np.zeros((1, design.shape[1], design.shape[1])), np.cumsum(design[:, :, None] * design[:, None, :], axis=0)])
-    cross = np.concatenate([np.zeros((1, design.shape[1])), np.cumsum(design * y[:, None], axis=0)])
-    dates = pd.to_datetime(rows["local_date"]) if len(rows) else pd.Series([], dtype="datetime64[ns]")
-    scored = np.arange(len(rows)) >= max(least, len(features) + 2)
+    x, y = rows[features].to_numpy(float).reshape(len(rows), len(features)), rows[target].to_numpy(float)
+    dates = pd.to_datetime(rows["local_date"])
+    scored = np.arange(len(rows)) >= floor
     if start is not None:
         scored &= (dates >= pd.Timestamp(start)).to_numpy()
     if end is not None:
         scored &= (dates <= pd.Timestamp(end)).to_numpy()
     at = np.flatnonzero(scored)
+    if not len(at) or not features:
+        return rows.iloc[:0], np.zeros(0)
     low = np.maximum(0, at - window) if window else np.zeros(len(at), int)
-    if not len(at):
-        return rows, np.zeros((0, design.shape[1])), at
-    return rows, ridge_solve(gram[at] - gram[low], cross[at] - cross[low], alpha), at
+    found = Moments.of(x, y).weights(low, at, alpha)
+    return rows.iloc[at], found[:, 0] + (found[:, 1:] * x[at]).sum(axis=1)
 
 
 def ridge_walk_forward(panel: DataFrame, features: Sequence[str], target: str = "price", alpha: float = 0.1, min_train_rows: int = 30, start: dt.date | None = None, end: dt.date | None = None, window: int | None = None) -> DataFrame:
-    """Forecast of each complete cell from a refit on all earlier complete cells of its hour."""
-    names = list(features)
+    """Forecast of each complete cell from a refit on all earlier complete rows of its zone and hour."""
+    names, keys, floor = list(features), _cells(panel), _floor(min_train_rows, features, window)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        rows, coefficients, at = _walk(part, names, target, alpha, min_train_rows, start, end, window)
-        design = np.column_stack([np.ones(len(at)), rows[names].to_numpy(float)[at]]) if len(at) else np.zeros((0, len(names) + 1))
-        return pd.DataFrame({"local_date": rows["local_date"].iloc[at], "local_hour": rows["local_hour"].iloc[at].astype("int32"), "forecast": (design * coefficients).sum(axis=1)})
+        rows, forecast = _walk(part, names, target, alpha, floor, start, end, window)
+        return pd.DataFrame({**_labels(part, keys, len(rows)), "local_date": rows["local_date"].to_numpy(), "forecast": forecast})
+
+    found = panel.select("local_date", *keys, target, *names).groupBy(*keys).applyInPandas(fit, _schema(keys, "local_date date, forecast double"))
+    return found.select(*[c for c in ("zone", "local_date", "local_hour", "forecast") if c in found.columns])
 
-    return panel.select("local_date", "local_hour", target, *names).groupBy("local_hour").applyInPandas(fit, FORECAST_SCHEMA)
 
+def ridge_predict_day(panel: DataFrame, features: Sequence[str], day: dt.date, target: str = "price", alpha: float = 0.1, min_train_rows: int = 30, window: int | None = None) -> DataFrame:
+    """Forecasts of one day from fits on what lies strictly before it; its own target is never read.
 
-def ridge_coefficients(panel: DataFrame, features: Sequence[str], target: str = "price", alpha: float = 0.1) -> DataFrame:
-    """(local_hour, feature, coefficient, train_sd, effect) at the last refit of each hour."""
-    names = list(features)
+    Hours with a missing feature or too little history are left out.
+    """
+    names, keys, floor = list(features), _cells(panel), _floor(min_train_rows, features, window)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        dates = pd.to_datetime(part["local_date"])
+        past = part[dates < pd.Timestamp(day)].dropna(subset=[*names, target]).sort_values("local_date")
+        wanted = part[dates == pd.Timestamp(day)].dropna(subset=names)
+        if len(past) < floor or wanted.empty or not names:
+            wanted, forecast = wanted.iloc[:0], np.zeros(0)
+        else:
+            past = past.tail(window) if window else past
+            found = ridge_weights(past[names].to_numpy(float), past[target].to_numpy(float), alpha)
+            forecast = found[0] + wanted[names].to_numpy(float) @ found[1:]
+        return pd.DataFrame({**_labels(part, keys, len(wanted)), "local_date": wanted["local_date"].to_numpy(), "forecast": forecast})
+
+    rows = panel.where(F.col("local_date") <= F.lit(day)).select("local_date", *keys, target, *names)
+    found = rows.groupBy(*keys).applyInPandas(fit, _schema(keys, "local_date date, forecast double"))
+    return found.select(*[c for c in ("zone", "local_date", "local_hour", "forecast") if c in found.columns])
+
+
+def ridge_coefficients(panel: DataFrame, features: Sequence[str], target: str = "price", alpha: float = 0.1, before: dt.date | None = None, window: int | None = None) -> DataFrame:
+    """(local_hour, feature, coefficient, train_sd, effect) at the last refit of each cell.
+
+    ``before``: only rows of earlier days are learned from. Cells with no more rows than
+    features are left out.
+    """
+    names, keys = list(features), _cells(panel)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.dropna(subset=[*names, target])
+        rows = part.dropna(subset=[*names, target]).sort_values("local_date")
+        rows = rows.tail(window) if window else rows
+        n = len(names) if len(rows) > len(names) else 0
         x, y = rows[names].to_numpy(float), rows[target].to_numpy(float)
-        design = np.column_stack([np.ones(len(rows)), x])
-        weights = ridge_solve(design.T @ design, design.T @ y, alpha)[1:] if len(rows) else np.full(len(names), np.nan)
-        sd = x.std(axis=0) if len(rows) else np.full(len(names), np.nan)
-        return pd.DataFrame({"local_hour": int(part["local_hour"].iloc[0]), "feature": names, "coefficient": weights, "train_sd": sd, "effect": weights * sd})
+        weights = ridge_weights(x, y, alpha)[1:] if n else np.zeros(0)
+        deviation = x.std(axis=0) if n else np.zeros(0)
+        return pd.DataFrame({**_labels(part, keys, n), "feature": np.array(names[:n], dtype=object), "coefficient": weights, "train_sd": deviation, "effect": weights * deviation})
 
-    return panel.select("local_date", "local_hour", target, *names).groupBy("local_hour").applyInPandas(fit, "local_hour int, feature string, coefficient double, train_sd double, effect double")
+    rows = panel if before is None else panel.where(F.col("local_date") < F.lit(before))
+    return rows.select("local_date", *keys, target, *names).groupBy(*keys).applyInPandas(fit, _schema(keys, "feature string, coefficient double, train_sd double, effect double"))
 
 
 def alpha_search(panel: DataFrame, features: Sequence[str], start: dt.date, end: dt.date, alphas: Sequence[float] = ALPHAS, target: str = "price", min_train_rows: int = 30) -> DataFrame:
-    """(alpha, n, mae) over a validation window, every alpha and hour in parallel."""
-    names = list(features)
-    grid = panel.select("local_date", "local_hour", target, *names).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    """(alpha, n, mae) over a validation window, every alpha and cell in parallel."""
+    names, keys, floor = list(features), ["alpha", *_cells(panel)], _floor(min_train_rows, features)
+    grid = panel.select("local_date", *keys[1:], target, *names).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         alpha = float(part["alpha"].iloc[0])
-        rows, coefficients, at = _walk(part, names, target, alpha, min_train_rows, start, end, None)
-        design = np.column_stack([np.ones(len(at)), rows[names].to_numpy(float)[at]]) if len(at) else np.zeros((0, len(names) + 1))
-        errors = np.abs(rows[target].to_numpy(float)[at] - (design * coefficients).sum(axis=1))
-        return pd.DataFrame({"alpha": [alpha], "n": [len(at)], "total": [float(errors.sum())]})
+        rows, forecast = _walk(part, names, target, alpha, floor, start, end, None)
+        errors = np.abs(rows[target].to_numpy(float) - forecast)
+        return pd.DataFrame({"alpha": [alpha], "n": [len(rows)], "total": [float(errors.sum())]})
 
-    parts = grid.groupBy("alpha", "local_hour").applyInPandas(fit, "alpha double, n long, total double")
+    parts = grid.groupBy(*keys).applyInPandas(fit, "alpha double, n long, total double")
     return parts.groupBy("alpha").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mae")).where("n > 0")
-
-
-def boosted_forecasts(panel: DataFrame, features: Sequence[str], target: str, split: dt.date, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42) -> DataFrame:
-    """Pooled gradient-boosted trees with absolute loss: fit before ``split``, forecast after.
-
-    Level-wise trees: forecasts are not comparable with those of a leaf-wise library.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    inputs = [*features, "local_hour"]
-    rows = panel.select("local_date", "local_hour", target, *features).dropna()
-    rows = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows)
-    trees = GBTRegressor(featuresCol="x", labelCol=target, lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, predictionCol="forecast")
-    model = trees.fit(rows.where(F.col("local_date") < F.lit(split)))
-    return model.transform(rows.where(F.col("local_date") >= F.lit(split))).select("local_date", "local_hour", "forecast")

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.timeaxis import Zone, attach_local_time, market_gate, truncated
+from wattline.functions.timeaxis import Zone, attach_local_time, market_gate, truncated, utc_literal
 
 CELL = ("local_date", "local_hour")
 
@@ -102,6 +102,9 @@ def preview_weeks(predictions: DataFrame, weeks: int = 12) -> DataFrame:
     return predictions.where(monday.isin(*[listed[i] for i in picks]))
 
 
+def week_slice(predictions: DataFrame, monday: dt.date) -> DataFrame:
+    """The predictions of the seven days from a Monday on."""
+    return predictions.where((F.col("local_date") >= F.lit(monday)) & (F.col("local_date") < F.date_add(F.lit(monday), 7)))
 
 
 def hourly_wide(facts: DataFrame, series: tuple[str, ...] = ("load", "wind", "solar")) -> DataFrame:
@@ -122,4 +125,4 @@ def retrospective_vintages(facts: DataFrame, zone: Zone) -> DataFrame:
 def prospective_vintages(facts: DataFrame, zone: Zone, delivery: dt.date, retrieved_at: dt.datetime) -> DataFrame:
     """Vintages of one delivery day, published when they were retrieved."""
     rows = attach_local_time(hourly_wide(facts), zone).where(F.col("local_date") == F.lit(delivery))
-    return rows.select("ts_utc", F.lit(retrieved_at).cast("timestamp_ntz").alias("published_at"), "load", "wind", "solar")
+    return rows.select("ts_utc", utc_literal(retrieved_at).alias("published_at"), "load", "wind", "solar")

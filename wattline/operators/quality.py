@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.expr import is_finite, ratio
-from wattline.functions.timeaxis import Zone, delivery_hours, hours_between, interval_hours, market_gate, truncated
-from wattline.sources.contracts import contract
+from wattline.functions.timeaxis import Zone, delivery_hours, hours_between, interval_hours, market_gate, truncated, utc_literal
+from wattline.sources.contracts import SERIES, contract
 
 from .intervals import epoch_seconds, with_gaps
 
@@ -54,17 +55,20 @@ def report(facts: dict[str, DataFrame], zone: Zone) -> DataFrame:
 
 def freshness(latest: DataFrame, declared: DataFrame, now: dt.datetime, limit: float = MAX_LAG_HOURS) -> DataFrame:
     """zone, dataset, lag_hours, severity and its rank: missing first, then the most stale."""
-    lag = hours_between(F.col("last_ts_utc"), F.lit(now).cast("timestamp_ntz"))
+    lag = hours_between(F.col("last_ts_utc"), utc_literal(now))
     rows = declared.join(latest, ["zone", "dataset"], "left").select("zone", "dataset", lag.alias("lag_hours"))
     severity = F.when(F.col("lag_hours").isNull(), "MISSING").when(F.col("lag_hours") > limit, "STALE").otherwise("ok")
     return rows.withColumn("severity", severity)
 
 
-def served_hours(facts: DataFrame, zone: Zone, days: DataFrame, checked_at: dt.datetime) -> DataFrame:
-    """Per series and delivery day: distinct UTC hours served, hours expected, minutes to the gate."""
+def served_hours(facts: DataFrame, zone: Zone, days: DataFrame, checked_at: dt.datetime, declared: Sequence[str] = SERIES) -> DataFrame:
+    """Per declared series and delivery day: distinct UTC hours served, hours expected, minutes to the gate.
+
+    A series that serves nothing at all has a row of zero hours for every day.
+    """
     expected = delivery_hours(days, zone).groupBy("delivery_date").agg(F.sum("delivery_duration_hours").cast("long").alias("hours_expected"))
     local = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone.timezone), F.col("ts_utc")))
     served = facts.groupBy("series", local.alias("delivery_date")).agg(F.countDistinct(truncated(F.col("ts_utc"))).alias("hours_covered"))
-    grid = expected.join(facts.select("series").distinct())  # a handful of series
-    gate = F.floor(F.timestamp_diff("SECOND", F.lit(checked_at).cast("timestamp_ntz"), market_gate(F.col("delivery_date"), zone)) / 60)
+    grid = expected.withColumn("series", F.explode(F.array(*[F.lit(s) for s in declared])))
+    gate = F.floor(F.timestamp_diff("SECOND", utc_literal(checked_at), market_gate(F.col("delivery_date"), zone)) / 60)
     return grid.join(served, ["series", "delivery_date"], "left").select("series", "delivery_date", "hours_expected", F.coalesce("hours_covered", F.lit(0)).alias("hours_covered"), gate.alias("minutes_before_gate"))

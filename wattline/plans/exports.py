@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import json
-import os
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.expr import correlation, is_finite, ratio
+from wattline.functions.files import exists, read_file, replace_file
 from wattline.functions.timeaxis import Zone, plus_minutes, to_local
 from wattline.operators.prices import block_prices, capture_rate, intraday_spread, negative_share
 
@@ -88,13 +88,34 @@ def published(frame: DataFrame) -> DataFrame:
     return frame.withColumns(text).orderBy(*exact, *floats) if text else frame.orderBy(*exact, *floats)
 
 
-def export_all(tables: Mapping[str, DataFrame], folder: str, metadata: Mapping[str, object] | None = None) -> None:
-    """Each small result table as one Parquet file folder, and the build's metadata."""
+def export_all(tables: Mapping[str, DataFrame], folder: str, facts: Mapping[str, object] | None = None) -> None:
+    """Each result table as a Parquet folder of one file, each fact as a JSON file."""
     for name, frame in tables.items():
         published(frame).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    text = json.dumps({"tables": sorted(tables), "built": dt.date.today().isoformat(), **(metadata or {})}, sort_keys=True, default=str)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
+    for name, value in (facts or {}).items():
+        replace_file(SparkSession.active(), f"{folder}/{name}.json", json.dumps(value, indent=2, sort_keys=True, default=str).encode())
+
+
+def close(stored: object, fresh: object, relative: float = 1e-6, absolute: float = 1e-9) -> bool:
+    """Whether two JSON values agree, numbers within a tolerance."""
+    if isinstance(stored, dict) and isinstance(fresh, dict):
+        return stored.keys() == fresh.keys() and all(close(stored[k], fresh[k], relative, absolute) for k in stored)
+    if isinstance(stored, list) and isinstance(fresh, list):
+        return len(stored) == len(fresh) and all(close(x, y, relative, absolute) for x, y in zip(stored, fresh, strict=True))
+    if isinstance(stored, float) and isinstance(fresh, (int, float)):
+        return math.isclose(stored, fresh, rel_tol=relative, abs_tol=absolute)
+    return stored == fresh
+
+
+def fact_differences(facts: Mapping[str, object], folder: str) -> list[str]:
+    """Names of JSON facts that are absent or differ from a rebuild."""
+    spark, differing = SparkSession.active(), []
+    for name, value in facts.items():
+        path = f"{folder}/{name}.json"
+        fresh = json.loads(json.dumps(value, default=str))
+        if not exists(spark, path) or not close(json.loads(read_file(spark, path)), fresh):
+            differing.append(f"{name}.json")
+    return differing
 
 
 def export_differences(tables: Mapping[str, DataFrame], folder: str, relative: float = 1e-6, absolute: float = 1e-9) -> list[str]:
@@ -102,7 +123,10 @@ def export_differences(tables: Mapping[str, DataFrame], folder: str, relative: f
     differing = []
     for name, frame in tables.items():
         fresh = published(frame)
-        stored = frame.sparkSession.read.parquet(os.path.join(folder, name))
+        if not exists(frame.sparkSession, f"{folder}/{name}"):
+            differing.append(name)
+            continue
+        stored = frame.sparkSession.read.parquet(f"{folder}/{name}")
         if fresh.dtypes != stored.dtypes:
             differing.append(name)
             continue

@@ -1,8 +1,8 @@
 """The registered queries as DuckDB SQL over the same tables.
 
-Left out, because SQL does not express them: the dynamic programme with its tie rules
-(dispatch_full, dispatch_summary, daily_margins), the many-feature ridge, boosted trees
-and the seeded bootstrap.
+Left out, because SQL does not express them: the many-feature ridge, the default boosted
+trees and the bootstrap with a seeded generator; each has a smaller twin that SQL does
+express (two features, one split, draws by rule).
 """
 
 from __future__ import annotations
@@ -152,8 +152,8 @@ _DAILY = """dm0 AS (SELECT ['naive_previous_day', 'naive_previous_week', 'naive_
   avg(o_totalprice) / 997 - 150 AS profit_eur FROM orders GROUP BY 1, 2), dm AS (SELECT *, CAST(2 AS DOUBLE) AS power_mw, CAST(4 AS DOUBLE) AS energy_mwh FROM dm0 WHERE local_date IN (SELECT local_date FROM dm0 GROUP BY 1 HAVING count(*) = 4))"""
 _CAP = """cap AS (SELECT strftime(o_orderdate, '%Y') AS period, o_orderpriority AS technology, sum(o_totalprice) / 1e6 AS value, strftime(o_orderdate, '%Y') = '2001' AS is_planned FROM orders GROUP BY ALL)"""
 _ATT = """att AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'ridge' ELSE 'ridge_da' END AS model, CAST(ts AS DATE) AS delivery_date, ts AS stamp,
-  CASE WHEN event_id % 80 = 0 THEN 'schedule' ELSE 'manual' END AS origin, CASE WHEN event_id % 280 = 0 THEN 'started' ELSE CASE event_type WHEN 'click' THEN 'issued' WHEN 'view' THEN 'partial'
-  WHEN 'signup' THEN 'abstained' WHEN 'purchase' THEN 'late' ELSE 'failed' END END AS status FROM events WHERE event_id % 40 = 0)"""
+  CASE WHEN event_id % 2 = 0 THEN 'schedule' ELSE 'manual' END AS origin, CASE WHEN event_id % 7 = 0 THEN 'started' ELSE CASE event_type WHEN 'click' THEN 'issued' WHEN 'view' THEN 'partial'
+  WHEN 'signup' THEN 'abstained' WHEN 'purchase' THEN 'late' ELSE 'failed' END END AS status FROM events)"""
 _DRAW = """dd AS (SELECT strategy, power_mw, energy_mwh, greatest(0, max(greatest(0, top) - bal)) AS max_drawdown_eur FROM (SELECT *, max(bal) OVER w AS top FROM (
   SELECT *, sum(profit_eur) OVER (PARTITION BY strategy ORDER BY local_date) AS bal FROM dm) WINDOW w AS (PARTITION BY strategy ORDER BY local_date)) GROUP BY ALL)"""
 _WORST = """wm AS (SELECT strategy, power_mw, energy_mwh, month AS worst_observed_month, profit AS worst_observed_month_eur, n AS worst_month_observed_days FROM (
@@ -194,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "cannibalisation_month": f"WITH {_PRICE}, {_GEN} SELECT period, {_r(*_CAPTURE_COLUMNS)}, fuel FROM (SELECT *, 'solar' AS fuel FROM {_capture('solar', 'month')} UNION ALL SELECT *, 'wind' FROM {_capture('wind', 'month')})",
         "price_shape_pct": f"""WITH {_PRICE}, {_lp()}, b AS (SELECT * FROM {_blocks("year")}), s AS (SELECT strftime(d, '%Y') AS year, h AS local_hour, sum(price * w) / sum(w) AS price, sum(w) AS observed_hours, count(*) AS n_intervals FROM lp GROUP BY 1, 2)
   SELECT year, local_hour, round(price, 6) AS price, round(100 * price / nullif(all_hours, 0), 6) AS pct_of_baseload, round(all_hours, 6) AS baseload_price, round(observed_hours, 6) AS observed_hours, n_intervals FROM s LEFT JOIN b ON b.period = s.year""",
-        "daily_price_segments": f"""WITH {_PRICE}, part AS (SELECT * FROM price WHERE day(ts_utc) % 5 <> 0), {_lp("part")}, b AS (SELECT * FROM {_blocks("day")})
+        "daily_price_segments": f"""WITH {_PRICE}, part AS (SELECT * REPLACE (CASE WHEN day(ts_utc) % 2 = 0 THEN ts_utc + INTERVAL 364 DAY ELSE ts_utc END AS ts_utc) FROM price), {_lp("part")}, b AS (SELECT * FROM {_blocks("day")})
   SELECT period AS date, {_r("on_peak", "off_peak", "spread", "all_hours")}, n_on_peak, n_off_peak, CAST(sum(gap) OVER (ORDER BY period) AS BIGINT) AS segment, 'EUR' AS currency, 'DE-LU' AS zone
   FROM (SELECT *, CAST(coalesce(CAST(period AS DATE) - lag(CAST(period AS DATE)) OVER (ORDER BY period), 1) > 1 AS INT) AS gap FROM b)""",
         "hourly_mean_complete": f"WITH {_PRICE}, {_HM} SELECT local_date, local_hour, ts_utc, {_r('price', 'covered_hours')} FROM hm",
@@ -221,12 +221,11 @@ def oracle_sql() -> dict[str, str]:
   sv AS (SELECT fuel AS series, CAST({_local("ts_utc")} AS DATE) AS delivery_date, count(DISTINCT date_trunc('hour', ts_utc)) AS n FROM gen GROUP BY 1, 2)
   SELECT f.series, days.delivery_date, CAST(24 AS BIGINT) AS hours_expected, coalesce(n, 0) AS hours_covered,
   CAST(floor(epoch({_UTC.format("(CAST(days.delivery_date - 1 AS TIMESTAMP) + INTERVAL 12 HOUR)")} - TIMESTAMP '2024-01-15 09:30:45') / 60) AS BIGINT) AS minutes_before_gate
-  FROM days CROSS JOIN (SELECT DISTINCT fuel AS series FROM gen) f LEFT JOIN sv ON sv.series = f.series AND sv.delivery_date = days.delivery_date""",
+  FROM days CROSS JOIN (VALUES ('wind'), ('solar'), ('gas'), ('nuclear')) AS f(series) LEFT JOIN sv ON sv.series = f.series AND sv.delivery_date = days.delivery_date""",
         "calendar_lags": f"WITH {_FEATURES} SELECT local_date, local_hour, {_r('price', 'price_d1', 'price_d2', 'price_d3', 'price_d7')} FROM f",
         "daily_stats_lag": f"WITH {_FEATURES} SELECT local_date, local_hour, {_r('price_d1_mean', 'price_d1_min', 'price_d1_max', 'price_d1_end', 'price_d7_mean')} FROM f",
         "similar_day": f"WITH {_FEATURES} SELECT local_date, local_hour, {_r('price_similar_day')} FROM f",
         "calendar_features": f"WITH {_PANEL} SELECT local_date, CAST(isodow(local_date) AS INT) AS dow, {', '.join(f'CAST(isodow(local_date) = {k} AS DOUBLE) AS dow_{k}' for k in range(2, 8))}, round(sin(2 * pi() * (dayofyear(local_date) - 1) / 365.25), 6) AS year_sin, round(cos(2 * pi() * (dayofyear(local_date) - 1) / 365.25), 6) AS year_cos FROM (SELECT DISTINCT local_date FROM p)",
-        "panel_complete": f"""WITH {_FEATURES} SELECT local_hour, count(*) AS n, min(local_date) AS first, max(local_date) AS last FROM f WHERE price_d1 + price_d2 + price_d3 + price_d7 + price_d1_mean + price_d1_min + price_d1_max + price_d1_end + price_d7_mean + price_similar_day IS NOT NULL GROUP BY 1""",
         "point_in_time_fundamentals": f"""WITH {_PRICE}, {_HM}, vt AS (SELECT date_trunc('hour', ts) AS ts_utc, date_trunc('hour', ts) - to_hours(CAST((event_id % 6) * 8 AS INT)) AS published_at, avg(value) FILTER (event_type = 'signup') AS load,
   avg(value) FILTER (event_type = 'click') AS wind, avg(value) FILTER (event_type = 'view') AS solar FROM ev WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1, 2),
   c AS (SELECT hm.local_date, hm.local_hour, vt.*, {_UTC.format("(CAST(hm.local_date - 1 AS TIMESTAMP) + INTERVAL 12 HOUR)")} AS gate FROM hm JOIN vt USING (ts_utc)),
@@ -236,7 +235,6 @@ def oracle_sql() -> dict[str, str]:
   SELECT hr AS ts_utc, round(max(mw) FILTER (fuel = 'gas'), 6) AS load, round(max(mw) FILTER (fuel = 'wind'), 6) AS wind, round(max(mw) FILTER (fuel = 'solar'), 6) AS solar FROM m WHERE fuel IN ('gas', 'wind', 'solar') GROUP BY 1""",
         "sanitized_panel": f"WITH {_FEATURES} SELECT local_date, local_hour, round(CASE WHEN local_date < DATE '1998-01-01' THEN price END, 6) AS price, {_r('price_d1')} FROM f WHERE local_date <= DATE '1998-01-01'",
         "losing_buckets": f"WITH {_scores()} SELECT scope, bucket, round((1 - mae / best) * 100, 6) AS skill_vs_best_baseline_pct FROM sk WHERE model = 'naive_previous_day' AND best > 0 AND mae > best",
-        "published_predictions": f"WITH {_PRED} SELECT 'DE-LU' AS zone, model, count(*) AS n, min(round(forecast, 2)) AS least, max(round(actual, 2)) AS most FROM pr GROUP BY 2",
         "monthly_margins": f"WITH {_DAILY} SELECT strategy, power_mw, energy_mwh, strftime(local_date, '%Y-%m') AS month, count(*) AS days, round(sum(profit_eur), 6) AS profit_eur FROM dm GROUP BY ALL",
         "data_as_of": f"WITH {_EV}, {_GEN} SELECT max(ts_utc) AS data_as_of FROM gen",
         "naive_forecasts": f"WITH {_NAIVE} SELECT model, local_date, local_hour, {_r('forecast')} FROM nf",
@@ -253,8 +251,6 @@ def oracle_sql() -> dict[str, str]:
         "extreme_years": f"WITH {_scores()} SELECT model, arg_max(bucket, mae) AS worst_year, arg_min(bucket, mae) AS calmest_year FROM sk WHERE scope = 'year' GROUP BY model",
         "daily_errors": f"WITH {_PRED} SELECT model, local_date, count(*) AS n, round(avg(abs(actual - forecast)), 6) AS mae, round(avg(actual), 6) AS mean_actual FROM pr GROUP BY 1, 2",
         "validation_error": f"WITH {_PRED} SELECT model, count(*) AS n, round(avg(abs(actual - forecast)), 6) AS mae FROM pr WHERE local_date BETWEEN DATE '1995-10-01' AND DATE '1995-12-31' GROUP BY 1",
-        "forecast_preview_weeks": f"""WITH {_PRED}, wk AS (SELECT *, CAST(date_trunc('week', local_date) AS DATE) AS week FROM pr), n AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS i, count(*) OVER () - 1 AS last_ FROM (SELECT DISTINCT week FROM wk))
-  SELECT week, count(*) AS n FROM wk WHERE week IN (SELECT n.week FROM n, range(12) AS t(j) WHERE last_ < 12 OR n.i = CAST(round_even(t.j * last_ / 11.0, 0) AS BIGINT)) GROUP BY 1""",
         "battery_complete_days": f"WITH {_STRATEGY_DAYS} SELECT local_date FROM full_days",
         "dispatch_two_state_profit": f"""WITH {_STRATEGY_DAYS} SELECT a.local_date, round(greatest(0, coalesce(max(0.5 * {_LEG} * b.price - 0.5 / {_LEG} * a.price), 0)), 6) AS profit_eur, CAST(24 AS BIGINT) AS intervals
   FROM hm a JOIN hm b ON a.local_date = b.local_date AND a.ts_utc < b.ts_utc WHERE a.local_date IN (SELECT local_date FROM full_days) GROUP BY 1""",
@@ -305,4 +301,6 @@ def oracle_sql() -> dict[str, str]:
   FROM (VALUES ('1-URGENT', '1-URGENT'), ('1-URGENT', '2-HIGH'), ('5-LOW', '5-LOW')) AS t(target, tech) JOIN cap c ON c.technology = t.target AND c.is_planned AND c.period = '2001' JOIN rl ON rl.technology = t.tech""",
         "fleet_duration": f"WITH {_CAP} SELECT period, round(max(value) FILTER (technology = '2-HIGH') / nullif(max(value) FILTER (technology = '1-URGENT'), 0), 6) AS duration_hours FROM cap WHERE NOT is_planned GROUP BY 1",
     }
-    return found
+    from .oracles_protocol import protocol_sql
+
+    return found | protocol_sql()

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.expr import is_finite, require, require_unique
+from wattline.functions.expr import is_finite, require_unique
 from wattline.functions.timeaxis import Zone, day_hours
 from wattline.operators.intervals import hourly_mean, residual_load
 from wattline.operators.pit import calendar_lags, daily_stats, point_in_time, with_calendar, with_similar_day
@@ -77,9 +77,15 @@ def build_panel(prices: DataFrame, zone: Zone, load: DataFrame, generation: Data
 
 def sanitized(panel: Panel, delivery: dt.date) -> Panel:
     """The panel as it may be seen when ``delivery`` is forecast: nothing later, no target that day."""
-    require_unique(panel.frame, ["local_date", "local_hour"], "duplicate panel hours")
-    for name in (panel.target, *panel.features):
-        require(panel.frame, ~is_finite(F.col(name)), f"{name} must be finite or null")
+    names = (panel.target, *panel.features)
+    if panel.target in panel.features:
+        raise ValueError("the target must not be a feature")
+    if missing := {"local_date", "local_hour", *names} - set(panel.frame.columns):
+        raise ValueError(f"the panel lacks {sorted(missing)}")
     day = F.lit(delivery)
     frame = panel.frame.where(F.col("local_date") <= day)
+    require_unique(frame, ["local_date", "local_hour"], "duplicate panel hours")
+    counts = frame.agg(*[F.count_if(~is_finite(F.col(c).cast("double"))).alias(c) for c in names]).first()
+    if broken := [c for c in names if counts[c]]:
+        raise ValueError(f"{', '.join(broken)} must be finite or null")
     return replace(panel, frame=frame.withColumn(panel.target, F.when(F.col("local_date") < day, F.col(panel.target))))

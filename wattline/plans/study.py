@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.timeaxis import Zone
-from wattline.operators.risk import BASELINES, SCENARIOS, Scenario, calendar_outages, check_daily, daily_margins, paired_comparisons, risk_metrics, weaken_signal
+from wattline.operators.risk import BASELINES, SCENARIOS, Stress, calendar_outages, check_daily, daily_margins, paired_comparisons, risk_metrics, weaken_signal
 from wattline.operators.storage import BatterySpec, compared, dispatch, summarize
+from wattline.sources.evidence import fingerprint, save_release
 
 
 @dataclass(frozen=True)
@@ -23,36 +25,44 @@ class Study:
     comparisons: DataFrame
 
 
-def evaluate(predictions: DataFrame, zone: Zone, models: Sequence[str], sizes_mwh: Sequence[float] = (1.0, 2.0, 4.0), spec: BatterySpec | None = None, baselines: Sequence[str] = BASELINES) -> Study:
+def evaluate(
+    predictions: DataFrame, zone: Zone, models: Sequence[str], sizes_mwh: Sequence[float] = (1.0, 2.0, 4.0), spec: BatterySpec | None = None, baselines: Sequence[str] = BASELINES, block_days: int = 7,
+    resamples: int = 2000, seed: int = 20260914,
+) -> Study:
+    """Dispatch of all strategies over their common settled days, and its economics."""
     base = spec or BatterySpec()
+    if "zone" in predictions.columns and predictions.where(F.col("zone") != zone.code).limit(1).count():
+        raise ValueError(f"the study expects predictions of {zone.code} only")
     inputs, coverage = compared(predictions, zone, models)
     dispatched = dispatch(inputs, [replace(base, energy_mwh=float(s)) for s in sizes_mwh]).persist()
+    if not dispatched.limit(1).count():
+        raise ValueError("no complete settled day is common to all models")
     daily = daily_margins(dispatched)
     check_daily(daily)
     used = [b for b in baselines if b in models]
-    return Study(dispatched, summarize(dispatched), coverage, daily, risk_metrics(daily, used), paired_comparisons(daily, used))
+    return Study(dispatched, summarize(dispatched), coverage, daily, risk_metrics(daily, used), paired_comparisons(daily, used, block_days, resamples, seed))
 
 
-def scenario_tables(predictions: DataFrame, zone: Zone, base: Study, models: Sequence[str], sizes_mwh: Sequence[float] = (1.0, 2.0, 4.0), scenarios: Sequence[Scenario] = SCENARIOS) -> DataFrame:
-    """Summary of every stress; scenarios that leave the physics alone reuse the base dispatch."""
+def scenario_tables(predictions: DataFrame, zone: Zone, base: Study, models: Sequence[str], sizes_mwh: Sequence[float] = (1.0, 2.0, 4.0), names: Sequence[str] = tuple(SCENARIOS)) -> DataFrame:
+    """Summary of every stress; scenarios that leave schedules alone reuse the base dispatch."""
     parts = []
-    for s in scenarios:
-        changed = s.variable or s.degradation or s.efficiency != 0.9 or s.retained_signal != 1.0 or s.episodes != 1
-        if changed:
-            signal = predictions if s.retained_signal == 1.0 else weaken_signal(predictions, s.retained_signal)
-            spec = BatterySpec(round_trip_efficiency=s.efficiency, variable_cost_eur_mwh=s.variable, degradation_cost_eur_mwh=s.degradation, max_episodes_per_day=s.episodes)
+    for stress in map(Stress.named, names):
+        rows = base.dispatch
+        if stress.replans:
+            signal = predictions if stress.signal is None else weaken_signal(predictions, stress.signal)
             inputs, _ = compared(signal, zone, models)
-            rows = dispatch(inputs, [replace(spec, energy_mwh=float(x)) for x in sizes_mwh])
-            days = rows.select("local_date").distinct()
-            known = base.dispatch.select("local_date").distinct()
+            rows = dispatch(inputs, [BatterySpec(energy_mwh=float(size), **stress.asset) for size in sizes_mwh])
+            days, known = rows.select("local_date").distinct(), base.dispatch.select("local_date").distinct()
             if days.exceptAll(known).limit(1).count() or known.exceptAll(days).limit(1).count():
-                raise ValueError(f"scenario {s.name} covers other days than the base")
-        else:
-            rows = base.dispatch
-        if s.outage_every_days:
-            rows = calendar_outages(rows, s.outage_every_days)
-        parts.append(summarize(rows).withColumn("scenario", F.lit(s.name)))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+                raise ValueError(f"scenario {stress.name} covers other days than the base")
+        if stress.outage_days is not None:
+            rows = calendar_outages(rows, stress.outage_days)
+        parts.append(summarize(rows).withColumn("scenario", F.lit(stress.name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def save_study(study: Study, predictions: DataFrame, assumptions: Mapping[str, object], root: str) -> str:
+    """Freeze a study's tables with what it assumes and a fingerprint of what it read."""
+    tables = {name: getattr(study, name) for name in ("summary", "coverage", "daily", "risk", "comparisons")}
+    metadata = {"kind": "battery study", "assumptions": dict(assumptions), "predictions": fingerprint(predictions, None)}
+    return save_release(tables, metadata, root)

@@ -81,15 +81,17 @@ def conform(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
-def violations(frame: DataFrame, name: str) -> DataFrame:
-    """(dataset, rule, violations): all failures at once; null counts as a failure."""
+def violations(frame: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(dataset, rule, violations), per group of the columns ``by``: all failures at once; null counts as a failure."""
     c = contract(name)
-    bad = [F.count_if(~F.coalesce(test, F.lit(False))).alias(rule) for rule, test in c.checks().items()]
-    counted = frame.agg(*bad)
-    rules = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("violations")) for rule in c.checks()]))
-    listed = counted.select(rules.alias("x")).select("x.*")
-    repeated = frame.groupBy(*c.key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))
-    return listed.unionByName(repeated.select(F.lit("unique_key").alias("rule"), "violations")).select(F.lit(name).alias("dataset"), "rule", F.col("violations").cast("long"))
+    bad = [F.count_if(~F.coalesce(test, F.lit(False))).alias(f"rule_{rule}") for rule, test in c.checks().items()]
+    counted = frame.groupBy(*by).agg(*bad)
+    rules = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"rule_{rule}").alias("violations")) for rule in c.checks()]))
+    listed = counted.select(*by, rules.alias("x")).select(*by, "x.*")
+    keys = [*by, *[k for k in c.key if k not in by]]
+    repeated = frame.groupBy(*keys).count().groupBy(*by).agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))
+    listed = listed.unionByName(repeated.select(*by, F.lit("unique_key").alias("rule"), "violations"))
+    return listed.select(F.lit(name).alias("dataset"), *by, "rule", F.col("violations").cast("long"))
 
 
 def validated(frame: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Provider payloads (JSON with parallel arrays) -> canonical facts, as DataFrame operations.
 
 Payloads are rows of ``payload string``; a reader of saved files and a batch data source
-for the HTTP interface both produce them.
+for the HTTP interface both produce them. Payloads may overlap, as every run reads the last
+days again: each is turned into facts by itself, and of several that give one interval the
+latest counts - by ``stamp`` (a file's modification time), then ``file``, then content.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.expr import require
-from wattline.functions.timeaxis import Zone
+from wattline.functions.timeaxis import Zone, utc_literal
 from wattline.operators.intervals import with_cadence
 
 from .contracts import conform
+from .http import http_payloads
 
 #: The provider's generation labels and the fuels they are summed into.
 FUEL_OF_LABEL = {
@@ -64,11 +67,24 @@ class UpstreamError(ValueError):
 
 def saved_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per saved JSON file: its name and whole text."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("stamp"), F.col("value").alias("payload"))
 
 
 def _parsed(payloads: DataFrame, schema: str) -> DataFrame:
-    return payloads.select(F.from_json("payload", schema).alias("p")).select("p.*")
+    """The fields of each payload and its ``turn``: of two payloads the one with the larger turn is later."""
+    order = [F.col(c) for c in ("stamp", "file") if c in payloads.columns]
+    turn = F.struct(*order, F.sha2("payload", 256).alias("content"))
+    parsed = payloads.select(turn.alias("turn"), F.from_json("payload", schema).alias("p")).select("turn", "p.*")
+    if "unix_seconds" in parsed.columns:
+        repeated = F.size("unix_seconds") > F.size(F.array_distinct("unix_seconds"))
+        require(parsed, F.coalesce(repeated, F.lit(False)), "duplicate timestamps in the provider's response")
+    return parsed
+
+
+def _latest(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """One row per key: the value that the latest payload gives."""
+    return rows.groupBy(*keys).agg(F.max_by(value, "turn").alias(value))
 
 
 def _stamp(seconds: Column) -> Column:
@@ -85,36 +101,37 @@ def _finished(rows: DataFrame, axis: DataFrame, zone: Zone, name: str, start: dt
     """Cadence measured on the whole axis, half-open trim, provenance, contract order."""
     trimmed = rows
     if start:
-        trimmed = trimmed.where(F.col("ts_utc") >= F.lit(start).cast("timestamp_ntz"))
+        trimmed = trimmed.where(F.col("ts_utc") >= utc_literal(start))
     if end:
-        trimmed = trimmed.where(F.col("ts_utc") < F.lit(end).cast("timestamp_ntz"))
+        trimmed = trimmed.where(F.col("ts_utc") < utc_literal(end))
     joined = trimmed.join(with_cadence(axis, zone), "ts_utc").withColumn("zone", F.lit(zone.code)).withColumn("source", F.lit(source))
     return conform(joined, name)
 
 
 def _axis(frame: DataFrame) -> DataFrame:
-    return frame.select(F.explode("unix_seconds").alias("s")).select(_stamp(F.col("s")).alias("ts_utc"))
+    """The stamps of all payloads, each once."""
+    return frame.select(F.explode("unix_seconds").alias("s")).select(_stamp(F.col("s")).alias("ts_utc")).distinct()
 
 
 def price_facts(payloads: DataFrame, zone: Zone, start=None, end=None, source: str = "feed") -> DataFrame:
     parsed = _parsed(payloads, PRICE_PAYLOAD)
-    require(parsed, F.col("unit") != PRICE_UNIT, f"prices must be in {PRICE_UNIT}")
-    rows = _points(parsed, "price").withColumnRenamed("value", "price").withColumn("currency", F.lit(zone.currency))
+    require(parsed, (F.size("unix_seconds") > 0) & ~F.coalesce(F.col("unit") == PRICE_UNIT, F.lit(False)), f"prices must be in {PRICE_UNIT}")
+    rows = _latest(_points(parsed, "price", "turn"), ("ts_utc",), "value").withColumnRenamed("value", "price").withColumn("currency", F.lit(zone.currency))
     return _finished(rows, _axis(parsed), zone, "price", start, end, source)
 
 
 def _labelled(parsed: DataFrame) -> DataFrame:
-    series = parsed.select("unix_seconds", F.explode("production_types").alias("t")).select("unix_seconds", F.col("t.name").alias("label"), F.col("t.data").alias("data"))
-    return _points(series, "data", "label")
+    series = parsed.select("turn", "unix_seconds", F.explode("production_types").alias("t")).select("turn", "unix_seconds", F.col("t.name").alias("label"), F.col("t.data").alias("data"))
+    return _points(series, "data", "turn", "label")
 
 
 def load_facts(payloads: DataFrame, zone: Zone, start=None, end=None, source: str = "feed") -> DataFrame:
-    """Load on the generation boundary where it is published, else including self-consumption."""
+    """Per payload, load on the generation boundary where it lists it, else including self-consumption."""
     parsed = _parsed(payloads, POWER_PAYLOAD)
-    rows = _labelled(parsed).where(F.col("label").isin(*LOAD_LABELS))
-    best = rows.agg(F.min("label").alias("chosen"))  # the plain label sorts first
-    rows = rows.join(F.broadcast(best)).where("label = chosen")
-    return _finished(rows.groupBy("ts_utc").agg(F.sum("value").alias("load_mw")), _axis(parsed), zone, "load", start, end, source)
+    wanted = F.when(F.array_contains("production_types.name", LOAD_LABELS[0]), LOAD_LABELS[0]).otherwise(LOAD_LABELS[1])
+    chosen = parsed.withColumn("production_types", F.filter("production_types", lambda t: t["name"] == wanted))
+    loads = _labelled(chosen).groupBy("turn", "ts_utc").agg(F.sum("value").alias("load_mw"))
+    return _finished(_latest(loads, ("ts_utc",), "load_mw"), _axis(parsed), zone, "load", start, end, source)
 
 
 def generation_facts(payloads: DataFrame, zone: Zone, start=None, end=None, source: str = "feed") -> DataFrame:
@@ -123,31 +140,33 @@ def generation_facts(payloads: DataFrame, zone: Zone, start=None, end=None, sour
     labels = parsed.select(F.explode("production_types.name").alias("label")).distinct()
     known = [*FUEL_OF_LABEL, *LOAD_LABELS, *DERIVED_LABELS]
     require(labels, ~F.col("label").isin(*known), "unrecognised generation series; review its units")
-    both = labels.agg(F.max(F.col("label") == "Battery Storage (Power)").alias("net"), F.max(F.col("label").isin("Battery", "Battery Consumption")).alias("gross"))
-    require(both, F.col("net") & F.col("gross"), "net and gross battery series published together")
+    listed = F.col("production_types.name")
+    both = F.array_contains(listed, "Battery Storage (Power)") & F.arrays_overlap(listed, F.array(F.lit("Battery"), F.lit("Battery Consumption")))
+    require(parsed, F.coalesce(both, F.lit(False)), "net and gross battery series published together")
     fuel = F.create_map(*[F.lit(x) for pair in FUEL_OF_LABEL.items() for x in pair])[F.col("label")]
     rows = _labelled(parsed).withColumn("fuel", fuel).where("fuel is not null")
-    return _finished(rows.groupBy("ts_utc", "fuel").agg(F.sum("value").alias("gen_mw")), _axis(parsed), zone, "generation", start, end, source)
+    fuels = rows.groupBy("turn", "ts_utc", "fuel").agg(F.sum("value").alias("gen_mw"))
+    return _finished(_latest(fuels, ("ts_utc", "fuel"), "gen_mw"), _axis(parsed), zone, "generation", start, end, source)
 
 
 def fundamentals_facts(payloads: DataFrame, zone: Zone, start=None, end=None, source: str = "feed") -> DataFrame:
-    """Day-ahead series; wind only where both of its components are present exactly once."""
+    """Day-ahead series; wind only where both of its components are present."""
     parsed = _parsed(payloads, FORECAST_PAYLOAD)
     series = F.create_map(*[F.lit(x) for pair in FORECAST_SERIES.items() for x in pair])[F.col("production_type")]
-    rows = _points(parsed, "forecast_values", "production_type").withColumn("series", series)
+    rows = _latest(_points(parsed, "forecast_values", "turn", "production_type"), ("ts_utc", "production_type"), "value").withColumn("series", series).where("series is not null")
     wanted = F.when(F.col("series") == "wind", 2).otherwise(1)
-    whole = rows.groupBy("ts_utc", "series").agg(F.sum("value").alias("forecast_mw"), F.countDistinct("production_type").alias("parts"), F.count(F.lit(1)).alias("n"))
-    whole = whole.where((F.col("parts") == wanted) & (F.col("n") == F.col("parts"))).select("ts_utc", "series", "forecast_mw")
-    return _finished(whole, _axis(parsed).distinct(), zone, "fundamentals", start, end, source)
+    whole = rows.groupBy("ts_utc", "series").agg(F.sum("value").alias("forecast_mw"), F.count(F.lit(1)).alias("parts"))
+    whole = whole.where(F.col("parts") == wanted).select("ts_utc", "series", "forecast_mw")
+    return _finished(whole, _axis(parsed), zone, "fundamentals", start, end, source)
 
 
 def installed_power(payloads: DataFrame, zone: Zone, time_step: str = "yearly", source: str = "feed") -> DataFrame:
     """Capacity per technology, labelled by period end; planned series stay apart."""
     if time_step not in ("yearly", "monthly"):
         raise ValueError(f"time_step must be 'yearly' or 'monthly', got {time_step!r}")
-    parsed = _parsed(payloads, CAPACITY_PAYLOAD).select("time", F.explode("production_types").alias("t"))
-    rows = parsed.select(F.col("t.name").alias("technology"), F.explode(F.arrays_zip(F.col("time").alias("period"), F.col("t.data").alias("value"))).alias("z"))
-    rows = rows.select("technology", "z.period", "z.value").where("value is not null and period is not null")
+    parsed = _parsed(payloads, CAPACITY_PAYLOAD).select("turn", "time", F.explode("production_types").alias("t"))
+    rows = parsed.select("turn", F.col("t.name").alias("technology"), F.explode(F.arrays_zip(F.col("time").alias("period"), F.col("t.data").alias("value"))).alias("z"))
+    rows = _latest(rows.select("turn", "technology", "z.period", "z.value").where("value is not null and period is not null"), ("technology", "period"), "value")
     as_of = F.make_date(F.col("period").cast("int"), F.lit(12), F.lit(31)) if time_step == "yearly" else F.last_day(F.to_date("period", "MM.yyyy"))
     unit = F.when(F.col("technology") == "Battery storage (capacity)", "GWh").otherwise("GW")
     planned = F.contains(F.lower("technology"), F.lit("planned"))
@@ -169,3 +188,30 @@ def chunks(start: dt.datetime, end: dt.datetime, days: int) -> Iterable[tuple[dt
     while start < end:
         yield start, min(end, start + step)
         start += step
+
+
+#: A source turns (spark, place, dataset, zone, start, end) into payloads.
+Source = Callable[[SparkSession, str, str, Zone, dt.datetime, dt.datetime], DataFrame]
+
+
+def _files(spark: SparkSession, place: str, dataset: str, zone: Zone, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    return saved_payloads(spark, f"{place.rstrip('/')}/{dataset}")
+
+
+SOURCES: dict[str, Source] = {"files": _files, "http": http_payloads}
+
+
+def get_source(name: str) -> Source:
+    if name not in SOURCES:
+        raise KeyError(f"unknown source {name!r}; known: {sorted(SOURCES)}")
+    return SOURCES[name]
+
+
+def fetcher(spark: SparkSession, source: str, place: str) -> Callable[[str, Zone, dt.datetime, dt.datetime], DataFrame]:
+    """A fetch function for ``ingest``: facts of a dataset and window from saved files or the HTTP interface."""
+    payloads = get_source(source)
+
+    def fetch(dataset: str, zone: Zone, start: dt.datetime, end: dt.datetime) -> DataFrame:
+        return facts(dataset, payloads(spark, place, dataset, zone, start, end), zone, start=start, end=end)
+
+    return fetch

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.timeaxis import truncated
+from wattline.functions.timeaxis import truncated, utc_literal
 
 SWITCH = dt.datetime(2024, 1, 16)  # hourly products before, quarter-hours after
 FUEL_OF = {"view": "solar", "click": "wind", "signup": "gas", "purchase": "hydro_pumped_storage", "error": "imports"}
@@ -25,7 +25,7 @@ def _mapped(column: str, mapping: dict[str, str]):
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
-    hourly = F.col("ts") < F.lit(SWITCH).cast("timestamp_ntz")
+    hourly = F.col("ts") < utc_literal(SWITCH)
     start = F.when(hourly, truncated(F.col("ts"))).otherwise(truncated(F.col("ts"), 15))
     return events.withColumn("ts_utc", start).withColumn("resolution_min", F.when(hourly, 60).otherwise(15).cast("short")).withColumn("zone", F.lit("DE-LU")).withColumn("source", F.lit("fixture"))
 
@@ -77,17 +77,17 @@ def daily_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecast attempts: every 40th event; one in seven never completed."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 40 = 0")
+    """Forecast attempts, one per event; one in seven never completed."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     model = F.when(F.col("user_id") % 2 == 0, "ridge").otherwise("ridge_da")
     day = F.to_date("ts")
-    status = F.when(F.col("event_id") % 280 == 0, "started").otherwise(_mapped("event_type", STATUS_OF))
+    status = F.when(F.col("event_id") % 7 == 0, "started").otherwise(_mapped("event_type", STATUS_OF))
     return events.select(
         F.col("event_id").alias("attempt_id"),
         F.lit("DE-LU").alias("zone"),
         model.alias("model"),
         day.alias("delivery_date"),
-        F.when(F.col("event_id") % 80 == 0, "schedule").otherwise("manual").alias("origin"),
+        F.when(F.col("event_id") % 2 == 0, "schedule").otherwise("manual").alias("origin"),
         F.col("ts").alias("stamp"),
         status.alias("status"),
         F.concat_ws("-", model, F.date_format(day, "yyyy-MM-dd"), (F.col("event_id") % 3).cast("string")).alias("issue_id"),
@@ -117,3 +117,59 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_add("MINUTE", F.lit(-30), issued).alias("input_as_of"),
         F.timestamp_add("MINUTE", F.lit(20), issued).alias("recorded_at"),
     )
+
+
+# Provider payloads, as JSON text made from the events of each hour
+
+#: Event type -> the provider's label, and its forecast series.
+LABEL_OF = {"view": "Solar", "click": "Wind onshore", "purchase": "Wind offshore", "signup": "Fossil gas"}
+FORECAST_OF = {"view": "solar", "click": "wind_onshore", "purchase": "wind_offshore", "signup": "load"}
+REVISED = dt.datetime(2024, 3, 1)
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per hour: its day, unix second, mean value, and the sums of each event type (null without any)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = truncated(F.col("ts")).alias("hour")
+    sums = [F.sum(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in (*LABEL_OF, "error")]
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("hour"))
+    return events.groupBy(hour).agg(F.avg("value").alias("mean"), *sums).withColumns({"day": F.to_date("hour"), "s": seconds})
+
+
+def price_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload a day; even days are sent again, later, with prices 100 higher."""
+    hours = _hourly(spark, sf_dir)
+    listed = hours.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("s", "mean"))).alias("p"))
+    first = listed.select("day", "p", F.lit(0.0).alias("add"), utc_literal(SWITCH).alias("stamp"))
+    again = listed.where(F.dayofmonth("day") % 2 == 0).select("day", "p", F.lit(100.0).alias("add"), utc_literal(REVISED).alias("stamp"))
+    body = F.struct(F.transform("p", lambda x: x["s"]).alias("unix_seconds"), F.transform("p", lambda x: x["mean"] + F.col("add")).alias("price"), F.lit("EUR / MWh").alias("unit"))
+    return first.unionByName(again).select("stamp", F.to_json(body).alias("payload"))
+
+
+def power_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload a day: generation labels, a derived one, and load - on even days under its fallback label only."""
+    hours = _hourly(spark, sf_dir)
+    listed = hours.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("s", *LABEL_OF, "error"))).alias("p"))
+    series = lambda name, field: F.struct(name.alias("name"), F.transform("p", lambda x: x[field]).alias("data"))
+    load = F.when(F.dayofmonth("day") % 2 == 0, "Load (incl. self-consumption)").otherwise("Load")
+    types = [series(F.lit(label), t) for t, label in LABEL_OF.items()] + [series(load, "error"), series(F.lit("Residual load"), "error")]
+    return listed.select(F.to_json(F.struct(F.transform("p", lambda x: x["s"]).alias("unix_seconds"), F.array(*types).alias("production_types")), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def forecast_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload per series."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(t).alias("v")) for t, name in FORECAST_OF.items()])).alias("x")
+    rows = _hourly(spark, sf_dir).select("s", kinds).groupBy("x.name").agg(F.array_sort(F.collect_list(F.struct("s", "x.v"))).alias("p"))
+    body = F.struct(F.transform("p", lambda x: x["s"]).alias("unix_seconds"), F.transform("p", lambda x: x["v"]).alias("forecast_values"), F.col("name").alias("production_type"))
+    return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def capacity_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Installed power of every year and technology; those of odd rank are planned ones."""
+    rows = capacity(spark, sf_dir).where("not is_planned")
+    name = F.when(F.substring("technology", 1, 1).cast("int") % 2 == 1, F.concat("technology", F.lit(" planned"))).otherwise(F.col("technology"))
+    types = rows.select(name.alias("name"), "period", "value").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("p"))
+    years = rows.select("period").distinct().agg(F.sort_array(F.collect_list("period")).alias("time"))  # one row
+    filled = F.transform("time", lambda y: F.element_at(F.map_from_entries("p"), y))
+    one = types.join(F.broadcast(years)).select("time", F.struct("name", filled.alias("data")).alias("t"))
+    return one.groupBy("time").agg(F.array_sort(F.collect_list("t")).alias("production_types")).select(F.to_json(F.struct("time", "production_types"), {"ignoreNullFields": "false"}).alias("payload"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 import urllib.error
@@ -9,8 +10,11 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wattline.functions.timeaxis import Zone
+
 #: Fixed values of the retry policy.
 ATTEMPTS = 6
 FIRST_WAIT = 1.5
@@ -41,8 +45,11 @@ def fetch(url: str, opened: Callable = urllib.request.urlopen, sleep: Callable[[
         try:
             with opened(url, timeout=120) as response:
                 text = response.read().decode("utf-8")
-            json.loads(text)
+            if not isinstance(json.loads(text), dict):
+                raise SourceError(f"{url}: expected a JSON object")
             return text
+        except ValueError as error:  # not JSON, or not text at all
+            raise SourceError(f"{url}: the body is not JSON") from error
         except urllib.error.HTTPError as error:
             status, after = error.code, error.headers.get("Retry-After") if error.headers else None
             if status not in RETRIED:
@@ -83,3 +90,27 @@ class JsonHttpSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+
+#: The provider's paths per dataset, and how a zone is named there.
+ENDPOINTS = {"price": "/price", "load": "/public_power", "generation": "/public_power", "fundamentals": "/public_power_forecast"}
+FORECAST_TYPES = ("load", "wind_onshore", "wind_offshore", "solar")
+
+
+def requests_for(dataset: str, zone: Zone, start: dt.datetime, end: dt.datetime) -> list[dict[str, str]]:
+    """Query parameters of the requests that cover [start, end); the provider's end is inclusive."""
+    if dataset not in ENDPOINTS:
+        raise KeyError(f"unknown dataset {dataset!r}; known: {sorted(ENDPOINTS)}")
+    span = {"start": start.date().isoformat(), "end": end.date().isoformat()}
+    if dataset == "price":
+        return [{"bzn": zone.code, **span}]
+    if dataset == "fundamentals":
+        return [{"country": zone.country, "production_type": t, "forecast_type": "day-ahead", **span} for t in FORECAST_TYPES]
+    return [{"country": zone.country, **span}]
+
+
+def http_payloads(spark: SparkSession, base: str, dataset: str, zone: Zone, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """Payloads of a window straight from the provider, one partition per request."""
+    spark.dataSource.register(JsonHttpSource)
+    asked = json.dumps(requests_for(dataset, zone, start, end))
+    return spark.read.format(JsonHttpSource.name()).option("url", base.rstrip("/") + ENDPOINTS[dataset]).option("requests", asked).load()
