@@ -1,21 +1,17 @@
-"""Shared pieces of the pipeline operators: work folders, work tables, Arrow helpers."""
+"""Shared pieces of the pipeline operators: Arrow helpers, worker memory, names; work tables come along."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.ship import ship_package
+from wattline.functions.work import dropped, saved, shared_root, work_folder  # noqa: F401
 
 #: ASCII white space that separates words in every contract of this subpackage.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -23,48 +19,6 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows turned into Python objects at a time; bounds a worker's memory on long texts.
 ROWS_AT_ONCE = 256
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the setting is absent (tests on one machine) a folder is made here.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if context.applicationId not in _OWN_DIRS:
-        folder = tempfile.mkdtemp(prefix="wattline-work-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _OWN_DIRS[context.applicationId] = "file://" + folder
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir("file://" + folder)
-    return _OWN_DIRS[context.applicationId]
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run of one operator."""
-    ship_package(spark)
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
-    """Write a work table and read it back: cuts lineage and survives lost executors."""
-    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Delete work tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -130,6 +84,15 @@ def lean(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return wrapped
 
 
+def fresh_name(frame: DataFrame, stem: str) -> str:
+    """A column name that ``frame`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in frame.columns}
+    name, n = f"__{stem}", 0
+    while name.lower() in taken:
+        name, n = f"__{stem}_{n}", n + 1
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -18,9 +18,13 @@ one-deletion neighbourhoods. Equal subsets of one segment make candidates.
 
 Candidates are verified exactly on the sets. Groups of equal subsets become stars first;
 after those links are merged into components, every group that still spans several
-components has all its cross-component pairs tested against size and parity-bitmap
-bounds (block by block) and, where these leave them possible, verified. Hence each link
-is either verified or lies inside a component; no group is capped.
+components has its cross-component pairs tested against size and parity-bitmap bounds
+(block by block) and, where these leave them possible, verified. Hence each link is
+either verified or lies inside a component; no group is capped. Groups of more than
+``hot`` sets (texts that share a very common passage) are not paired all against all:
+linked sets also share one of their rarest tokens, so the members of all such groups are
+regrouped by those tokens, rarest first by their number of such members, and only sets
+that share one of them are tested.
 
 Links are then counted: every pair of different sets inside a component is compared
 exactly, block by block, so a component of c sets costs c*c/2 comparisons. Counts leave a
@@ -33,8 +37,9 @@ steps over work tables; nothing but counts reaches the driver.
 
 Defined cases: null text, or text without a word, has the empty set and links with
 nothing; fewer than five words are one shingle; rows with a null id are returned with a
-null component and null links; of several texts under one id the one with the smallest digest counts,
-and each id is returned once; extra columns are ignored; an empty table gives no rows.
+null component and null links; of several texts under one id the one whose set has the
+smallest digest counts, alone and everywhere (it is picked before the index is used), and
+each id is returned once; extra columns are ignored; an empty table gives no rows.
 Different shingles share a 64-bit hash with negligible chance (about n*n/2**65).
 """
 
@@ -49,10 +54,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, dropped, lean, saved, shuffle_partitions, sliced, text_of, work_folder, worker_memory
+from ._common import by_bytes, dropped, fresh_name, lean, saved, shuffle_partitions, sliced, text_of, work_folder, worker_memory
 
 U = np.uint64
 _MIX_A, _MIX_B, _ODD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -89,6 +94,10 @@ def shingle_set(text: str, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def set_digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
     """Parity of the tokens per cell; four to eight cells per token (a power of two, 256 at least).
 
@@ -271,8 +280,9 @@ def _map_side(threshold: Threshold, width: int, buckets: int, most: int = 1_500_
             facts = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = shingle_set(text, width)
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                facts.append({"bucket": 0 if doc_id is None else doc_id % buckets, "doc_id": doc_id, "n": len(tokens), "digest": digest, "bitmap": parity_bitmap(tokens).tobytes()})
+                digest = set_digest(tokens)
+                place = int.from_bytes(digest[:4], "little") if doc_id is None else doc_id
+                facts.append({"bucket": place % buckets, "doc_id": doc_id, "n": len(tokens), "digest": digest, "bitmap": parity_bitmap(tokens).tobytes()})
                 if len(tokens) and doc_id is not None and digest not in seen:
                     seen.add(digest)  # later copies in this task add nothing
                     keys.append(scheme.signatures(tokens))
@@ -373,6 +383,47 @@ def _sets(width: int):
     return run
 
 
+def _text_digests(width: int):
+    """(doc_id, text) -> the same with the digest of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            digests = [set_digest(shingle_set(t, width)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(digests, pa.binary())], ["doc_id", "text", "digest"])
+
+    return run
+
+
+def _listed_tokens(threshold: Threshold, width: int):
+    """(doc_id, token, prefix): every token of a set, and how many of its tokens a linked set cannot miss."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 1_000_000):
+            ids, sets = batch.column("doc_id").to_numpy(), [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            prefix = np.array([len(x) - threshold.smallest(len(x)) + 1 for x in sets], np.int64)
+            flat, owner = np.concatenate(sets).view(np.int64), np.repeat(np.arange(len(sets)), sizes)
+            for a in range(0, len(flat), 100_000):
+                part = owner[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(flat[a : a + 100_000]), pa.array(prefix[part])], ["doc_id", "token", "prefix"])
+
+    return run
+
+
+def rare_groups(rows: DataFrame, threshold: Threshold, width: int) -> DataFrame:
+    """(gid, rep): the sets that share one of their rarest tokens, one group per token.
+
+    In any fixed order of tokens, sets that reach the threshold share one of their first
+    ``size - smallest partner + 1`` tokens; ordering by the number of sets that hold a token
+    keeps very common ones out of these prefixes. ``rows`` (doc_id, text): one per id.
+    """
+    tokens = rows.mapInArrow(lean("ngramjoin", _listed_tokens(threshold, width)), "doc_id long, token long, prefix long")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    rarest = Window.partitionBy("doc_id").orderBy("held", "token")
+    ranked = tokens.join(held, "token").withColumn("place", F.row_number().over(rarest))
+    return ranked.where("place <= prefix and held > 1").select(F.col("token").alias("gid"), F.col("doc_id").alias("rep"))
+
+
 def _cross_pairs(threshold: Threshold):
     """Sorted rows of (group, block i, block j) -> possible pairs of different components."""
 
@@ -499,7 +550,9 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024, salts: int = 16, count_links: bool = True) -> DataFrame:
+def similar_components(
+    spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024, salts: int = 16, count_links: bool = True, hot: int = 4_096
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every id of ``docs`` (doc_id, text).
 
     Without ``count_links`` links are not counted and n_links is left out.
@@ -507,13 +560,31 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     threshold, folder = Threshold(num, den), work_folder(spark, "ngramjoin")
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    mapped = rows.mapInArrow(lean("ngramjoin", _map_side(threshold, width, buckets)), _MAPPED).repartitionById(buckets, F.col("bucket"))
-    grouped = saved(spark, mapped.mapInArrow(lean("ngramjoin", _bucket_side), _GROUPED), f"{folder}/grouped")
+
+    def indexed(step: str) -> tuple[DataFrame, DataFrame]:
+        """Signature groups beside the facts of each row, and the facts of each id."""
+        mapped = rows.mapInArrow(lean("ngramjoin", _map_side(threshold, width, buckets)), _MAPPED).repartitionById(buckets, F.col("bucket"))
+        grouped = saved(spark, mapped.mapInArrow(lean("ngramjoin", _bucket_side), _GROUPED), f"{folder}/grouped{step}")
+        of_id = grouped.where(F.col("gid").isNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+        of_id = of_id.agg(F.min(F.struct("digest", "n")).alias("f"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("rows"))
+        return grouped, saved(spark, of_id.select("doc_id", "f.*", "rows", (F.col("f.digest") != F.col("last")).alias("mixed")), f"{folder}/single{step}")
+
+    grouped, single = indexed("1")
+    repeated = single.agg(F.max(F.col("rows") > 1), F.max("mixed")).first()
+    if repeated[0]:
+        # One row per id from here on: the text whose set has the smallest digest.
+        several = single.where("rows > 1").select("doc_id")
+        counting = rows.join(several, "doc_id", "left_semi").mapInArrow(lean("ngramjoin", _text_digests(width)), "doc_id long, text string, digest binary")
+        counting = counting.groupBy("doc_id").agg(F.min(F.struct("digest", "text")).alias("f")).select("doc_id", "f.text")
+        rows = saved(spark, rows.join(several, "doc_id", "left_anti").unionByName(counting), f"{folder}/rows")
+        if repeated[1]:  # signatures of texts that do not count must not stand in the index
+            dropped(spark, f"{folder}/grouped1")
+            grouped, single = indexed("2")
 
     facts = grouped.where(F.col("gid").isNull()).select("doc_id", "n", "digest", "bitmap")
     nameless = facts.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("n_links"))
     facts = facts.where(F.col("doc_id").isNotNull())
-    single = facts.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("f")).select("doc_id", "f.*")
+    single = single.select("doc_id", "digest", "n")
     # Only sets that occur more than once need their first id; a set that very many documents
     # share meets it in ``salts`` places.
     first = single.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
@@ -537,8 +608,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
         pairs = saved(spark, pairs, f"{folder}/pairs{step}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(lean("ngramjoin", _sets(width)), "doc_id long, tokens binary")
-        # The text that counts is known by its digest's fact row: keep one set per id.
-        found = saved(spark, found.groupBy("doc_id").agg(F.min_by("tokens", F.md5("tokens")).alias("tokens")), f"{folder}/sets{step}")
+        found = saved(spark, found, f"{folder}/sets{step}")
         end = lambda x: found.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"s{x}"))
         links = saved(spark, pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(lean("ngramjoin", _verified(threshold)), "a long, b long"), f"{folder}/links{step}")
         return links
@@ -546,12 +616,25 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     links = verify(stars, "1")
     comps = components(spark, links, f"{folder}/cc1")
 
-    # Groups whose members still lie in several components: test all their cross pairs.
-    labelled = members.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    labelled = saved(spark, labelled, f"{folder}/labelled")
-    open_groups = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("gid", "size")
+    # Groups whose members still lie in several components: test their cross pairs.
+    labels = comps.withColumnRenamed("doc_id", "rep")
+
+    def spanning(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(gid, rep, comp), and the size of the groups that span several components."""
+        labelled = groups.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        sizes = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+        return labelled, sizes.where("lo <> hi").select("gid", "size")
+
+    labelled, sizes = spanning(members)
+    sizes = saved(spark, sizes.where("size > 2"), f"{folder}/sizes")
+    opened = labelled.join(sizes.where(F.col("size") <= hot), "gid")
+    if sizes.where(F.col("size") > hot).limit(1).count():
+        crowd = members.join(sizes.where(F.col("size") > hot), "gid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        rare = saved(spark, rare_groups(rows.join(crowd, "doc_id", "left_semi"), threshold, width), f"{folder}/rare")
+        relabelled, sizes = spanning(rare)
+        opened = opened.unionByName(relabelled.join(sizes, "gid").select(*opened.columns))
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    opened = labelled.join(open_groups, "gid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    opened = opened.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     opened = opened.join(maps, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp", "n", "bitmap")
     opened = opened.repartition(buckets, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
@@ -574,7 +657,9 @@ def similar_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     sets = saved(spark, sets.join(copies, "doc_id", "left").select("doc_id", "comp", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens"), f"{folder}/sets")
     dropped(spark, *(f"{folder}/sets{step}" for step in steps))
     shape = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("tokens") / 8).alias("mass"))
-    shape = shape.select("comp", F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("mass") / F.lit(block * 1_000))).cast("int").alias("blocks"))
+    # Large components are cut finely enough that their cells spread over all tasks.
+    spread = F.when(F.col("size") > F.lit(block // 4), F.least(F.col("size") / F.lit(block // 16 or 1), F.lit(math.ceil(math.sqrt(2 * buckets))))).otherwise(1)
+    shape = shape.select("comp", F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("mass") / F.lit(block * 1_000), spread)).cast("int").alias("blocks"))
     cells = sets.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "copies", "tokens")
     cells = cells.repartition(buckets, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
@@ -591,14 +676,23 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of similar texts.
+    """Keep one document of each group of similar texts: the one with the smallest id.
 
-    Rows with a null id belong to no group and stay; of rows that repeat an id one stays.
+    Rows without a word (null or empty text) resemble nothing and all stay. Null ids and ids
+    that several rows carry are legal: then every row is a document of its own, null ids
+    come after all others, and of rows with one id in one group the first in the order of
+    the stage's input stays. All columns, whatever their names, come back unchanged; an empty
+    table gives no rows.
     """
-    groups = similar_components(spark, docs, count_links=False)
-    others = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__other"))
-    kept = docs.join(others, docs["doc_id"] == others["__other"], "left_anti")
-    repeats = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeats:
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        groups = similar_components(spark, docs, count_links=False)
+        other = fresh_name(docs, "other")
+        others = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(other))
+        return docs.join(others, docs["doc_id"] == others[other], "left_anti")
+    place = fresh_name(docs, "place")
+    # Written once, so that the places stay what they are.
+    placed = saved(spark, docs.withColumn(place, F.monotonically_increasing_id()), f"{work_folder(spark, 'ngramstage')}/placed")
+    groups = similar_components(spark, placed.select(F.col(place).alias("doc_id"), "text"), count_links=False)
+    members = groups.select(F.col("doc_id").alias(place), "component_id").join(placed.select(place, F.col("doc_id").alias("id")), place)
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", F.col(place).alias("place"))).alias("f"))
+    return placed.join(kept.select(F.col("f.place").alias(place)), place, "left_semi").select(*docs.columns)
