@@ -8,12 +8,15 @@ the bytes already ruled out are excluded. Below order 0 all remaining bytes are
 
 The probability of a byte depends on its context alone, so it is worked out once per
 distinct n-gram: n-gram counts are summed over the corpus, every family of contexts that
-end in the same two bytes meets in one place and forms its part of the trie, and only
-orders 1 and 0 - at most 65,792 counts - are gathered on the driver. Documents are read
-in chunks (a piece of a file split); a chunk asks for its own distinct words and n-grams
-and gets their counts and code lengths back as work tables on the shared folder. What
-moves is one row per chunk and distinct key; texts never move, and no dictionary of the
-whole corpus is ever held in one place.
+end in the same three bytes meets in one place and forms its part of the trie (orders 5
+to 3), what order 2 says is joined to each n-gram, and only orders 1 and 0 - at most
+65,792 counts - are gathered on the driver. Families are dealt to as many tasks as keep
+``TRIE_ROWS`` n-grams each. Documents are read in chunks (a piece of a file split); a
+chunk asks for its own distinct words and n-grams and gets their counts and code lengths
+back as work tables on the shared folder, one file per shelf; how many shelves there are
+follows the number of shuffle partitions, not the data. What moves is one row per chunk
+and distinct key; texts never move, and no dictionary of the whole corpus is ever held in
+one place.
 
 A text is scored as its lower-cased (A-Z) words, joined by one blank, and an end.
 
@@ -35,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc_mod, dropped, lean, saved, shuffle_partitions, sliced, text_of, work_folder
@@ -46,6 +49,8 @@ END = b"\n"  # cannot occur inside a normalised text
 U = np.uint64
 #: Bytes of text in one chunk; bounds the dictionaries that a worker holds.
 CHUNK_BYTES = 48_000_000
+#: Distinct n-grams that one task arranges as a trie, on average.
+TRIE_ROWS = 1_000_000
 
 
 def normalised(text: str) -> tuple[list[bytes], bytes]:
@@ -165,21 +170,25 @@ def _group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[starts], place, starts
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def code_lengths(keys: np.ndarray, counts: np.ndarray, second: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of each n-gram's last byte after its context.
 
-    ``keys``: distinct n-grams of whole families (all that share their last two context
-    bytes); ``pairs``: 256 x 256 counts of (byte, next byte) in the whole corpus.
+    ``keys``: distinct n-grams of whole families (all that share their last three context
+    bytes); ``second``: per n-gram what its order-2 context says - the count of the byte, the
+    total, the distinct bytes, and how often order 1 has those bytes; ``pairs``: 256 x 256
+    counts of (byte, next byte) in the whole corpus.
     """
     # Level by level, from the longest context: per row, the count of the byte there, the
     # context's total and distinct bytes, and what the next longer context has excluded.
     out = np.zeros(len(keys))
     open_ = np.ones(len(keys), bool)
+    before, byte = (keys >> U(8) & U(255)).astype(np.int64), (keys & U(255)).astype(np.int64)
+    singles = pairs.sum(axis=0)
+    seen_after = ((pairs > 0) * singles[None, :]).sum(axis=1)  # by order 0, of the bytes seen after each byte
     excluded_distinct = np.zeros(len(keys))  # bytes seen in the next longer context
-    longer_seen = np.zeros(len(keys), bool)  # whether the row's byte was seen there
-    longer_context = np.arange(len(keys))
+    longer: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # its rows' context, first rows, and whether seen
     for order in range(ORDER, -1, -1):
-        if order >= 2:
+        if order > 2:
             key = keys & U((1 << 8 * (order + 1)) - 1)
             by = np.argsort(key, kind="stable")
             inverse = np.empty(len(by), np.int64)
@@ -190,53 +199,66 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
             total = np.add.reduceat(entry, first)[context][inverse]
             distinct = np.add.reduceat((entry > 0).astype(np.int64), first)[context][inverse]
             count = entry[inverse]
-            context_of = context[inverse]
+        elif order == 2:
+            count, total, distinct = second[:, 0], second[:, 1], second[:, 2]
         elif order == 1:
-            before, byte = (keys >> U(8) & U(255)).astype(np.int64), (keys & U(255)).astype(np.int64)
             count, total, distinct = pairs[before, byte], pairs.sum(axis=1)[before], (pairs > 0).sum(axis=1)[before]
-            context_of = before
         else:
-            byte = (keys & U(255)).astype(np.int64)
-            singles = pairs.sum(axis=0)
             count, total, distinct = singles[byte], np.full(len(keys), singles.sum()), np.full(len(keys), (singles > 0).sum())
-            context_of = np.zeros(len(keys), np.int64)
         # Occurrences here of the bytes that the next longer context has seen.
         if order == ORDER:
             taken = np.zeros(len(keys))
-        elif order == 0:
-            taken = ((pairs > 0) * pairs.sum(axis=0)[None, :]).sum(axis=1)[longer_context]
-        else:
+        elif order >= 2:
             # Each distinct (longer context, byte) adds its count here once.
-            once = np.zeros(len(keys), bool)
-            once[longer_first] = True
-            weight = np.where(once & longer_seen, count, 0)
-            taken = np.bincount(longer_context, weight, minlength=longer_context.max() + 1 if len(keys) else 0)[longer_context]
+            of, once, seen = longer
+            taken = np.bincount(of[once], np.where(seen[once], count[once], 0), minlength=of.max() + 1)[of]
+        else:
+            taken = second[:, 3] if order == 1 else seen_after[before]
         left, fresh = total - taken, distinct - excluded_distinct
         hit = open_ & (count > 0)
         out[hit] += np.log10((count[hit] - 0.5) / left[hit])
         open_ &= ~hit
         escape = open_ & (fresh > 0)
         out[escape] += np.log10(0.5 * fresh[escape] / left[escape])
-        excluded_distinct, longer_seen, longer_context = distinct.astype(float), count > 0, context_of
-        if order >= 2:
-            longer_first = by[starts]
+        excluded_distinct = distinct.astype(float)
+        if order > 2:
+            longer = context[inverse], by[starts], count > 0
     out[open_] -= np.log10(np.maximum(1, 256 - excluded_distinct[open_]))
     return out
 
 
+_SECOND = ("byte_count", "total", "distinct", "order1")
+
+
 def _trie(pairs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("gram").to_numpy(), b.column("c").to_numpy()) for b in batches if b.num_rows]
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        gram, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        length = code_lengths(gram.view(U), count, pairs)
+        table = pa.Table.from_batches(held)
+        gram = table.column("gram").to_numpy()
+        second = np.column_stack([table.column(c).to_numpy() for c in _SECOND])
+        length = code_lengths(gram.view(U), table.column("c").to_numpy(), second, pairs)
         for a in range(0, len(gram), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(gram[a : a + 100_000]), pa.array(length[a : a + 100_000])], ["gram", "logp"])
 
     return run
 
 
+def _second_order(spark: SparkSession, summed: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """What the last two context bytes say of each next byte (at most 2**24 rows), and all pair counts."""
+    counts = saved(spark, summed.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("three")).agg(F.sum("c").alias("byte_count")), f"{folder}/three")
+    counts = counts.withColumn("pair", F.col("three").bitwiseAND(F.lit(0xFFFF)))
+    pair_counts = counts.groupBy("pair").agg(F.sum("byte_count").alias("n"))
+    pairs = np.zeros((256, 256), np.int64)  # orders 1 and 0: at most 65,536 rows
+    for r in pair_counts.collect():
+        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    counts = counts.join(F.broadcast(pair_counts), "pair").withColumn("context", F.shiftright("three", 8))
+    known = F.col("byte_count") > 0
+    contexts = counts.groupBy("context").agg(F.sum("byte_count").alias("total"), F.count_if(known).alias("distinct"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("order1"))
+    return saved(spark, counts.join(contexts, "context").select("three", *_SECOND), f"{folder}/second"), pairs
+
+
 class _Lengths:
     """n-gram -> code length for one chunk: a hashed table, and a search for what collides."""
 
@@ -274,24 +296,24 @@ def _scores(folder: str, shelves: int, limit: int, train_tokens: int, train_text
         return pads.dataset(root, filesystem=fs, format="parquet").to_table(filter=pads.field("chunk") == chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, counts, lengths = None, {}, None
+        chunk, place, lengths = None, {}, None
         for here, rows in _runs(batches, _Chunks(limit)):
             if here != chunk:
-                chunk, counts, lengths = here, {}, None  # lets go of the last chunk first
+                chunk, place, lengths = here, {}, None  # lets go of the last chunk first
                 table = load("words", chunk)
-                logs = np.log10(table.column("c").to_numpy() + 0.5)
-                counts = dict(zip(table.column("word").to_pylist(), logs.tolist(), strict=True))
-                unknown = math.log10(0.5)
+                counts = table.column("c").to_numpy()
+                logs, known = np.log10(counts + 0.5), counts > 0
+                place = {word: i for i, word in enumerate(table.column("word").to_pylist())}
                 table = load("grams", chunk)
                 lengths = _Lengths(table.column("gram").to_numpy().view(U), table.column("logp").to_numpy())
             texts, base, n_tokens, n_known = [], [], [], []
             for _, text, _ in rows:
                 words, line = normalised(text)
                 texts.append(line)
-                found = list(map(counts.__getitem__, words))
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
                 n_tokens.append(len(words) + 1)
-                n_known.append(len(words) - found.count(unknown) + (train_texts > 0))
-                base.append(math.fsum(found) + math.log10(train_texts + 0.5) - scale * (len(words) + 1))
+                n_known.append(int(np.count_nonzero(known[at])) + (train_texts > 0))
+                base.append(math.fsum(logs[at].tolist()) + math.log10(train_texts + 0.5) - scale * (len(words) + 1))
             keys, sizes = context_keys(texts)
             starts = np.cumsum(sizes) - sizes
             score = np.add.reduceat(lengths.of(keys), starts)
@@ -315,32 +337,33 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, from_files:
     rows = _located(docs.withColumn("doc_id", F.col("doc_id").cast("long")), held_out)
     asked = saved(spark, rows.mapInArrow(lean("ppm", _requests(limit)), "chunk long, word binary, gram long, n long"), f"{folder}/asked")
     train_texts = docs.where(~held_out).select("doc_id").count()
-    facts = asked.agg(F.count_distinct("chunk"), F.sum(F.when(F.col("word").isNotNull(), F.col("n")))).first()
-    shelves, train_tokens = max(1, facts[0]), int(facts[1] or 0) + train_texts
-    shelf = F.pmod(F.col("chunk"), F.lit(shelves)).alias("shelf")
+    shelves = shuffle_partitions(spark)
+    shelf = F.pmod(F.col("chunk"), F.lit(shelves)).cast("int").alias("shelf")
 
     def put(frame: DataFrame, kind: str) -> None:
-        frame.repartition(shelves, "shelf").sortWithinPartitions("shelf", "chunk").write.option("compression", "zstd").partitionBy("shelf").parquet(f"{folder}/{kind}")
+        """One file per shelf, in the order of its chunks, so that a chunk's rows are found by row group."""
+        frame.repartitionById(shelves, F.col("shelf")).sortWithinPartitions("chunk").write.option("compression", "zstd").partitionBy("shelf").parquet(f"{folder}/{kind}")
 
     # A word has one row per chunk that holds it.
-    everywhere = Window.partitionBy("word")
-    words = asked.where(F.col("word").isNotNull()).select("chunk", "word", F.sum("n").over(everywhere).alias("c"), F.min("chunk").over(everywhere).alias("head"))
-    put(words.select("chunk", "word", "c", (F.col("chunk") == F.col("head")).alias("is_head"), shelf), "words")
-    distinct = spark.read.schema("c long, is_head boolean").parquet(f"{folder}/words").where(F.col("is_head") & (F.col("c") > 0)).count() + (train_texts > 0)
+    words = asked.where(F.col("word").isNotNull())
+    sums = saved(spark, words.groupBy("word").agg(F.sum("n").alias("c")), f"{folder}/sums")
+    facts = sums.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    train_tokens, distinct = int(facts[0] or 0) + train_texts, int(facts[1]) + (train_texts > 0)
+    put(words.select("chunk", "word").join(sums, "word").select("chunk", "word", "c", shelf), "words")
 
     grams = asked.where(F.col("gram").isNotNull()).select("chunk", "gram", "n")
     summed = saved(spark, grams.groupBy("gram").agg(F.sum("n").alias("c")), f"{folder}/summed")
-    pairs = np.zeros((256, 256), np.int64)  # orders 1 and 0: at most 65,536 rows
-    for r in summed.groupBy((F.col("gram").bitwiseAND(F.lit(0xFFFF))).alias("pair")).agg(F.sum("c").alias("c")).collect():
-        pairs[r["pair"] >> 8, r["pair"] & 255] = r["c"]
-    family = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    known = summed.repartition(shuffle_partitions(spark), family).mapInArrow(lean("ppm", _trie(pairs)), "gram long, logp double")
+    second, pairs = _second_order(spark, summed, folder)
+    tasks = max(shuffle_partitions(spark), -(-summed.count() // TRIE_ROWS))
+    family = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    known = summed.join(second, F.col("gram").bitwiseAND(F.lit(0xFFFFFF)) == F.col("three")).select("gram", "c", *_SECOND)
+    known = known.repartition(tasks, family).mapInArrow(lean("ppm", _trie(pairs)), "gram long, logp double")
     put(grams.select("chunk", "gram").join(known, "gram").select("chunk", "gram", "logp", shelf), "grams")
-    dropped(spark, f"{folder}/asked", f"{folder}/summed")
+    dropped(spark, *(f"{folder}/{name}" for name in ("asked", "sums", "summed", "three", "second")))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(lean("ppm", _scores(folder, shelves, limit, train_tokens, train_texts, int(distinct), names)), schema)
+    return rows.mapInArrow(lean("ppm", _scores(folder, shelves, limit, train_tokens, train_texts, distinct, names)), schema)
 
 
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
