@@ -16,7 +16,8 @@ Defined cases: null text, or text without a letter, is ``und`` with score 0; a t
 whose n-grams are all unknown gets the most frequent training language with score 0;
 ties go to the language with more training texts, then to the smaller name; without
 any labelled row every prediction is ``und``. Repeated rows are scored each by
-itself; columns besides the named ones are ignored; null ids stay null.
+itself and alike; columns besides the named ones are ignored, whatever their names; null
+ids stay null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute available)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, crc_mod, lean, lean_worker
+from ._common import by_bytes, crc_mod, dropped, fresh_name, lean, lean_worker, saved, work_folder
 
 UNDETERMINED = "und"
 
@@ -188,6 +189,25 @@ def _count_grams(orders: tuple[int, ...]):
     return count
 
 
+def sampled(labelled: DataFrame, max_rows: int, path: str) -> tuple[list[str], DataFrame]:
+    """All languages, those with most texts first, and distinct rows (text, lang) to learn from.
+
+    The bound is shared out evenly, so that a rare language still learns from enough rows.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("key"))
+    counted = rows.select("lang", "key").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    each = max(1, max_rows // max(1, len(counted)))
+    # A filter by hash leaves little more than the sample; of that the smallest hashes are taken.
+    parts = [(r["lang"], int(min(1.0, (1.2 * each + 20) / r["count"]) * (1 << 20)) + 1) for r in counted]
+    parts = F.broadcast(spark.createDataFrame(parts, "lang string, part long"))
+    near = rows.join(parts, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("part")).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    near = saved(spark, near, path)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    taken = near.select("lang", "key", place.alias("place")).where(F.col("place") <= each).select("lang", "key")
+    return [r["lang"] for r in counted], near.join(F.broadcast(taken), ["lang", "key"], "left_semi").select("text", "lang")
+
+
 def train(
     labelled: DataFrame,
     max_rows: int = 20_000,
@@ -197,27 +217,20 @@ def train(
     floor: float = 5e-6,
     share: float = 0.25,
 ) -> LanguageFilter:
-    """Filters from rows (text, lang); about ``max_rows`` of them, picked by a hash.
+    """Filters from rows (text, lang); at most ``max_rows`` distinct ones, picked by a hash
+    (one per language, if there are more languages than that).
 
     A text counts once per language, however many copies of it there are.
 
     The sample bound keeps training a small job at every corpus size; the languages
     themselves are counted over all labelled texts, and every one of them is learned.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counted = rows.select("lang", F.xxhash64("text").alias("key")).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    languages = [r["lang"] for r in counted]
+    spark, folder = labelled.sparkSession, work_folder(labelled.sparkSession, "langid")
+    languages, drawn = sampled(labelled, max_rows, f"{folder}/near")
     if not languages:
         return LanguageFilter((), np.zeros((1, 1 << bits), np.uint8), hashes, tuple(orders), np.zeros(0))
-    # The bound is shared out evenly, so that a rare language still learns from enough rows.
-    each = max(1, max_rows // len(languages))
-    spark = labelled.sparkSession
-    parts = [(r["lang"], int(min(1.0, each / r["count"]) * (1 << 20)) + 1) for r in counted]
-    parts = F.broadcast(spark.createDataFrame(parts, "lang string, part long"))
-    drawn = rows.join(parts, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("part")).select("text", "lang").distinct()
     grams = drawn.mapInArrow(lean("langid", _count_grams(tuple(orders))), "lang string, gram long, n long")
-    grams = grams.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    grams.persist()
+    grams = saved(spark, grams.groupBy("gram", "lang").agg(F.sum("n").alias("n")), f"{folder}/grams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     totals = F.broadcast(spark.createDataFrame([(lang, i, float(totals[lang])) for i, lang in enumerate(languages) if lang in totals], "lang string, place int, total double"))
     # A group holds one row per language at most.
@@ -232,7 +245,7 @@ def train(
         )
         .toArrow()
     )
-    grams.unpersist()
+    dropped(spark, folder)
     keys = chosen.column("gram").to_numpy().view(np.uint64)
     places = chosen.column("places").combine_chunks()
     place = places.flatten().to_numpy().astype(np.int64)
@@ -244,12 +257,13 @@ def train(
 
 def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` plus lang_pred and score for every row of ``docs``."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    whole = fresh_name(docs, "text")
+    rows = docs.select(*keep, F.col(text).cast("string").alias(whole))
+    schema = rows.drop(whole).schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__text", 1_000_000):
-            langs, scores = model.predict(batch.column("__text").to_pylist())
+        for batch in by_bytes(batches, whole, 1_000_000):
+            langs, scores = model.predict(batch.column(whole).to_pylist())
             columns = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
@@ -287,7 +301,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_know
 
     That share does not depend on the number of languages, as ``score`` does. No margin
     over the second language is asked for: close languages share most n-grams.
+
+    Null texts and texts without a letter go; rows with a null language teach nothing and
+    are judged like others, and without any label every row goes; rows that repeat an id or
+    a text are judged each and equal texts alike; all columns, whatever their names, come
+    back unchanged; an empty table gives no rows.
     """
     model = train(docs)
-    judged = docs.withColumn("__language", language_column(model)(F.col("text")))
-    return judged.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.known") >= least_known)).drop("__language")
+    judgement = fresh_name(docs, "language")
+    judged = docs.withColumn(judgement, language_column(model)(F.col("text").cast("string")))
+    return judged.where((F.col(f"{judgement}.lang_pred") != UNDETERMINED) & (F.col(f"{judgement}.known") >= least_known)).drop(judgement)
