@@ -4,15 +4,17 @@ One weight vector over hashed text features gives a latent score; ordered thresh
 cut it into grades: P(grade <= k) = sigmoid(threshold_k - score). Documents get the
 expected grade and the tail probability P(grade >= k) on which selection rests.
 
-Features of a text: its distinct lower-cased words (edge punctuation removed) and
-binned shares of shouted words, symbols, separators and repetition, all hashed into
-``1 << bits`` weights. Training uses at most about ``max_rows`` labelled rows, picked
-by a hash of the id (a documented bound); every document is scored over its whole text.
+Features of a text: the buckets of its distinct lower-cased words (edge punctuation
+removed) and of binned shares of shouted words, symbols, separators and repetition, all
+hashed into ``1 << bits`` weights; a bucket counts once per text, in training as in
+scoring. Training uses at most ``max_rows`` graded ids, picked by a hash of the id (a
+documented bound); every document is scored over its whole text.
 
 Defined cases: null or empty text has only the shape features; without labelled rows
 all weights are zero and everything is kept (tail probability 1); rows with a null
-grade are not used to train; repeated rows are scored each by itself; extra columns
-are ignored.
+grade or id are not used to train; of several grades of one id the smallest counts, of
+several texts the one whose features sort first; repeated rows are scored each by itself;
+other columns, whatever their names, are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, lean, lean_worker
+from wattline.functions.ship import ship_package
+
+from ._common import by_bytes, fresh_name, lean, lean_worker, worker_memory
 
 #: Characters stripped from the edges of a word before it is hashed.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,19 +60,25 @@ def _bucket(name: bytes, bits: int) -> int:
 class _WordBuckets(dict):
     """Word -> bucket, remembered up to a bound."""
 
-    def __init__(self, bits: int, weights: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, bits: int, most: int = 300_000):
         super().__init__()
-        self.bits, self.weights, self.most = bits, weights, most
+        self.bits, self.most = bits, most
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> int:
         value = _bucket(word.strip(EDGES).lower().encode(), self.bits)
-        if self.weights is not None:
-            value = float(self.weights[value])
         if len(self) >= self.most:
             self.clear()
         self[word] = value
         return value
 
+    def of(self, text: str | None) -> np.ndarray:
+        """Ascending distinct buckets of a text."""
+        words = (text or "").split()
+        distinct = set(words)
+        found = set(map(self.__getitem__, distinct))
+        found.update(_bucket(x, self.bits) for x in _shape(text or "", words, distinct))
+        return np.array(sorted(found), np.int32)
+
 
 @dataclass(frozen=True)
 class OrdinalModel:
@@ -153,36 +163,30 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int
 
 def train(docs: DataFrame, grades: DataFrame, n_grades: int, bits: int = 18, max_rows: int = 20_000) -> OrdinalModel:
     """Model from ``docs`` (doc_id, text) and ``grades`` (doc_id, grade 0..n_grades-1)."""
-    usable = grades.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).select("doc_id", F.col("grade").cast("int"))
-    part = min(1.0, max_rows / max(1, usable.count()))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1))
+    ship_package(docs.sparkSession)
+    usable = grades.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min(F.col("grade").cast("int")).alias("grade"))
+    # A filter by hash leaves little more than the sample to sort.
+    part = min(1.0, 1.2 * max_rows / max(1, usable.count()))
+    place = F.xxhash64("doc_id")
+    sample = usable.where(F.pmod(place, F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)).orderBy(place, "doc_id").limit(max_rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _WordBuckets(bits)
         for batch in by_bytes(batches, "text", 1_000_000):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").split()
-                distinct = set(words)
-                rows.append(np.unique(list(map(buckets.__getitem__, distinct)) + [_bucket(x, bits) for x in _shape(text or "", words, distinct)]).astype(np.int32).tobytes())
+            rows = [buckets.of(text).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(rows, pa.binary())], ["doc_id", "grade", "f"])
 
-    # The sample is bounded by max_rows, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.mapInArrow(lean("ordinal", hashed), "doc_id long, grade int, f binary").toArrow().sort_by("doc_id")
+    # The sample has max_rows rows at most, so it may be broadcast; one row per id comes back.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.mapInArrow(lean("ordinal", hashed), "doc_id long, grade int, f binary").groupBy("doc_id", "grade").agg(F.min("f").alias("f"))
+    rows = rows.toArrow().sort_by("doc_id")
     # Copies would pass a few rows off as many: each text counts once with each grade.
     once = dict.fromkeys(zip(rows.column("f").to_pylist(), rows.column("grade").to_pylist(), strict=True))
     return fit([np.frombuffer(f, np.int32) for f, _ in once], np.array([g for _, g in once], np.int64), n_grades, bits)
 
 
-def _latent(texts: list[str | None], model: OrdinalModel, weight: _WordBuckets) -> np.ndarray:
-    latent = np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        words = (text or "").split()
-        distinct = set(words)
-        latent[i] = sum(map(weight.__getitem__, {word.strip(EDGES).lower() for word in distinct}))
-        latent[i] += sum(float(model.weights[_bucket(x, model.bits)]) for x in _shape(text or "", words, distinct))
-    return latent
+def _latent(texts: list[str | None], model: OrdinalModel, buckets: _WordBuckets) -> np.ndarray:
+    return np.array([model.weights[buckets.of(text)].sum(dtype=np.float64) for text in texts])
 
 
 def tail_column(model: OrdinalModel, wanted: int):
@@ -191,9 +195,10 @@ def tail_column(model: OrdinalModel, wanted: int):
 
     @arrow_udf("double")
     def tail(texts: pa.Array) -> pa.Array:
-        batch, weight = pa.RecordBatch.from_arrays([texts], ["text"]), _WordBuckets(model.bits, model.weights)
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
         with lean_worker("ordinal"):
-            parts = [model.tail(_latent(part.column("text").to_pylist(), model, weight), wanted) for part in by_bytes(iter([batch]), "text", 1_000_000)]
+            buckets = worker_memory("ordinal").setdefault(model.bits, _WordBuckets(model.bits))
+            parts = [model.tail(_latent(part.column("text").to_pylist(), model, buckets), wanted) for part in by_bytes(iter([batch]), "text", 1_000_000)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return tail
@@ -201,13 +206,14 @@ def tail_column(model: OrdinalModel, wanted: int):
 
 def grade_texts(docs: DataFrame, model: OrdinalModel, wanted: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` plus expected_grade and tail_probability (of ``wanted`` or better)."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema.add("expected_grade", "double").add("tail_probability", "double")
+    whole = fresh_name(docs, "text")
+    rows = docs.select(*keep, F.col(text).cast("string").alias(whole))
+    schema = rows.drop(whole).schema.add("expected_grade", "double").add("tail_probability", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = _WordBuckets(model.bits, model.weights)
-        for batch in by_bytes(batches, "__text", 1_000_000):
-            latent = _latent(batch.column("__text").to_pylist(), model, weight)
+        buckets = _WordBuckets(model.bits)
+        for batch in by_bytes(batches, whole, 1_000_000):
+            latent = _latent(batch.column(whole).to_pylist(), model, buckets)
             columns = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.expected(latent)), pa.array(model.tail(latent, wanted))], [*keep, "expected_grade", "tail_probability"])
 
@@ -231,6 +237,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str, least_tail: float =
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_tail: float = 0.5) -> DataFrame:
-    """Keep documents that are good with at least ``least_tail`` probability."""
+    """Keep documents that are good with at least ``least_tail`` probability.
+
+    Null and empty texts are judged by their shape alone; rows that repeat an id or a text
+    are judged each and equal texts alike; without any usable label everything stays; all
+    columns, whatever their names, come back unchanged; an empty table gives no rows.
+    """
     model = _trained(spark, docs, sf_dir)
     return docs.where(tail_column(model, 2)(F.col("text")) >= least_tail)
