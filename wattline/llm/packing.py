@@ -2,9 +2,12 @@
 
 Each text becomes a hashed vector of byte trigrams, projected to a few dimensions by
 a fixed random matrix; the projected point's index on a Hilbert curve is the sort key.
-Documents are range-partitioned by (curve key, id) - the id splits any number of equal
-keys - and each partition packs its documents one after another, so neighbours on the
-curve share sequences. Documents are cut freely at sequence ends; the tail of a
+Documents are range-partitioned by (curve key, hash of id and text) - the hash splits any
+number of equal keys; only rows equal in both stay together - and each partition packs its
+documents one after another, so neighbours on the curve share sequences. The bounds of the
+partitions come from the keys of a sample of rows, about ``PER_BOUND`` for each partition,
+drawn by that hash; every row's key is worked out once. Documents are cut freely at
+sequence ends; the tail of a
 partition goes into sequences of falling powers of two, which need no padding, so that
 padding stays nil however many partitions there are.
 
@@ -12,13 +15,18 @@ Token ids come from the tokenizers library; since its pre-tokenizer never joins
 across white space, each distinct blank-separated chunk is encoded once per worker and
 remembered up to a bound.
 
+Only tokenizers whose pre-tokenizer splits at white space and whose words end in one
+marker are supported; others are refused.
+
 Defined cases: null text is the empty text and yields the end id alone; repeated rows
-are packed each; an empty table yields no piece; other columns are ignored; rows with
-null ids are packed with a null id.
+are packed each; ties on the curve are ordered by hash, then id; an empty table yields no
+piece; other columns are ignored, whatever their names; rows with null ids are packed with a
+null id.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -35,6 +43,8 @@ from ._common import by_bytes, lean, lean_worker, shuffle_partitions, text_of, w
 from .bpe import tokenizer_path
 
 _VECTOR = 1024
+#: Rows whose keys are drawn for each bound between two partitions.
+PER_BOUND = 50
 _WORD_END = "</w>"
 #: Marks that may follow a word inside a chunk; the library splits them off as one pre-token.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -255,18 +265,40 @@ class _Packer:
 
 
 def curve_ordered(spark: SparkSession, docs: DataFrame, dims: int, bits: int) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with curve_key, range-partitioned and sorted by it."""
+    """``docs`` (doc_id, text) with curve_key, range-partitioned and sorted by it."""
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("long")
-    def key_of(texts: pa.Array) -> pa.Array:
+    def keys_of(texts: pa.Array) -> np.ndarray:
         with lean_worker("packing"):
             keys = [curve_keys([t.encode() for t in texts.slice(i, 128).to_pylist()], dims, bits) for i in range(0, len(texts), 128)]
-        return pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        return np.concatenate(keys) if keys else np.zeros(0, np.int64)
 
-    keyed = docs.withColumn("curve_key", key_of(text_of()))
-    order = ("curve_key", "doc_id")
-    return keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    @arrow_udf("long")
+    def key_of(texts: pa.Array) -> pa.Array:
+        return pa.array(keys_of(texts))
+
+    parts = shuffle_partitions(spark)
+    tied = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
+    part = min(1.0, PER_BOUND * parts / max(1, docs.count()))
+    drawn = tied.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) <= F.lit(int(part * (1 << 30))))
+    # About PER_BOUND rows per partition, two numbers each; rows equal in id and text count once.
+    drawn = drawn.groupBy("tie").agg(F.first("text").alias("text")).select(key_of("text").alias("curve_key"), "tie")
+    drawn = drawn.toArrow().sort_by([("curve_key", "ascending"), ("tie", "ascending")])
+    at = np.arange(1, parts) * drawn.num_rows // parts
+    bounds = spark.sparkContext.broadcast([drawn.column(c).to_numpy()[at] if drawn.num_rows else np.zeros(0, np.int64) for c in ("curve_key", "tie")])
+
+    @arrow_udf("struct<curve_key: long, part: int>")
+    def placed(texts: pa.Array, ties: pa.Array) -> pa.Array:
+        keys, (key_bounds, tie_bounds) = keys_of(texts), bounds.value
+        low, high = np.searchsorted(key_bounds, keys), np.searchsorted(key_bounds, keys, "right")
+        place = low.copy()
+        ties = ties.to_numpy()
+        for i in np.flatnonzero(high > low):  # a bound with the very same key: the tie decides
+            place[i] += np.searchsorted(tie_bounds[low[i] : high[i]], ties[i])
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(place.astype(np.int32))], ["curve_key", "part"])
+
+    keyed = tied.withColumn("at", placed("text", "tie")).select("doc_id", "text", "tie", "at.curve_key", "at.part")
+    return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("curve_key", "tie", "doc_id")
 
 
 def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 12, digests: bool = False, ids: bool = False) -> DataFrame:
@@ -291,13 +323,24 @@ def pack(spark: SparkSession, docs: DataFrame, spec: str, size: int = 2048, end_
         packer.finish()
         yield packer.taken(schema)
 
-    ordered = curve_ordered(spark, docs.select("doc_id", text_of().alias("text")), dims, bits)
+    ordered = curve_ordered(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), dims, bits)
     return ordered.mapInArrow(lean("packing", packed), schema)
 
 
 def load_spec(path: str | None = None) -> str:
+    """The tokenizer's JSON text; refuses tokenizers that do not split text at white space into marked words."""
     with open(path or tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as file:
-        return file.read()
+        text = file.read()
+    spec = json.loads(text)
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    blanks = any(s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
+    splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    words = any(s["type"] == "Split" and s["invert"] and s["behavior"] == "Removed" and "[^\\s" in s["pattern"].get("Regex", "") for s in splits)
+    if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != _WORD_END or spec["model"].get("dropout") or not blanks or not words:
+        raise ValueError("only BPE of white-space separated words that end in </w> is supported")
+    if any(s["type"] not in ("NFC", "Replace", "Lowercase") for s in steps) or any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
+        raise ValueError("unsupported normalizer or added-token option")
+    return text
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -305,5 +348,10 @@ def op1_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """Pieces with their token ids, and the crc32 of these."""
+    """Pieces with their token ids, and the crc32 of these; the cases are those of ``pack``.
+
+    Null texts yield the end id alone, null ids are kept, rows that repeat an id or a text
+    are packed each, an empty table yields no piece, and of the input's columns only doc_id
+    and text are read, so others may have any name.
+    """
     return pack(spark, docs, load_spec(path), digests=True, ids=True)
