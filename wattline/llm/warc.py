@@ -41,8 +41,10 @@ CRLF = b"\r\n"
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Duplicate digests up to this many rows are broadcast; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: File system schemes that Arrow knows by another name.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
+#: A digest meets its copies in this many places, so one very common payload is no hot key.
+SALTS = 16
 
 CAPTURE_SCHEMA = "page_id long, url_key string, record_type string, archive string, offset long, length long"
 PART_SCHEMA = "part string, first_key string, directory_offset long, directory_length long"
@@ -50,12 +52,16 @@ RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a folder that all executors share."""
+    """The Arrow file system of a folder that all executors share.
+
+    Hadoop's names of object stores (s3a, s3n, abfss) are read as Arrow's own.
+    """
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def url_key(url: str = "url") -> Column:
@@ -131,9 +137,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_byt
         .where((F.col("n") > 1) & F.col("first").isNotNull())
         .select("digest", "first")
     )
-    repeated = saved(spark, repeated, f"{folder}/repeated")
-    few = repeated.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    # Spark broadcasts this table only while it is small; beyond that the join is by (digest, salt).
+    repeated = saved(spark, repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), f"{folder}/repeated")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("salt", salt).join(repeated, ["digest", "salt"], "left")
     first = F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first"))
     rows = rows.select("page_id", "url", "url_key", "payload", first.alias("first"))
 
@@ -269,14 +276,17 @@ def lookup(spark: SparkSession, wanted: DataFrame, parts: DataFrame, folder: str
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(folder, listed)
+        schema, found = _arrow("archive string, offset long, length long"), []
         for batch in batches:
-            found = []
             keys = batch.column("url_key").to_pylist()
             ids = batch.column("page_id").to_pylist() if whole_key else keys
             for key, page_id in zip(keys, ids, strict=True):
                 for archive, offset, length in reader.find(_line_key(key, page_id) if whole_key and page_id is not None else f"{key} "):
                     found.append({"archive": archive, "offset": offset, "length": length})
-            yield pa.RecordBatch.from_pylist(found, schema=_arrow("archive string, offset long, length long"))
+                    if len(found) >= 20_000:  # one key may have any number of captures
+                        yield pa.RecordBatch.from_pylist(found, schema=schema)
+                        found = []
+        yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return ordered.mapInArrow(search, "archive string, offset long, length long")
 
