@@ -2,28 +2,37 @@
 
 Rules (block or allow, for a host with its subdomains and a path prefix) go first; the
 longest fitting rule decides. Other urls are judged by the regression. Training reads a
-small labelled url table (at most ``max_rows`` rows) on the driver; the weights become
-integers (millionths), so every engine adds them up to the same score. Scoring is an
-SQL expression over a constant weight array: no join, no shuffle, no Python.
+small labelled url table - the built-in one, or a CSV file given by path - on the driver,
+at most ``max_rows`` of its distinct rows, picked by a hash; the weights become integers
+(millionths), so every engine adds them up to the same score. Scoring is an SQL
+expression over a constant weight array: no join, no shuffle, no Python.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; no rule
-fits it and the regression's constant decides (allow); repeated rows are judged each;
-other columns are ignored; null ids stay null.
+fits it and the regression judges the empty parts; a score right at the limit is allowed;
+repeated rows are judged each and alike; other columns, whatever their names, are ignored;
+null ids stay null; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import math
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 4096  # three hexadecimal digits of an n-gram's md5
+from ._common import fresh_name
+from .url_table import UNWANTED, WANTED
+
+BUCKETS = 65_536  # four hexadecimal digits of an n-gram's md5
 ORDERS = (3, 4)
+#: A url is blocked if it is unwanted with more than this probability.
+LEAST_CHANCE = 0.7
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -35,29 +44,18 @@ RULES: tuple[tuple[str, str], ...] = (
     ("org/fr/", "allow"),
 )
 
-_BAD_WORDS = "spam-farm cheap-pills free-bets casino-bonus quick-loans hot-singles replica-watches miracle-diet easy-cash lucky-slots adult-cams fake-followers poker-chips crypto-doubler prize-winner pills-online ads-tracker track-banner spam-links adult-video bets-bonus farm-clicks".split()
-_GOOD_WORDS = "city-library open-science weather-report daily-news river-museum garden-club health-service music-school history-archive travel-notes cooking-blog code-review research-notes school-board union-station book-reviews".split()
-#: Common syllables; ordinary names are made of them, so their n-grams must not count as signs.
-_SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ing ion ble ly the and ent ter ich ein der sch che ung que les ment aux ou la os ci ra mi".split()
+Labelled = list[tuple[str | None, int]]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in training table: (url, 1 for unwanted), made by rule from the word lists.
+def labelled_urls() -> Labelled:
+    """The built-in training table: (url, 1 for unwanted)."""
+    return [(url, label) for label, block in ((1, UNWANTED), (0, WANTED)) for url in block.split()]
 
-    Fronts, endings and paths follow the same cycle in both classes, so only the names tell.
-    """
-    n = len(_SYLLABLES)
-    plain = ["".join(_SYLLABLES[(i * step + i // n + at) % n] for at, step in enumerate((1, 7, 11)[: 2 + i % 2])) for i in range(4 * n)]
-    rows = []
-    for label, names in ((1, _BAD_WORDS), (0, _GOOD_WORDS + plain)):
-        for i, name in enumerate(names):
-            for j in range(4):
-                front = ("", "www.", "m.", "blog.")[(i + j) % 4]
-                page = f"/{('en', 'de', 'fr', 'es')[j]}/{(i * 37 + j * 101) % 1000}" + ("", "/", ".html")[(i + j) % 3]
-                first, _, second = name.partition("-")
-                shown = name if j < 3 or not second else second + str(i % 10)
-                rows.append((f"https://{front}{shown}.example.{('com', 'org', 'net')[(i + j) % 3]}{page}", label))
-    return rows
+
+def read_labelled(path: str) -> Labelled:
+    """A labelled table of one's own: CSV with the columns url and label (1 for unwanted)."""
+    with open(path, encoding="utf-8", newline="") as file:
+        return [(row["url"] or None, int(row["label"])) for row in csv.DictReader(file)]
 
 
 def url_parts(url: str | None) -> tuple[str, str]:
@@ -80,26 +78,34 @@ def ngrams(host: str, path: str) -> set[str]:
 
 
 def _bucket(gram: str) -> int:
-    return int(hashlib.md5(gram.encode()).hexdigest()[:3], 16)
+    return int(hashlib.md5(gram.encode()).hexdigest()[:4], 16)
+
+
+def drawn(rows: Labelled, max_rows: int) -> Labelled:
+    """Distinct rows, at most ``max_rows`` of them: those with the smallest hashes."""
+    return sorted(set(rows), key=lambda row: hashlib.md5(f"{row[0]}|{row[1]}".encode()).digest())[:max_rows]
 
 
-def fit(rows: list[tuple[str | None, int]], max_rows: int = 5_000, rounds: int = 200, step: float = 2.0, penalty: float = 0.0005) -> tuple[list[int], int]:
-    """Weights per bucket and the constant, in millionths, by full-batch ascent."""
-    if len(rows) > max_rows:
-        raise ValueError(f"the labelled url table is bounded by {max_rows} rows")
+def fit(rows: Labelled, max_rows: int = 5_000, rounds: int = 300, step: float = 2.0, penalty: float = 0.003) -> tuple[list[int], int]:
+    """Weights per bucket and the constant, in millionths, by full-batch ascent on a bounded sample.
+
+    Both classes weigh the same. Without rows of both classes everything is allowed.
+    """
+    rows = drawn(rows, max_rows)
+    labels = np.array([label for _, label in rows], float)
+    if not 0 < labels.sum() < len(rows):
+        return [0] * BUCKETS, 0
     features = [sorted({_bucket(g) for g in ngrams(*url_parts(url))}) for url, _ in rows]
-    unwanted = sum(label for _, label in rows)
-    share = {1: len(rows) / max(1, 2 * unwanted), 0: len(rows) / max(1, 2 * (len(rows) - unwanted))}  # both classes weigh the same
-    weights, constant = [0.0] * BUCKETS, -2.0
+    row, column = np.repeat(np.arange(len(rows)), list(map(len, features))), np.concatenate([np.array(f, np.int64) for f in features])
+    share = np.where(labels == 1, len(rows) / (2 * labels.sum()), len(rows) / (2 * (len(rows) - labels.sum())))
+    size = 1 / np.maximum(1, np.bincount(row, minlength=len(rows)))  # long urls move no more than short ones
+    weights, constant = np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
-        slope = [0.0] * BUCKETS
-        for buckets, (_, label) in zip(features, rows, strict=True):
-            miss = share[label] * (label - 1 / (1 + math.exp(-constant - sum(weights[b] for b in buckets))))
-            for b in buckets:
-                slope[b] += miss
-        for b in range(BUCKETS):
-            weights[b] += step * (slope[b] / max(1, len(rows)) - penalty * weights[b])
-    return [round(1e6 * w) for w in weights], round(1e6 * constant)
+        latent = constant + np.bincount(row, weights[column], minlength=len(rows))
+        miss = share * (labels - 1 / (1 + np.exp(-np.clip(latent, -60, 60))))
+        weights += step * (np.bincount(column, (miss * size)[row], minlength=BUCKETS) - penalty * weights)
+        constant += 0.05 * miss.mean()
+    return [round(1e6 * w) for w in weights.tolist()], round(1e6 * constant)
 
 
 @lru_cache(maxsize=1)
@@ -118,7 +124,14 @@ def _grams(tag: str, text: Column) -> list[Column]:
     return [order(n) for n in ORDERS]
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, weights: tuple[list[int], int] | None = None, keep: tuple[str, ...] = ("page_id",), url: str = "url") -> DataFrame:
+def block_above(chance: float = LEAST_CHANCE) -> int:
+    """The score, in millionths, at which a url is unwanted with that probability."""
+    return round(1e6 * math.log(chance / (1 - chance)))
+
+
+def judge(
+    pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, weights: tuple[list[int], int] | None = None, keep: tuple[str, ...] = ("page_id",), url: str = "url", chance: float = LEAST_CHANCE
+) -> DataFrame:
     """Columns ``keep`` plus host, path, rule, verdict and the regression's score.
 
     ``rules`` are constants of the plan: a list of policy size (thousands), not a table.
@@ -135,16 +148,19 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, weights:
     longest = F.array_max(F.transform(F.filter(listed, fits), lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["action"].alias("action"))))
     table = F.from_json(F.lit(json.dumps(values)), "array<bigint>")
     # Buckets are told apart, not n-grams: two n-grams of one bucket weigh once, as in training.
-    bucket = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 3), 16, 10).cast("int")
+    bucket = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 4), 16, 10).cast("int")
     buckets = F.array_distinct(F.transform(F.concat(*_grams("h", F.col("host")), *_grams("p", F.col("path"))), bucket))
     score = F.aggregate(buckets, F.lit(constant).cast("long"), lambda acc, b: acc + F.get(table, b))
-    rows = rows.withColumn("__rule", longest).withColumn("score", score)
-    method = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return rows.select(*keep, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.action"), method).alias("verdict"), "score")
+    found = fresh_name(rows, "rule")
+    rows = rows.withColumn(found, longest).withColumn("score", score)
+    method = F.when(F.col("score") > block_above(chance), "block").otherwise("allow")
+    return rows.select(*keep, "host", "path", F.col(f"{found}.rule").alias("rule"), F.coalesce(F.col(f"{found}.action"), method).alias("verdict"), "score")
 
 
-def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+def op6_url_filter(spark: SparkSession, sf_dir: str, labelled: str | None = None) -> DataFrame:
+    """``labelled``: path of a labelled url table; the built-in one without it."""
+    weights = fit(read_labelled(labelled)) if labelled else default_weights()
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), weights=weights)
 
 
 def op6_sql() -> str:
@@ -157,11 +173,14 @@ def op6_sql() -> str:
         for r, a in RULES
         for h, _, p in [r.partition("/")]
     )
+    listed = ", ".join(f"({b}, {w})" for b, w in enumerate(values) if w)
     return f"""
-WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_PARTS}', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
-                  coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
-g AS (SELECT page_id, host, path, list_distinct(list_transform({grams}, lambda x: ('0x' || substr(md5(x), 1, 3))::INT)) AS buckets,
+WITH w(b, v) AS (VALUES {listed}),
+u AS (SELECT row_number() OVER () AS k, page_id, translate(coalesce(regexp_extract(url, '{_PARTS}', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+             coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
+g AS (SELECT k, page_id, host, path, list_distinct(list_transform({grams}, lambda x: ('0x' || substr(md5(x), 1, 4))::INT)) AS buckets,
              list_max(list_filter([{fits}], lambda x: x IS NOT NULL)) AS r FROM u),
-s AS (SELECT *, ({constant} + coalesce(list_sum(list_transform(buckets, lambda b: ([{", ".join(map(str, values))}])[b + 1])), 0))::BIGINT AS score FROM g)
-SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict, score FROM s
+t AS (SELECT k, sum(v) AS v FROM (SELECT k, unnest(buckets) AS b FROM g) JOIN w USING (b) GROUP BY k),
+s AS (SELECT g.*, ({constant} + coalesce(v, 0))::BIGINT AS score FROM g LEFT JOIN t USING (k))
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, CASE WHEN score > {block_above()} THEN 'block' ELSE 'allow' END) AS verdict, score FROM s
 """
