@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_SPLIT, text_of
+from ._common import WORD_SPLIT, fresh_name, text_of
 
 #: Fixed values of the contract: symbol characters and white space.
 SYMBOLS = "#*$%&|<>"
@@ -89,27 +89,25 @@ def _repeated_places(hashes: Column) -> Column:
 
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` plus all measurements of every text."""
-    rows = docs.select(*keep, text_of(text).alias("__text"))
-    rows = rows.withColumn("__words", F.filter(F.split("__text", WORD_SPLIT), lambda w: w != ""))
-    rows = rows.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0))
-    window = lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))
-    rows = rows.withColumn(
-        "__hashes",
-        F.when(F.size("__words") >= 3, F.transform(F.sequence(F.lit(0), F.size("__words") - 3), window)).otherwise(F.array().cast("array<bigint>")),
-    )
+    whole, words, lines, hashes = (fresh_name(docs, stem) for stem in ("whole", "words", "lines", "hashes"))
+    rows = docs.select(*keep, text_of(text).alias(whole))
+    rows = rows.withColumn(words, F.filter(F.split(whole, WORD_SPLIT), lambda w: w != ""))
+    rows = rows.withColumn(lines, F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0))
+    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    rows = rows.withColumn(hashes, F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), window)).otherwise(F.array().cast("array<bigint>")))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("total"))
     covered = lambda acc, i: F.struct(i.alias("last"), (acc["total"] + F.least(F.lit(3), i - acc["last"])).alias("total"))
     size = lambda c: F.size(c).cast("long")
     return rows.select(
         *keep,
-        size("__words").alias("n_words"),
-        F.length(F.translate("__text", BLANKS, "")).cast("long").alias("word_chars"),
-        _removed(F.col("__text"), SYMBOLS).alias("n_symbols"),
-        (size("__lines") - size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-        F.aggregate(_repeated_places(F.col("__hashes")), start, covered, lambda acc: acc["total"]).alias("n_repeat_words"),
-        size("__lines").alias("n_lines"),
-        _removed(F.col("__text"), "!").alias("n_exclamations"),
-        size(F.array_distinct("__words")).alias("n_distinct_words"),
+        size(words).alias("n_words"),
+        F.length(F.translate(whole, BLANKS, "")).cast("long").alias("word_chars"),
+        _removed(F.col(whole), SYMBOLS).alias("n_symbols"),
+        (size(lines) - size(F.array_distinct(lines))).alias("n_dup_lines"),
+        F.aggregate(_repeated_places(F.col(hashes)), start, covered, lambda acc: acc["total"]).alias("n_repeat_words"),
+        size(lines).alias("n_lines"),
+        _removed(F.col(whole), "!").alias("n_exclamations"),
+        size(F.array_distinct(words)).alias("n_distinct_words"),
     )
 
 
