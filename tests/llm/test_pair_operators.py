@@ -103,6 +103,47 @@ def test_awkward_documents(spark, awkward):
     assert join.similar_components(spark, awkward.where("false")).count() == 0
 
 
+def near(words, at):
+    return " ".join([*words[:at], "other", *words[at + 1 :]])
+
+
+def counting(rows):
+    """Of several texts under one id the one whose set has the smallest digest."""
+    best = {}
+    for i, text in rows:
+        digest = join.set_digest(join.shingle_set(text or ""))
+        if i not in best or digest < best[i][0]:
+            best[i] = (digest, text)
+    return [(i, text) for i, (_, text) in best.items()]
+
+
+@pytest.mark.parametrize(("turned", "parts"), [(False, 1), (True, 4)])
+def test_several_texts_under_one_id(spark, turned, parts):
+    first, second, third = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    texts = [" ".join(first), " ".join(second)][:: -1 if turned else 1]
+    rows = [(1, texts[0]), (1, texts[1]), (2, near(first, 3)), (3, near(second, 20)), (4, " ".join(third)), (5, " ".join(third)), (5, near(third, 1)), (6, near(third, 39)), (7, texts[0]), (7, texts[1]), (9, texts[1])]
+    found = join.similar_components(spark, documents(spark, rows).repartition(parts)).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == brute(counting(rows)) and len(found) == 8
+    assert {r[0]: r[3] for r in found} == linked_to(counting(rows))
+
+
+def test_crowds_around_a_common_passage(spark):
+    """Sets that share a passage, in one group each segment of it, are regrouped by rare tokens."""
+    rng, rows = np.random.default_rng(8), []
+    passage = [f"p{i}" for i in range(30)]
+    for f in range(40):
+        own = [f"w{f}x{i}" for i in range(int(rng.integers(4, 60)))]
+        for _ in range(3):
+            copy = list(own)
+            copy[int(rng.integers(len(copy)))] = f"e{rng.integers(30)}"
+            rows.append((len(rows), " ".join([*copy, *passage])))
+    rows.append((len(rows), " ".join(passage)))
+    found = join.similar_components(spark, documents(spark, rows).repartition(3), block=8, hot=3).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == brute(rows)
+    assert {r[0]: r[3] for r in found} == linked_to(rows)
+    assert len({r[2] for r in found}) > 20
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     for num in (75, 50):
@@ -148,6 +189,16 @@ def test_stage_keeps_one_of_each_group(spark, awkward):
     assert sorted((r[0] is None, r[0] or 0) for r in left) == sorted((i is None, i or 0) for i in ({i for i, _ in AWKWARD} - {6}))
 
 
+def test_stage_with_several_texts_under_one_id(spark):
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    rows = [(2, near(a, 3)), (1, " ".join(a)), (1, " ".join(b)), (1, " ".join(a)), (3, near(b, 20)), (None, " ".join(a)), (None, "alone with no id but with words"), (4, "")]
+    docs = documents(spark, rows).withColumnRenamed("first", "__place").withColumnRenamed("kept", "component_id")
+    kept = join.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, " ".join(a)), (1, " ".join(b)), (None, rows[6][1]), (4, "")], key=repr)
+    assert join.near_duplicate_stage(spark, docs.where("false"), "").count() == 0
+
+
 # Vantage-point trees
 
 
@@ -171,7 +222,7 @@ def exact(data, q, k):
 def test_factor_one_is_exact(spark):
     frame, data = vectors(spark)
     found = defaultdict(list)
-    for r in vptree.nearest(spark, frame, factor=1.0, shard_rows=200, every=50).orderBy("query_id", "rank").collect():
+    for r in vptree.nearest(spark, frame, factor=1.0, least_rows=200, every=50).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(found) == {*range(0, 700, 50), 1200, 1300}
     for q in range(0, 700, 50):
@@ -184,7 +235,7 @@ def test_factor_one_is_exact(spark):
 def test_recall_of_the_default_factor(spark):
     frame, data = vectors(spark, 1500, 24, 3)
     found = defaultdict(set)
-    for r in vptree.nearest(spark, frame, shard_rows=400, every=25).collect():
+    for r in vptree.nearest(spark, frame, least_rows=400, every=25).collect():
         found[r["query_id"]].add(r["vec_id"])
     hits = [len(found[q] & {i for i, _ in exact(data, q, 10)}) / 10 for q in range(0, 1500, 25)]
     assert np.mean(hits) >= 0.9
@@ -198,9 +249,8 @@ def test_larger_factors_look_at_less():
     for factor in (1.0, 3.0):
         seen = [0]
         original = tree._leaf
-        tree._leaf = lambda q, own, k, best, a, b: (seen.__setitem__(0, seen[0] + b - a), original(q, own, k, best, a, b))[1]
-        for q in range(50):
-            tree.search(data[q], q, 5, factor)
+        tree._leaf = lambda q, own, k, best, ids, who, a, b: (seen.__setitem__(0, seen[0] + len(who) * (b - a)), original(q, own, k, best, ids, who, a, b))[1]
+        tree.search(data[:50], np.arange(50), 5, factor)
         tree._leaf, looked[factor] = original, seen[0]
     assert looked[3.0] < looked[1.0] < 50 * 3000
 

@@ -13,7 +13,7 @@ tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
 
 from wattline.llm import bpe, langid, ordinal, packing, ppm, rules, urlfilter  # noqa: E402
-from wattline.llm._common import crc_mod  # noqa: E402
+from wattline.llm._common import crc_mod, work_folder  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +120,20 @@ def test_packing_stage_delivers_ids(spark, awkward):
     assert sorted((repr(r["doc_id"]), r["start"], tuple(r["ids"])) for r in plain) == sorted((repr(r["doc_id"]), r["start"], tuple(r["ids"])) for r in found)
 
 
+def test_equal_keys_are_split(spark):
+    """A text that all rows share spreads over the partitions; the key of a row is its text's."""
+    docs = documents(spark, [(i, "the same words for all of them") for i in range(400)] + [(900, "other"), (None, None), (None, None)])
+    ordered = packing.curve_ordered(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 4, 12)
+    sizes = [r["n"] for r in ordered.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 403 and max(sizes) < 250
+    assert {r["curve_key"] for r in ordered.where("doc_id < 400").collect()} == {int(packing.curve_keys([b"the same words for all of them"])[0])}
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        packing.load_spec(bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_packing_of_nothing(spark, empty):
     assert packing.pack(spark, empty, packing.load_spec()).count() == 0
 
@@ -184,6 +198,62 @@ def test_copies_weigh_once_in_training(spark):
     assert (alone.slots == many.slots).all() and many.predict([LANGS["en"]])[1][0] == 1
 
 
+def plain_grams(text, orders=(3, 4)):
+    """Every n-gram of a text as a tuple of letters; a word may show one gap at either side."""
+    letters = [c.lower()[0] if __import__("unicodedata").category(c)[0] == "L" else "" for c in "  " + (text or "") + "  "]
+    found = []
+    for n in orders:
+        for i in range(len(letters) - n + 1):
+            cut = letters[i : i + n]
+            if cut[1] and all(cut[j] for j in range(2, n - 1)):
+                found.append(tuple(cut))
+    return found
+
+
+def test_predictions_equal_plain_sets(spark):
+    """Filters against sets of n-grams, with the false-positive share worked out from the slots."""
+    rows = language_rows()
+    docs = documents(spark, rows + [(900, "katze chat cat im dans the"), (901, "É漢字 \U0001f600 x"), (902, None)])
+    model = langid.train(docs.where("doc_id < 900"), bits=16, hashes=2)
+    counts = {lang: Counter(g for _, t, k in rows if k == lang for g in plain_grams(t)) for lang in LANGS}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {g: max(share[k].get(g, 0) for k in LANGS) for k in LANGS for g in share[k]}
+    sets = {lang: {g for g, p in share[lang].items() if p >= 5e-6 and p >= 0.25 * top[g]} for lang in LANGS}
+    key = lambda g: langid._grams(np.array([ord(c) if c else 0 for c in g], np.uint16), len(g))[0]
+    slots = {lang: {int(s) for g in sets[lang] for h in range(2) for s in langid._slot(key(g), h, 16)} for lang in LANGS}
+    assert set(model.languages) == set(LANGS)
+    for i, lang in enumerate(model.languages):
+        assert model.fill[i] == len(slots[lang]) / 2**16
+    for r in langid.identify(docs, model, keep=("doc_id", "text")).collect():
+        grams = plain_grams(r["text"])
+        holds = lambda lang, g: all(int(s) in slots[lang] for h in range(2) for s in langid._slot(key(g), h, 16))
+        corrected = {}
+        for lang in model.languages:
+            wrong = (len(slots[lang]) / 2**16) ** 2
+            corrected[lang] = max(0.0, (sum(holds(lang, g) for g in grams) - len(grams) * wrong) / (1 - wrong))
+            assert sum(holds(lang, g) for g in grams) >= sum(g in sets[lang] for g in grams)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        best = max(corrected.values())
+        assert r["lang_pred"] == next(k for k in model.languages if corrected[k] == best)
+        assert r["score"] == pytest.approx(best / sum(corrected.values()) if best else 0.0, abs=1e-9)
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]} {i}", "en" if i % 3 else "de") for i in range(600)] + [(1000 + i, "copied text", "en") for i in range(500)]
+    languages, drawn = langid.sampled(documents(spark, rows), 60, work_folder(spark, "sample") + "/near")
+    found = [tuple(r) for r in drawn.collect()]
+    assert languages == ["en", "de"] and len(found) == len(set(found)) and set(found) <= {(t, k) for _, t, k in rows}
+    assert max(Counter(k for _, k in found).values()) <= 30 and len(found) > 40
+
+
+def test_clashing_columns_of_the_stage(spark):
+    docs = documents(spark, language_rows()).withColumnRenamed("first", "__language").withColumnRenamed("kept", "__text")
+    found = langid.language_stage(spark, docs, "")
+    assert found.columns == docs.columns and found.where("__language = 'x'").count() == docs.count()
+
+
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 4000).astype(np.uint64)
@@ -238,6 +308,64 @@ def test_ordinal_edges(spark, awkward, empty):
     assert ordinal.grade_texts(awkward, model, 2).count() == len(AWKWARD) and ordinal.grade_texts(empty, model, 2).count() == 0
 
 
+def test_ordinal_gradient_and_optimum():
+    """The fit stops where the penalised likelihood, written out plainly, is flat."""
+    rng = np.random.default_rng(1)
+    features = [np.unique(rng.integers(0, 8, 4)).astype(np.int32) for _ in range(400)]
+    truth = rng.normal(size=8)
+    grades = np.digitize([truth[f].sum() + rng.logistic() for f in features], [-1.0, 1.0])
+    model = ordinal.fit(features, grades, 3, 3, rounds=3000, penalty=0.05, least_z=0.0)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for f, g in zip(features, grades, strict=True):
+            edges = [0.0, *(1 / (1 + math.exp(weights[f].sum() - c)) for c in cuts), 1.0]
+            total -= math.log(edges[g + 1] - edges[g])
+        return total / len(features) + 0.05 * (weights**2).sum() / 2 / 8**0.5
+
+    weights, cuts, step = model.weights.astype(float), model.thresholds, 1e-5
+    for i in range(8):
+        shift = np.eye(8)[i] * step
+        assert abs(loss(weights + shift, cuts) - loss(weights - shift, cuts)) / (2 * step) < 2e-3
+    for i in range(2):
+        shift = np.eye(2)[i] * step
+        assert abs(loss(weights, cuts + shift) - loss(weights, cuts - shift)) / (2 * step) < 2e-3
+
+
+def test_grades_equal_plain_arithmetic(spark, awkward):
+    """Few buckets, so that many words collide: each bucket counts once, as in training."""
+    rng = np.random.default_rng(2)
+    model = ordinal.OrdinalModel(rng.normal(size=64).astype(np.float32), np.array([-0.5, 0.75]))
+    for r in ordinal.grade_texts(awkward, model, 2, keep=("doc_id", "text")).collect():
+        words = (r["text"] or "").split()
+        names = [w.strip(ordinal.EDGES).lower().encode() for w in words] + ordinal._shape(r["text"] or "", words, set(words))
+        latent = sum(float(model.weights[b]) for b in {zlib.crc32(n) & 63 for n in names})
+        at_most = [1 / (1 + math.exp(latent - c)) for c in (-0.5, 0.75)]
+        assert r["expected_grade"] == pytest.approx(2 - sum(at_most), abs=1e-6) and r["tail_probability"] == pytest.approx(1 - at_most[1], abs=1e-6)
+
+
+def test_repeated_labels_and_texts_of_one_id(spark):
+    docs, grades = graded(spark)
+    model = ordinal.train(docs, grades, 3)
+    more = spark.createDataFrame([(1, 2), (2, 2), (3, 1)] * 3, "doc_id long, grade int").where("doc_id <> 1 or grade = 2")
+    again = ordinal.train(docs.unionByName(docs), grades.unionByName(more), 3)
+    assert (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
+    turned = documents(spark, [(1, "one text"), (1, "another")]), documents(spark, [(1, "another"), (1, "one text")])
+    one, two = (ordinal.train(d, grades, 3) for d in turned)
+    assert (one.weights == two.weights).all()
+
+
+def test_sample_of_labels_is_bounded(spark):
+    docs, grades = graded(spark)
+    seen = []
+    original, ordinal.fit = ordinal.fit, lambda features, *rest: (seen.append(len(features)), original(features, *rest))[1]
+    try:
+        ordinal.train(docs, grades, 3, max_rows=50)
+    finally:
+        ordinal.fit = original
+    assert 30 < seen[0] <= 50
+
+
 # Scores
 
 
@@ -294,15 +422,26 @@ def test_probabilities_of_a_context_sum_to_one():
     for k, n in zip(key.tolist(), count.tolist(), strict=True):
         pairs[k >> 8 & 255, k & 255] += n
     contexts = np.unique(key >> np.uint64(8))
+
+    def second_order(keys, counts):
+        of = defaultdict(Counter)
+        for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+            of[k >> 8 & 0xFFFF][k & 255] += n
+        rows = []
+        for k in keys.tolist():
+            known = {b: n for b, n in of[k >> 8 & 0xFFFF].items() if n}
+            rows.append((known.get(k & 255, 0), sum(known.values()), len(known), sum(int(pairs[k >> 8 & 255, b]) for b in known)))
+        return np.array(rows, np.int64)
+
     for context in contexts[:6]:
         asked = (context << np.uint64(8)) + np.arange(256, dtype=np.uint64)
         every = np.union1d(key, asked)
         counts = np.zeros(len(every), np.int64)
         counts[np.searchsorted(every, key)] = count
         logs = np.zeros(len(every))
-        family = every >> np.uint64(8) & np.uint64(0xFFFF)
+        family, second = every >> np.uint64(8) & np.uint64(0xFFFFFF), second_order(every, counts)
         for f in np.unique(family):
-            logs[family == f] = ppm.code_lengths(every[family == f], counts[family == f], pairs)
+            logs[family == f] = ppm.code_lengths(every[family == f], counts[family == f], second[family == f], pairs)
         assert (10 ** logs[np.searchsorted(every, asked)]).sum() == pytest.approx(1)
 
 
@@ -342,6 +481,14 @@ def test_policies_and_ablations(spark):
     assert found["few_words"] == (2, 1, 2) and found["symbols"] == (2, 1, 2) and found["shouting"] == (1, 1, 2)
 
 
+def test_rules_on_nothing_and_beside_other_columns(spark, awkward, empty):
+    assert rules.ledger(empty).count() == 0 and rules.ablations(rules.ledger(empty), "v1").count() == 0
+    clash = awkward.withColumnRenamed("first", "__words").withColumnRenamed("lang", "__text")
+    found = rules.ledger(clash, keep=("doc_id", "__words", "__text"))
+    assert found.where("__words = 'x' and __text = 'en'").count() == len(AWKWARD) == rules.ledger(awkward).count()
+    assert rules.ledger(awkward).select("doc_id", "failed_bits").exceptAll(found.select("doc_id", "failed_bits")).count() == 0
+
+
 def test_rules_stay_in_the_jvm(spark, awkward):
     plan = rules.ledger(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange hash" not in plan
@@ -365,6 +512,7 @@ def test_urls(spark):
     assert found[7]["rule"] is None and found[10]["verdict"] == "block" and found[1]["verdict"] == "allow" and found[1]["host"] == ""
     plan = urlfilter.judge(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and urlfilter.judge(pages.where("false")).count() == 0
+    assert urlfilter.judge(pages.withColumnRenamed("host", "__rule"), keep=("page_id", "__rule")).where("__rule = 'x'").count() == len(rows)
 
 
 def test_url_scores_equal_plain_arithmetic(spark):
@@ -374,5 +522,27 @@ def test_url_scores_equal_plain_arithmetic(spark):
     for r in urlfilter.judge(pages).collect():
         grams = urlfilter.ngrams(*urlfilter.url_parts(urls[r["page_id"]]))
         assert r["score"] == constant + sum(values[b] for b in {urlfilter._bucket(g) for g in grams})
-    with pytest.raises(ValueError):
-        urlfilter.fit([("http://x/", 1)] * 10, max_rows=5)
+
+
+def test_url_filter_on_held_out_urls():
+    rows = urlfilter.labelled_urls()
+    fold = lambda url: int(hashlib.md5(url.encode()).hexdigest(), 16) % 4
+    blocked = {0: [], 1: []}
+    for f in range(4):
+        values, constant = urlfilter.fit([r for r in rows if fold(r[0]) != f])
+        for url, label in rows:
+            if fold(url) == f:
+                buckets = {urlfilter._bucket(g) for g in urlfilter.ngrams(*urlfilter.url_parts(url))}
+                blocked[label].append(constant + sum(values[b] for b in buckets) > urlfilter.block_above())
+    assert len(blocked[0]) == len(blocked[1]) > 80
+    assert np.mean(blocked[1]) > 0.7 and np.mean(blocked[0]) < 0.05
+
+
+def test_url_table_by_path_and_its_bound(tmp_path):
+    path = tmp_path / "urls.csv"
+    path.write_text("url,label\nhttp://bad.example/,1\nhttp://good.example/,0\nhttp://bad.example/,1\n,0\n")
+    rows = urlfilter.read_labelled(str(path))
+    assert len(rows) == 4 and rows[3] == (None, 0) and len(urlfilter.drawn(rows, 10)) == 3
+    assert urlfilter.drawn(rows, 2) == urlfilter.drawn(rows[::-1], 2) and len(urlfilter.drawn(rows, 2)) == 2
+    assert urlfilter.fit(rows) == urlfilter.fit(rows[::-1])
+    assert urlfilter.fit([("http://x/", 1)] * 10) == urlfilter.fit([]) == ([0] * urlfilter.BUCKETS, 0)
