@@ -7,7 +7,13 @@ from collections.abc import Sequence
 
 from wattline.operators.storage import BatterySpec
 
-from .oracles import _CAP, _DAILY, _EV, _FEATURES, _GEN, _HM, _LOAD, _MARGIN, _NAIVE, _PANEL, _PRED, _PRICE, _STRATEGY_DAYS, _UTC, _hourly, _local, _lp, _r, _scores
+from .oracles import _CAP, _DAILY, _EV, _FEATURES, _GEN, _HM, _LOAD, _MARGIN, _NAIVE, _PANEL, _PRED, _PRICE, _STRATEGY_DAYS, _UTC, _hourly, _local, _lp, _scores
+
+
+def _r(*columns: str) -> str:
+    """Rounded columns; adding zero turns a negative zero into a plain one, as the other engine's rounding does."""
+    return ", ".join(f"round({c}, 6) + 0::DOUBLE AS {c}" for c in columns)
+
 
 _REVISED = "rev AS (SELECT ts_utc, res, price + 100 AS price FROM price WHERE hour(ts_utc) % 3 = 0), far AS (SELECT ts_utc + INTERVAL 40 DAY AS ts_utc, res, price FROM rev)"
 _LATEST = f"""{_REVISED}, merged AS (SELECT ts_utc, res, CASE WHEN hour(ts_utc) % 3 = 0 THEN price + 100 ELSE price END AS price FROM price UNION ALL SELECT * FROM far)"""
