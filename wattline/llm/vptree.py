@@ -2,8 +2,11 @@
 
 Rows are dealt to shards by a hash of their id; each shard's distinct vectors form a
 vantage-point tree (equal vectors share one entry that lists its smallest ids, which
-are the only ones a top-k with ties to the smaller id can need). Trees are work tables.
-Blocks of queries visit every shard, and each query's best per shard are merged.
+are the only ones a top-k with ties to the smaller id can need). There are as many shards
+as shuffle partitions, fewer while they would hold under ``least_rows`` rows, and more once
+they would hold over ``shard_bytes`` of vectors. Trees are work tables. Every query is sent
+to every shard; a task reads its shard's tree once and then streams the queries past it,
+many at a time, and each query's best per shard are merged.
 
 A subtree is skipped if its distance band lies farther than the query's k-th best so
 far, by the triangle inequality: factor * gap > kth. ``factor`` 1 is exact search;
@@ -23,13 +26,12 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import saved, work_folder
+from ._common import lean, lean_worker, saved, shuffle_partitions, work_folder
 
 _TREE_SCHEMA = "dims int, shard int, tree binary"
 
@@ -102,40 +104,63 @@ class VpTree:
         with np.load(io.BytesIO(data), allow_pickle=False) as stored:
             return VpTree(**{name: stored[name] for name in VpTree.FIELDS})
 
-    def search(self, query: np.ndarray, own: int, k: int, factor: float) -> list[tuple[float, int]]:
-        """The k nearest (distance, id), nearest first, without the id ``own``."""
-        best: list[tuple[float, int]] = []
-        if not len(self.spans):
-            return best
-        waiting = [(0.0, 0)]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of the k nearest to each query, nearest first, without its own id.
+
+        Missing neighbours have the distance infinity. All queries go down together: at every
+        node those that the band does not rule out turn first to the side that is nearer for
+        most of them, so that a node is visited once.
+        """
+        best = np.full((len(queries), k), np.inf)
+        best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+        if not len(self.spans) or not len(queries):
+            return best, best_id
+        waiting = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
         while waiting:
-            gap, node = waiting.pop()
+            node, who, gap = waiting.pop()
             # Ties at the k-th distance may still hold a smaller id, so only a larger gap skips.
-            if len(best) == k and gap * factor > best[-1][0]:
+            open_ = gap * factor <= best[who, -1]
+            who, gap = who[open_], gap[open_]
+            if not len(who):
                 continue
             low, high = self.children[node]
             if low < 0:
-                best = self._leaf(query, own, k, best, *self.spans[node])
+                self._leaf(queries, own, k, best, best_id, who, *self.spans[node])
                 continue
-            away = np.sqrt(((self.vantage[node] - query) ** 2).sum())
+            away = np.sqrt(((self.vantage[node] - queries[who]) ** 2).sum(axis=1))
             slack = 1e-12 * (1.0 + away)
-            inner = max(0.0, self.inner_low[node] - away, away - self.inner_high[node]) - slack
-            outer = max(0.0, self.outer_low[node] - away, away - self.outer_high[node]) - slack
-            pair = [(max(gap, inner), low), (max(gap, outer), high)]
-            if inner < outer or (inner == outer and away < (self.inner_high[node] + self.outer_low[node]) / 2):
+            inner = np.maximum(0.0, np.maximum(self.inner_low[node] - away, away - self.inner_high[node])) - slack
+            outer = np.maximum(0.0, np.maximum(self.outer_low[node] - away, away - self.outer_high[node])) - slack
+            nearer = (inner < outer) | ((inner == outer) & (away < (self.inner_high[node] + self.outer_low[node]) / 2))
+            pair = [(high, who, np.maximum(gap, outer)), (low, who, np.maximum(gap, inner))]
+            if 2 * np.count_nonzero(nearer) < len(who):
                 pair.reverse()
-            waiting += pair  # the nearer side is popped first
-        return best
-
-    def _leaf(self, query, own, k, best, start, stop):
-        away = np.sqrt(((self.vectors[start:stop] - query) ** 2).sum(axis=1))
-        near = np.flatnonzero(away <= best[-1][0]) if len(best) == k else np.arange(len(away))
-        if not len(near):
-            return best
-        ids, known = self.ids[0, start:stop][near], self.ids[1, start:stop][near].astype(bool)
-        known = known & (ids != own)
-        found = zip(np.repeat(away[near], known.sum(axis=1)).tolist(), ids[known].tolist(), strict=True)
-        return sorted([*best, *found])[:k]
+            waiting += pair  # popped from the end
+        return best, best_id
+
+    def _leaf(self, queries, own, k, best, best_id, who, start, stop) -> None:
+        # A product of matrices rules out most pairs, with room for its rounding; the rest is measured exactly.
+        part, asked = self.vectors[start:stop], queries[who]
+        sums, own_sums = (part**2).sum(axis=1)[None, :], (asked**2).sum(axis=1)[:, None]
+        rough = sums + own_sums - 2.0 * (asked @ part.T)
+        row, place = np.nonzero(~(rough > best[who, -1:] ** 2 + 1e-9 * (sums + own_sums)))
+        distance = np.sqrt(((part[place] - asked[row]) ** 2).sum(axis=1))
+        near = distance <= best[who[row], -1]
+        row, place, distance = row[near], place[near], distance[near]
+        if not len(row):
+            return
+        # Every id of the vectors that are near enough, as (query, distance, id).
+        entry, listed = np.nonzero(self.ids[1, start:stop][place])
+        ids, row, distance = self.ids[0, start:stop][place[entry], listed], who[row[entry]], distance[entry]
+        others = ids != own[row]
+        row, distance, ids = row[others], distance[others], ids[others]
+        touched = np.unique(row)
+        row = np.concatenate([np.repeat(touched, k), row])
+        distance, ids = np.concatenate([best[touched].ravel(), distance]), np.concatenate([best_id[touched].ravel(), ids])
+        order = np.lexsort((ids, distance, row))
+        first = np.searchsorted(row[order], touched)
+        kept = order[(first[:, None] + np.arange(k)).ravel()]
+        best[touched], best_id[touched] = distance[kept].reshape(-1, k), ids[kept].reshape(-1, k)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -147,57 +172,67 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def build_index(spark: SparkSession, rows: DataFrame, folder: str, k: int, shard_rows: int = 16_384) -> DataFrame:
-    """One tree per shard of about ``shard_rows`` rows; every row is indexed."""
-    shards = max(1, -(-rows.count() // shard_rows))
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of an array column of equally long, non-null vectors."""
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
+
+
+def build_index(spark: SparkSession, rows: DataFrame, folder: str, k: int, least_rows: int = 16_384, shard_bytes: int = 64 << 20) -> DataFrame:
+    """One tree per shard (and vector length); every row is indexed."""
+    facts = rows.agg(F.count(F.lit(1)), F.sum(8 * F.size("v"))).first()
+    shards = max(1, min(shuffle_partitions(spark), -(-facts[0] // least_rows)), -(-(facts[1] or 0) // shard_bytes))
     dealt = rows.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
 
-    def grow(part: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(part["v"].tolist(), np.float64)
-        tree = VpTree.build(vectors, part["vec_id"].to_numpy(np.int64), k)
-        return pd.DataFrame({"dims": [part["dims"].iloc[0]], "shard": [part["shard"].iloc[0]], "tree": [tree.dump()]})
+    def grow(part: pa.Table) -> pa.Table:
+        with lean_worker("vptree"):
+            tree = VpTree.build(_matrix(part.column("v")), part.column("vec_id").to_numpy(), k).dump()
+        return pa.table({"dims": part.column("dims")[:1], "shard": part.column("shard")[:1], "tree": pa.array([tree], pa.binary())})
 
-    return saved(spark, dealt.groupBy("dims", "shard").applyInPandas(grow, _TREE_SCHEMA), f"{folder}/trees")
+    return saved(spark, dealt.groupBy("dims", "shard").applyInArrow(grow, _TREE_SCHEMA), f"{folder}/trees")
 
 
-def search_index(spark: SparkSession, queries: DataFrame, trees: DataFrame, k: int, factor: float, block_rows: int = 1_024) -> DataFrame:
+def search_index(spark: SparkSession, queries: DataFrame, trees: DataFrame, k: int, factor: float, floats_at_once: int = 1 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (vec_id, v) over all trees."""
     shards = int(trees.agg(F.max("shard")).first()[0] or 0) + 1
-    blocks = max(1, -(-queries.count() // block_rows))
-    # Queries travel as blocks, one copy of a block per shard; trees meet their blocks by key.
-    blocked = (
-        queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block"))
-        .groupBy("dims", "block")
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    )
-    paired = blocked.join(trees, ["dims", "shard"]).select("dims", "shard", "block", "queries", "tree")
+    asked = queries.select(F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "v", F.lit(None).cast("binary").alias("tree"))
+    held = trees.select("dims", "shard", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "tree")
+    # Each shard's tree comes first, then its queries; shards are dealt evenly, one after another.
+    spread = max(shards, shuffle_partitions(spark))
+    rows = held.unionByName(asked).repartitionById(spread, F.col("shard")).sortWithinPartitions("dims", "shard", F.col("vec_id").asc_nulls_first())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                here = (batch.column("dims")[i].as_py(), batch.column("shard")[i].as_py())
-                if here != key:
-                    key, tree = here, VpTree.load(batch.column("tree")[i].as_py())
-                found = []
-                for query in batch.column("queries")[i].as_py():
-                    for distance, vec_id in tree.search(np.array(query["v"]), query["vec_id"], k, factor):
-                        found.append((query["vec_id"], vec_id, distance))
-                columns = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = paired.mapInArrow(search, "query_id long, vec_id long, score double")
+            here = list(zip(batch.column("dims").to_pylist(), batch.column("shard").to_pylist(), strict=True))
+            heads = [i for i in range(batch.num_rows) if i == 0 or here[i] != here[i - 1]]
+            for start, stop in zip(heads, [*heads[1:], batch.num_rows], strict=True):
+                if here[start] != key:
+                    key, tree = here[start], None
+                if batch.column("tree")[start].is_valid:
+                    tree = VpTree.load(batch.column("tree")[start].as_py())
+                    start += 1
+                if tree is None or start == stop:  # no row of this length lies in this shard
+                    continue
+                at_once = max(16, floats_at_once // max(1, 64 * key[0]))
+                for a in range(start, stop, at_once):
+                    part = batch.slice(a, min(at_once, stop - a))
+                    own = part.column("vec_id").to_numpy()
+                    away, ids = tree.search(_matrix(pa.chunked_array([part.column("v")])), own, k, factor)
+                    some = np.isfinite(away)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, some.sum(axis=1))), pa.array(ids[some]), pa.array(away[some])], ["query_id", "vec_id", "score"])
+
+    found = rows.mapInArrow(lean("vptree", search), "query_id long, vec_id long, score double")
     # At most k rows per query and shard meet here.
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, factor: float = 1.1, every: int = 100, shard_rows: int = 16_384) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, factor: float = 1.1, every: int = 100, least_rows: int = 16_384) -> DataFrame:
     """The k nearest others of every row whose id is divisible by ``every``."""
     folder = work_folder(spark, "vptree")
     rows = saved(spark, usable(vectors), f"{folder}/vectors")
-    trees = build_index(spark, rows, folder, k, shard_rows)
+    trees = build_index(spark, rows, folder, k, least_rows)
     return search_index(spark, rows.where(F.col("vec_id") % every == 0), trees, k, factor)
 
 
