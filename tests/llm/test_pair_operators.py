@@ -59,13 +59,6 @@ def brute(rows, num=75, den=100):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("num", "den"), [(75, 100), (50, 100)])
-def test_components_equal_brute_force(spark, num, den):
-    rows = variants()
-    found = join.similar_components(spark, documents(spark, rows).repartition(3), num, den, block=8)
-    assert {r[0]: (r[1], r[2]) for r in found.collect()} == brute(rows, num, den)
-
-
 def linked_to(rows, num=75, den=100):
     """Id -> number of other documents whose shingles reach the threshold."""
     sets = {}
@@ -76,20 +69,13 @@ def linked_to(rows, num=75, den=100):
     return {i: sum(1 for j, b in sets.items() if j != i and reached(a, b)) for i, a in sets.items()}
 
 
-@pytest.mark.parametrize(("num", "den"), [(75, 100), (50, 100)])
-def test_links_equal_brute_force(spark, num, den):
+@pytest.mark.parametrize(("num", "den", "block"), [(75, 100, 4), (50, 100, 1024)])
+def test_components_and_links_equal_brute_force(spark, num, den, block):
     rows = variants()
-    found = {r["doc_id"]: r["n_links"] for r in join.similar_components(spark, documents(spark, rows).repartition(3), num, den, block=4).collect()}
+    found = join.similar_components(spark, documents(spark, rows).repartition(3), num, den, block=block).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == brute(rows, num, den)
     expected = linked_to(rows, num, den)
-    assert found == expected and max(expected.values()) > 12
-    whole = join.similar_components(spark, documents(spark, rows).repartition(3), num, den)
-    assert {r["doc_id"]: r["n_links"] for r in whole.collect()} == expected
-
-
-def test_links_of_awkward_documents(spark, awkward):
-    found = {r["doc_id"]: r["n_links"] for r in join.similar_components(spark, awkward).collect()}
-    named = [(i, t) for i, t in AWKWARD if i is not None]
-    assert found.pop(None) is None and found == linked_to(named)
+    assert {r[0]: r[3] for r in found} == expected and max(expected.values()) > 12
 
 
 def test_awkward_documents(spark, awkward):
@@ -98,7 +84,8 @@ def test_awkward_documents(spark, awkward):
     named = {i: t for i, t in AWKWARD if i is not None}
     expected = brute(list(named.items()))
     assert {i: (r[1], r[2]) for i, r in by.items() if i is not None} == expected
-    assert len(found) == len(named) + 1 and by[None][2] is None
+    assert len(found) == len(named) + 1 and by[None][2] is None and by[None][3] is None
+    assert {i: r[3] for i, r in by.items() if i is not None} == linked_to(list(named.items()))
     assert by[6][2] == 5 and by[1][1] == 0 and by[1][2] == 1 and by[4][1] == 1
     assert join.similar_components(spark, awkward.where("false")).count() == 0
 
