@@ -63,6 +63,22 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def test_feed_files_saves_each_payload_by_itself(spark, duck):
+    """However many tasks write the payloads, and in whatever order."""
+    from wattline.plans import oracles, queries
+
+    changed = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        found = {(r["day"], r["n"]) for r in queries.queries()["feed_files"](spark, LARGER).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == set(duck[LARGER].execute(oracles.oracle_sql()["feed_files"]).fetchall())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

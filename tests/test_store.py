@@ -106,6 +106,17 @@ def test_overlapping_payloads_give_each_interval_once(spark):
     assert {r["load_mw"]: r["count"] for r in loads.collect()} == {5.0: 24, 9.0: 24}
 
 
+def test_every_document_of_a_saved_file_counts(spark, tmp_path):
+    body = lambda day, value: {"unix_seconds": [START + 86400 * day + 3600 * i for i in range(24)], "price": [value] * 24, "unit": "EUR / MWh", "note": {"text": "} {"}}
+    lines = [json.dumps(body(0, 9.0)), json.dumps(body(1, 2.0)) + " \r", "", json.dumps(body(2, 3.0), indent=1), json.dumps(body(0, 1.0))]
+    (tmp_path / "several.json").write_text("\n".join(lines) + "\n")
+    (tmp_path / "one.json").write_text(json.dumps(body(3, 4.0), indent=1))
+    payloads = feeds.saved_payloads(spark, str(tmp_path))
+    assert payloads.count() == 5
+    found = feeds.price_facts(payloads, DE_LU).groupBy("price").count()
+    assert {r["price"]: r["count"] for r in found.collect()} == {1.0: 24, 2.0: 24, 3.0: 24, 4.0: 24}
+
+
 def test_sources_by_name():
     assert set(feeds.SOURCES) == {"files", "http"} and callable(feeds.get_source("http"))
     with pytest.raises(KeyError):

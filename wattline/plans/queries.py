@@ -247,10 +247,8 @@ def feed_capacity(spark, d):
 def feed_files(spark, d):
     """The same prices through saved files and the registry of sources."""
     folder = work_folder(spark, "payloads")
-    fixtures.price_payloads(spark, d).select("payload").write.text(f"{folder}/price")
-    one_per_file = spark.read.text(f"{folder}/price")
-    one_per_file.repartition(max(1, one_per_file.count())).write.text(f"{folder}/files/price")
-    fetch = feeds.fetcher(spark, "files", f"{folder}/files")
+    fixtures.price_payloads(spark, d).select("payload").write.option("maxRecordsPerFile", 1).text(f"{folder}/price")
+    fetch = feeds.fetcher(spark, "files", folder)
     rows = fetch("price", DE_LU, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 8))
     return rows.groupBy(F.to_date("ts_utc").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,7 +3,8 @@
 Payloads are rows of ``payload string``; a reader of saved files and a batch data source
 for the HTTP interface both produce them. Payloads may overlap, as every run reads the last
 days again: each is turned into facts by itself, and of several that give one interval the
-latest counts - by ``stamp`` (a file's modification time), then ``file``, then content.
+latest counts - by ``stamp`` (a file's modification time), then ``file``, then ``place`` in
+the file, then content.
 """
 
 from __future__ import annotations
@@ -65,15 +66,23 @@ class UpstreamError(ValueError):
     """The provider sent something that must be looked at by a person."""
 
 
+#: Line ends between two documents of a file; inside one no brace opens right after one closes.
+_BETWEEN = r"(?<=\})[ \t]*[\r\n]\s*(?=\{)"
+
+
 def saved_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per saved JSON file: its name and whole text."""
+    """One row per JSON document of the saved files: its file, its place there and its text.
+
+    A file holds one document or several, each from a new line on and over any number of lines.
+    """
     rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("stamp"), F.col("value").alias("payload"))
+    named = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("stamp"), F.split("value", _BETWEEN).alias("documents"))
+    return named.select("file", "stamp", F.posexplode("documents").alias("place", "payload"))
 
 
 def _parsed(payloads: DataFrame, schema: str) -> DataFrame:
     """The fields of each payload and its ``turn``: of two payloads the one with the larger turn is later."""
-    order = [F.col(c) for c in ("stamp", "file") if c in payloads.columns]
+    order = [F.col(c) for c in ("stamp", "file", "place") if c in payloads.columns]
     turn = F.struct(*order, F.sha2("payload", 256).alias("content"))
     parsed = payloads.select(turn.alias("turn"), F.from_json("payload", schema).alias("p")).select("turn", "p.*")
     if "unix_seconds" in parsed.columns:
