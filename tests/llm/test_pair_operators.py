@@ -186,6 +186,30 @@ def test_stage_with_several_texts_under_one_id(spark):
     assert join.near_duplicate_stage(spark, docs.where("false"), "").count() == 0
 
 
+def test_work_tables_have_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, a work table is not cut into as many files."""
+    files, written, rows = {}, join.saved, variants(3, 12, 6)
+
+    def counted(session, frame, path):
+        table = written(session, frame, path)
+        files[path.rsplit("/", 1)[1]] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(join, "saved", counted)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = join.similar_components(spark, documents(spark, rows).repartition(20, "doc_id")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {"grouped1", "named", "members", "pairs1", "links1", "edges0", "classes"} <= set(files)
+    assert max(files.values()) <= 8, files  # two per core, or a quarter of the shuffle's partitions
+    assert {r[0]: (r[1], r[2]) for r in found} == brute(rows)
+
+
 # Vantage-point trees
 
 

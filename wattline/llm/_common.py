@@ -23,6 +23,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def merged(spark: SparkSession, frame: DataFrame, of: int = 8) -> DataFrame:
+    """``frame`` in a partition for ``of`` of a shuffle, two per core at least, if it has more.
+
+    Each partition becomes a file when the table is written, and on a local file system an
+    executor starts helper processes for each file. The partitions of a task are worked
+    through one after another: a Python worker holds one of them at a time.
+    """
+    return frame.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-shuffle_partitions(spark) // of)))
+
+
 #: Seconds after which an idle Python worker lets go of what it remembers.
 IDLE_SECONDS = 3.0
 _WORKER: dict = {"owner": None, "kept": {}, "timer": None, "lock": threading.Lock()}

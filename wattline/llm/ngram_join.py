@@ -57,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, dropped, fresh_name, lean, saved, shuffle_partitions, sliced, text_of, work_folder, worker_memory
+from ._common import by_bytes, dropped, fresh_name, lean, merged, saved, shuffle_partitions, sliced, text_of, work_folder, worker_memory
 
 U = np.uint64
 _MIX_A, _MIX_B, _ODD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -525,12 +525,17 @@ def _link_counts(threshold: Threshold):
     return run
 
 
+def few_files(spark: SparkSession, frame: DataFrame, path: str, of: int = 8) -> DataFrame:
+    """A work table in few files; those that hold sets or texts (``of`` 4) keep files that a task can read at once."""
+    return saved(spark, merged(spark, frame, of), path)
+
+
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     """(doc_id, comp): the smallest id reachable over ``links`` (a, b), for every end.
 
     Alternating large-star and small-star steps; each round is a work table.
     """
-    edges = saved(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{folder}/edges0")
+    edges = few_files(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{folder}/edges0")
     last, rounds = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -540,7 +545,7 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = small.select("e.u", "e.v").where("u <> v").distinct()
         rounds += 1
-        edges = saved(spark, small, f"{folder}/edges{rounds}")
+        edges = few_files(spark, small, f"{folder}/edges{rounds}")
         dropped(spark, f"{folder}/edges{rounds - 1}")
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
         if state == last or state[0] == 0:
@@ -564,10 +569,10 @@ def similar_components(
     def indexed(step: str) -> tuple[DataFrame, DataFrame]:
         """Signature groups beside the facts of each row, and the facts of each id."""
         mapped = rows.mapInArrow(lean("ngramjoin", _map_side(threshold, width, buckets)), _MAPPED).repartitionById(buckets, F.col("bucket"))
-        grouped = saved(spark, mapped.mapInArrow(lean("ngramjoin", _bucket_side), _GROUPED), f"{folder}/grouped{step}")
+        grouped = few_files(spark, mapped.mapInArrow(lean("ngramjoin", _bucket_side), _GROUPED), f"{folder}/grouped{step}", 4)
         of_id = grouped.where(F.col("gid").isNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
         of_id = of_id.agg(F.min(F.struct("digest", "n")).alias("f"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("rows"))
-        return grouped, saved(spark, of_id.select("doc_id", "f.*", "rows", (F.col("f.digest") != F.col("last")).alias("mixed")), f"{folder}/single{step}")
+        return grouped, few_files(spark, of_id.select("doc_id", "f.*", "rows", (F.col("f.digest") != F.col("last")).alias("mixed")), f"{folder}/single{step}")
 
     grouped, single = indexed("1")
     repeated = single.agg(F.max(F.col("rows") > 1), F.max("mixed")).first()
@@ -576,7 +581,7 @@ def similar_components(
         several = single.where("rows > 1").select("doc_id")
         counting = rows.join(several, "doc_id", "left_semi").mapInArrow(lean("ngramjoin", _text_digests(width)), "doc_id long, text string, digest binary")
         counting = counting.groupBy("doc_id").agg(F.min(F.struct("digest", "text")).alias("f")).select("doc_id", "f.text")
-        rows = saved(spark, rows.join(several, "doc_id", "left_anti").unionByName(counting), f"{folder}/rows")
+        rows = few_files(spark, rows.join(several, "doc_id", "left_anti").unionByName(counting), f"{folder}/rows", 4)
         if repeated[1]:  # signatures of texts that do not count must not stand in the index
             dropped(spark, f"{folder}/grouped1")
             grouped, single = indexed("2")
@@ -591,26 +596,26 @@ def similar_components(
     first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     single = single.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     named = single.join(first, ["digest", "salt"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    named = saved(spark, named, f"{folder}/named")
+    named = few_files(spark, named, f"{folder}/named")
 
     members = grouped.where(F.col("gid").isNotNull()).select("gid", "doc_id").join(named.select("doc_id", "rep"), "doc_id").select("gid", "rep").distinct()
-    members = saved(spark, members, f"{folder}/members")
+    members = few_files(spark, members, f"{folder}/members")
     # Sizes and bitmaps only of the documents that share a group.
     maps = facts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     maps = maps.groupBy("doc_id").agg(F.min(F.struct("digest", "n", "bitmap")).alias("f")).select(F.col("doc_id").alias("rep"), "f.n", "f.bitmap")
-    maps = saved(spark, maps, f"{folder}/maps")
+    maps = few_files(spark, maps, f"{folder}/maps")
     hubs = members.groupBy("gid").agg(F.min("rep").alias("hub"))
     stars = members.join(hubs, "gid").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean("ngramjoin", _possible(threshold)), "a long, b long")
 
     def verify(pairs: DataFrame, step: str) -> DataFrame:
-        pairs = saved(spark, pairs, f"{folder}/pairs{step}")
+        pairs = few_files(spark, pairs, f"{folder}/pairs{step}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(lean("ngramjoin", _sets(width)), "doc_id long, tokens binary")
-        found = saved(spark, found, f"{folder}/sets{step}")
+        found = few_files(spark, found, f"{folder}/sets{step}", 4)
         end = lambda x: found.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"s{x}"))
-        links = saved(spark, pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(lean("ngramjoin", _verified(threshold)), "a long, b long"), f"{folder}/links{step}")
+        links = few_files(spark, pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(lean("ngramjoin", _verified(threshold)), "a long, b long"), f"{folder}/links{step}")
         return links
 
     links = verify(stars, "1")
@@ -626,11 +631,11 @@ def similar_components(
         return labelled, sizes.where("lo <> hi").select("gid", "size")
 
     labelled, sizes = spanning(members)
-    sizes = saved(spark, sizes.where("size > 2"), f"{folder}/sizes")
+    sizes = few_files(spark, sizes.where("size > 2"), f"{folder}/sizes")
     opened = labelled.join(sizes.where(F.col("size") <= hot), "gid")
     if sizes.where(F.col("size") > hot).limit(1).count():
         crowd = members.join(sizes.where(F.col("size") > hot), "gid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        rare = saved(spark, rare_groups(rows.join(crowd, "doc_id", "left_semi"), threshold, width), f"{folder}/rare")
+        rare = few_files(spark, rare_groups(rows.join(crowd, "doc_id", "left_semi"), threshold, width), f"{folder}/rare")
         relabelled, sizes = spanning(rare)
         opened = opened.unionByName(relabelled.join(sizes, "gid").select(*opened.columns))
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
@@ -639,7 +644,7 @@ def similar_components(
     opened = opened.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp", "n", "bitmap")
     opened = opened.repartition(buckets, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
     cross = opened.mapInArrow(lean("ngramjoin", _cross_pairs(threshold)), "a long, b long").distinct()
-    cross = saved(spark, cross.join(spark.read.parquet(f"{folder}/pairs1"), ["a", "b"], "left_anti"), f"{folder}/cross")
+    cross = few_files(spark, cross.join(spark.read.parquet(f"{folder}/pairs1"), ["a", "b"], "left_anti"), f"{folder}/cross")
     if cross.limit(1).count():
         links = links.unionByName(verify(cross, "2"))
         comps = components(spark, links, f"{folder}/cc2")
@@ -653,8 +658,8 @@ def similar_components(
 
     # Every set of a component was verified against another one, so its tokens are at hand.
     sets = spark.read.schema("doc_id long, tokens binary").parquet(*(f"{folder}/sets{step}" for step in steps)).join(comps, "doc_id").dropDuplicates(["doc_id"])
-    copies = saved(spark, named.where("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), f"{folder}/copies")
-    sets = saved(spark, sets.join(copies, "doc_id", "left").select("doc_id", "comp", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens"), f"{folder}/sets")
+    copies = few_files(spark, named.where("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), f"{folder}/copies")
+    sets = few_files(spark, sets.join(copies, "doc_id", "left").select("doc_id", "comp", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens"), f"{folder}/sets", 4)
     dropped(spark, *(f"{folder}/sets{step}" for step in steps))
     shape = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("tokens") / 8).alias("mass"))
     # Large components are cut finely enough that their cells spread over all tasks.
@@ -665,7 +670,7 @@ def similar_components(
     cells = cells.repartition(buckets, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     counts = cells.mapInArrow(lean("ngramjoin", _link_counts(threshold)), "doc_id long, links long").groupBy("doc_id").agg(F.sum("links").alias("links"))
     classes = comps.join(counts, "doc_id", "left").join(copies, "doc_id", "full").withColumnRenamed("doc_id", "rep")
-    classes = saved(spark, classes, f"{folder}/classes")
+    classes = few_files(spark, classes, f"{folder}/classes")
     n_links = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
     result = named.join(classes, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), n_links.alias("n_links"))
     return result.unionByName(nameless)
